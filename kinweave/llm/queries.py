@@ -5,20 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, lattice, media, packing, quality, secrets, simhash
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_media(spark, sf_dir):
+    return media.media_digests(_read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -27,8 +41,12 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_lattice(spark, sf_dir):
+    return lattice.score(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_pack, op7_bpe, op8_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_pack, op4_media, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
