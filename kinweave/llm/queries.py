@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, media, packing, quality, secrets, simhash
+from . import bpe, lattice, media, packing, quality, secrets, simhash, suffix
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op4_media(spark, sf_dir):
     return media.media_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix(spark, sf_dir):
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
@@ -46,7 +50,7 @@ def op9_lattice(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_pack, op4_media, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
+    return {f.__name__: f for f in (op1_secrets, op3_pack, op4_media, op5_suffix, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
