@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, media, packing, quality, secrets, simhash, suffix
+from . import bpe, embed_dedup, lattice, media, packing, quality, secrets, simhash, suffix
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_secrets(spark, sf_dir):
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark, sf_dir):
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_pack(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -50,7 +54,7 @@ def op9_lattice(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_pack, op4_media, op5_suffix, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
+    return {f.__name__: f for f in (op1_secrets, op2_embeddings, op3_pack, op4_media, op5_suffix, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
