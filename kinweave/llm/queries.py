@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, lattice, media, packing, quality, secrets, simhash, suffix
+from . import bpe, compact, embed_dedup, lattice, media, packing, quality, secrets, simhash, suffix
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -53,8 +53,12 @@ def op9_lattice(spark, sf_dir):
     return lattice.score(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op10_passages(spark, sf_dir):
+    return compact.near_duplicate_passages(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_embeddings, op3_pack, op4_media, op5_suffix, op6_quality, op7_bpe, op8_simhash, op9_lattice)}
+    return {f.__name__: f for f in (op1_secrets, op2_embeddings, op3_pack, op4_media, op5_suffix, op6_quality, op7_bpe, op8_simhash, op9_lattice, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
