@@ -340,7 +340,7 @@ def drop_repeats(docs: DataFrame, least_words: int = PASSAGE, similar: float = S
     One copy of each passage is kept. n_chars, if there, follows the text. Null texts
     stay null. Rows with a clean text are not changed.
     """
-    plain = text_docs(docs)
+    plain, names = text_docs(docs), docs.columns
     marks = _marked(plain, least_words, similar).filter(F.size("removed") > 0).groupBy("doc_id", "t").agg(F.first("removed").alias("__removed"))
     keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     marks = marks.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__m"), "__removed")
@@ -352,7 +352,7 @@ def drop_repeats(docs: DataFrame, least_words: int = PASSAGE, similar: float = S
                 i = b.schema.get_field_index("text")
                 gone = b.column(b.num_columns - 1).to_pylist()
                 new = [t if not g else drop_words(t.encode(), _pairs(g)).decode() for t, g in zip(b.column(i).to_pylist(), gone, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(new, b.schema.field(k).type) if k == i else b.column(k) for k in range(b.num_columns - 1)], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(new, b.schema.field(k).type) if k == i else b.column(k) for k in range(b.num_columns - 1)], names=names)
 
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

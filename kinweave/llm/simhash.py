@@ -191,3 +191,30 @@ def near_duplicates(docs: DataFrame, k: int = 4, reach: int = 4) -> DataFrame:
     least = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     named = comp.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 4, reach: int = 4) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of its least doc_id.
+
+    Rows without doc_id come after all others of their component; of rows that repeat
+    in doc_id and fingerprint one stays.
+    """
+    columns = docs.columns
+    schema = docs.select(*columns, F.lit(0).cast("long").alias("__fp")).schema
+
+    def run(batches):
+        for batch in batches:
+            for b in slices([batch]):
+                fps = np.array([fingerprint(t, k) for t in column_bytes(b, "text")], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, "__fp"])
+
+    marked = materialize(fingerprints(docs, k), "simhash")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
+    nodes = materialize(marked.groupBy("fp").agg(low), "simhash-nodes")
+    roots = link_fingerprints(nodes.select("fp"), reach)
+    comp = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = comp.groupBy("root").agg(F.min(F.struct("low.none", "low.doc_id", "fp")).alias("w"))
+    best = best.select(F.col("w.fp").alias("__wfp"), F.col("w.doc_id").alias("__wid"))
+    rows = docs.mapInArrow(run, schema)
+    kept = rows.join(best, (F.col("__fp") == F.col("__wfp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__wid")), "left_semi")
+    return kept.dropDuplicates(["__fp", "doc_id"]).select(*columns)
