@@ -79,6 +79,7 @@ class BoundaryBpe:
         else:
             self._re = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
             self._regex = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self._same = re.compile("[!-~]+").fullmatch  # such bytes stand for themselves
         self._fragments = _Memo(self._merge, memo)
 
     def _bare(self):
@@ -108,7 +109,7 @@ class BoundaryBpe:
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def encode_piece(self, piece: str) -> tuple[str, ...]:
-        word = piece.encode("utf-8").decode("latin-1").translate(self._map)
+        word = piece if self._same(piece) else piece.encode("utf-8").decode("latin-1").translate(self._map)
         parts = self.fragments(word)
         if self.end:
             parts[-1] += self.end
@@ -124,12 +125,16 @@ class BoundaryBpe:
             s = list(fragment)
         if len(s) > 200:
             return self._merge_long(s)
-        ranks = self.ranks
-        while len(s) > 1:
-            best, at = min([(ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(s, s[1:], strict=False))])
-            if best == 1 << 60:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+        rank, none = self.ranks.get, 1 << 60
+        left = [rank(p, none) for p in zip(s, s[1:], strict=False)]
+        while left and (best := min(left)) != none:
+            at = left.index(best)
+            s[at] += s.pop(at + 1)
+            del left[at]
+            if at < len(left):
+                left[at] = rank((s[at], s[at + 1]), none)
+            if at:
+                left[at - 1] = rank((s[at - 1], s[at]), none)
         return tuple(s)
 
     def _merge_long(self, s: list[str]) -> tuple[str, ...]:
