@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Scalar functions over text."""

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from . import fuzzy, tables
 
-EMPTY = F.lit("")
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -22,7 +21,7 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 def latin(raw: Column, transliterate: bool = True) -> Column:
     """Lower-case ASCII form; with ``transliterate`` off the text must be ASCII already."""
-    raw = F.coalesce(raw, EMPTY)
+    raw = F.coalesce(raw, F.lit(""))
     return F.lower(fuzzy.transliterate(raw) if transliterate else raw)
 
 
@@ -71,7 +70,7 @@ def legal_and_core(toks: Column, extra: dict[str, str] | None = None) -> Column:
     kept = F.filter(left, lambda t: ~t.isin(*tables.LEGAL_WORDS) & ~t.isin(*tables.NAME_STOP_WORDS))
     table = tables.NAME_ABBREVIATIONS | (extra or {})
     core = F.transform(kept, lambda t: F.coalesce(lookup(table, t), t))
-    return F.struct(F.coalesce(legal, single, EMPTY).alias("legal"), core.alias("core"))
+    return F.struct(F.coalesce(legal, single, F.lit("")).alias("legal"), core.alias("core"))
 
 
 def skeleton(token: Column) -> Column:
@@ -82,17 +81,17 @@ def skeleton(token: Column) -> Column:
 
 def acronym(core: Column) -> Column:
     """Initials of two words or more, else empty."""
-    return F.when(F.size(core) > 1, F.array_join(F.transform(core, lambda t: F.substring(t, 1, 1)), "")).otherwise(EMPTY)
+    return F.when(F.size(core) > 1, F.array_join(F.transform(core, lambda t: F.substring(t, 1, 1)), "")).otherwise(F.lit(""))
 
 
 def normalize_name(df: DataFrame, name: str = "business_name", extra: dict[str, str] | None = None, transliterate: bool = True) -> DataFrame:
     """``df`` with the twelve name columns."""
     keep = df.columns
-    d = df.withColumn("_raw", F.coalesce(F.col(name), EMPTY)).withColumn("_b", basic(F.col(name), transliterate))
+    d = df.withColumn("_raw", F.coalesce(F.col(name), F.lit(""))).withColumn("_b", basic(F.col(name), transliterate))
     d = d.withColumn("_t", tokens(F.col("_b")))
     trimmed = F.regexp_replace(F.trim("_b"), "^[#@ ]+", "")
     d = d.withColumn("_web", F.regexp_extract(trimmed, tables.WEBSITE, 1)).withColumn("_lc", legal_and_core(F.col("_t"), extra))
-    core = F.when(F.col("_web") != "", F.array(F.replace(F.col("_web"), F.lit("-"), EMPTY))).otherwise(F.col("_lc.core"))
+    core = F.when(F.col("_web") != "", F.array(F.replace(F.col("_web"), F.lit("-"), F.lit("")))).otherwise(F.col("_lc.core"))
     d = d.withColumn("_core", F.when(F.size(core) > 0, core).otherwise(F.col("_t")))
     parts = F.split("_b", tables.ALIAS_SPLIT)
     aliases = F.when(F.size(parts) > 1, F.filter(parts, lambda p: F.trim(p) != "")).otherwise(F.array().cast("array<string>"))
@@ -126,14 +125,14 @@ def component_words(component: Column) -> Column:
 def normalize_address(df: DataFrame, address: str = "business_address", transliterate: bool = True) -> DataFrame:
     """``df`` with the ten address columns."""
     keep = df.columns
-    raw = F.regexp_replace(F.coalesce(F.col(address), EMPTY), tables.NUMBER_SIGN, "no ")
+    raw = F.regexp_replace(F.coalesce(F.col(address), F.lit("")), tables.NUMBER_SIGN, "no ")
     d = df.withColumn("_b", F.regexp_replace(latin(F.regexp_replace(raw, "[°º]", " "), transliterate), tables.ORDINAL_SUFFIX, "$1"))
     d = d.withColumn("landmark", spaced(tokens(F.array_join(F.regexp_extract_all("_b", F.lit(tables.LANDMARK), 1), " "))))
     parts = F.filter(F.transform(F.split(F.regexp_replace("_b", tables.LANDMARK, " "), ","), lambda c: F.trim(c)), lambda c: c != "")
     d = d.withColumn("_c", F.transform(parts, component_words)).withColumn("_t", F.flatten("_c"))
     codes = F.regexp_extract_all("_b", F.lit(tables.POSTCODE_6), 0)
     codes = F.when(F.size(codes) > 0, codes).otherwise(F.regexp_extract_all("_b", F.lit(tables.POSTCODE_5), 0))
-    d = d.withColumn("postcode", F.coalesce(F.substring_index(F.get(F.reverse(codes), F.lit(0)), "-", 1), EMPTY))
+    d = d.withColumn("postcode", F.coalesce(F.substring_index(F.get(F.reverse(codes), F.lit(0)), "-", 1), F.lit("")))
     code = F.regexp_replace("postcode", "^0+", "")
     d = d.withColumn("_n", F.filter("_t", lambda t: is_digits(t) & (t != code))).withColumn("_core", F.filter("_t", lambda t: ~t.isin(*tables.ADDRESS_DROP_WORDS)))
     full = sorted({*tables.STATES.values(), *tables.STATES_BY_NAME_ONLY})
@@ -141,8 +140,8 @@ def normalize_address(df: DataFrame, address: str = "business_address", translit
     last = F.get(place, F.lit(0))
     return d.select(
         *keep, spaced(F.col("_t")).alias("addr_norm"), spaced(F.col("_core")).alias("addr_core"), spaced(F.filter("_core", lambda t: ~is_digits(t))).alias("addr_words"), "postcode",
-        spaced(F.array_distinct("_n")).alias("house_nums"), F.coalesce(F.get("_n", F.lit(0)), EMPTY).alias("primary_num"), "landmark",
-        F.coalesce(spaced(F.slice(last, F.greatest(F.size(last) - 1, F.lit(1)), 2)), EMPTY).alias("city_guess"),
+        spaced(F.array_distinct("_n")).alias("house_nums"), F.coalesce(F.get("_n", F.lit(0)), F.lit("")).alias("primary_num"), "landmark",
+        F.coalesce(spaced(F.slice(last, F.greatest(F.size(last) - 1, F.lit(1)), 2)), F.lit("")).alias("city_guess"),
         F.array_join(F.transform("_c", spaced), "|").alias("addr_comps"), (F.size("_t") == 0).cast("int").alias("addr_empty"),
     )
 
@@ -155,7 +154,7 @@ def normalize(df: DataFrame, transliterate: bool = True, extra: dict[str, str] |
 
 def clean_raw(raw: Column) -> Column:
     """Text for encoders: junk punctuation and repeated white space go, scripts stay."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(raw, EMPTY), tables.TEXT_JUNK, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), tables.TEXT_JUNK, " "), r"\s+", " "))
 
 
 def full_text(name: Column, address: Column) -> Column:

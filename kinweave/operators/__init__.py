@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Matching and scoring operators: DataFrames in, DataFrames out."""

@@ -20,9 +20,12 @@ DEFAULT_K = {"w": 5, "e1": 5, "e2": 0, "c": 5, "a": 5}
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "p") -> DataFrame:
-    """The k best rows of each group, with ``rank`` from 0; Spark limits groups before it shuffles."""
+    """The k best rows of each group, with ``rank`` from 0; Spark limits groups before it shuffles.
+
+    Scores are rounded to nine decimals first, so that equal ones tie however they were summed.
+    """
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return scored.withColumn(score, F.round(score, 9)).withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
 def dense_top_k(s1: DataFrame, pool: DataFrame, k: int, name: str, block: int = 20_000) -> DataFrame:
@@ -35,9 +38,9 @@ def dense_top_k(s1: DataFrame, pool: DataFrame, k: int, name: str, block: int =
     if k <= 0:
         return empty_pass(s1, pool, name)
     n_q, n_p = -(-max(1, s1.count()) // block), -(-max(1, pool.count()) // block)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = s1.select(F.col("doc").alias("s1"), "country", F.col("v").alias("vq"), F.pmod(F.xxhash64("doc"), F.lit(n_q)).alias("bq"), spread(n_p).cast("long").alias("bp"))
-    p = pool.select(F.col("doc").alias("p"), "country", "source", F.col("v").alias("vp"), F.pmod(F.xxhash64("doc"), F.lit(n_p)).alias("bp"), spread(n_q).cast("long").alias("bq"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = s1.select(F.col("doc").alias("s1"), "country", F.col("v").alias("vq"), F.pmod(F.xxhash64("doc"), F.lit(n_q)).alias("bq"), spread(n_p).alias("bp"))
+    p = pool.select(F.col("doc").alias("p"), "country", "source", F.col("v").alias("vp"), F.pmod(F.xxhash64("doc"), F.lit(n_p)).alias("bp"), spread(n_q).alias("bq"))
     kind = lambda d: d.schema["doc"].dataType.simpleString()
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Whole plans and their settings."""

@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Scans and sinks."""

@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Batch only: the engine this one matches has no streams, so no streaming operator lives here."""
