@@ -60,7 +60,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(7):  # nine bits a symbol
         key = key << np.uint64(9) | lead[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -73,7 +73,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         nxt = who + k
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
         g = group[tied]
-        by = np.lexsort((second, g))
+        by = np.argsort(g * (n + 1) + second)  # n is far below 2**31
         who, g, second = who[by], g[by], second[by]
         order[tied] = who
         start = np.concatenate(([True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])))
@@ -164,8 +164,8 @@ def repeated_positions(pieces: list[bytes], length: int) -> list[tuple[np.ndarra
     np.add.at(step, hit, 1)
     np.add.at(step, hit + length, -1)
     s, e = spans_from_points(np.cumsum(step[:-1]) > 0)
-    which = np.searchsorted(offs, s, "right") - 1
-    return [(s[which == i] - offs[i], e[which == i] - offs[i]) for i in range(len(pieces))]
+    cuts = np.searchsorted(s, offs)
+    return [(s[a:b] - o, e[a:b] - o) for a, b, o in zip(cuts, cuts[1:], offs, strict=False)]
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
