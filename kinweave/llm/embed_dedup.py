@@ -85,25 +85,33 @@ def hot_leaders(sample: np.ndarray) -> np.ndarray:
 
 
 def cell_links(u, raw, norm, copies, ball, nid, home, block: int, budget: float, least: float):
-    """Within one cell: copies linked to each vector found in this block first, and star edges."""
+    """Within one cell: copies linked to each vector found in this block first, and star edges.
+
+    Vectors come sorted by nid; a pair is looked at from its lesser nid only and counts
+    for both, as the other direction is met in the other one's home cell.
+    """
     n, d = u.shape
     parts = blocks(d, budget)
     a, b, share = parts[block]
     rot = u @ rotation(d)
     f = rot[:, a:b].astype(np.float32)
-    sq = np.einsum("ij,ij->i", f, f)
+    sq, one = np.einsum("ij,ij->i", f, f)[:, None], np.ones((n, 1), dtype=np.float32)
+    left, right = np.hstack([-2 * f, sq, one]), np.hstack([f, one, sq])  # their product is the squared distance
+    short = u.astype(np.float32)
     homes = np.flatnonzero(home)
     links, labels = np.zeros(n, dtype=np.int64), np.arange(n)
-    for i in range(0, n, 1024):
-        for j in range(0, len(homes), 4096):
-            h = homes[j : j + 4096]
-            d2 = sq[i : i + 1024, None] + sq[None, h] - 2 * (f[i : i + 1024] @ f[h].T)
-            q, x = np.nonzero(d2 <= share * 1.001 + 1e-6)
+    for j in range(0, len(homes), 4096):
+        h = homes[j : j + 4096]
+        far = np.ascontiguousarray(right[h].T)
+        for i in range(0, int(h[-1]), 512):
+            q, x = np.nonzero(left[i : i + 512] @ far <= share * 1.001 + 1e-6)
             q, x = q + i, h[x]
-            ok = (nid[q] != nid[x]) & ((ball[q] != ball[x]) | (ball[q] < 0))
+            ok = (q < x) & ((ball[q] != ball[x]) | (ball[q] < 0))
             q, x = q[ok], x[ok]
             for k in range(0, len(q), 1 << 16):
                 p, y = q[k : k + (1 << 16)], x[k : k + (1 << 16)]
+                ok = np.einsum("ij,ij->i", short[p], short[y]) >= least - 1e-3
+                p, y = p[ok], y[ok]
                 diff = (rot[p] - rot[y]) ** 2
                 inside = np.stack([diff[:, s:e].sum(axis=1) <= t * (1 + 1e-9) for s, e, t in parts])
                 ok = inside[block] & (inside[:block].any(axis=0) == 0)
@@ -111,6 +119,7 @@ def cell_links(u, raw, norm, copies, ball, nid, home, block: int, budget: float,
                 ok = np.einsum("ij,ij->i", raw[p], raw[y]) / (norm[p] * norm[y]) >= least
                 p, y = p[ok], y[ok]
                 np.add.at(links, p, copies[y])
+                np.add.at(links, y, copies[p])
                 off = labels[p] != labels[y]
                 if off.any():
                     labels = union_labels(n, p[off], y[off], labels)
@@ -210,6 +219,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = 4096)
     placed = nodes.select("nid", "v", "copies", "d").mapInArrow(send, sql)
 
     def search(table):
+        table = table.sort_by("nid")
         d, block = table.column("d")[0].as_py(), table.column("block")[0].as_py()
         raw = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, d)
         cols = {c: table.column(c).to_numpy() for c in ("nid", "copies", "ball", "home")}
