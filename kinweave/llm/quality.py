@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import column_bytes, slices, text_docs, to_batch
 from .kernels import LOWER, join_texts, mix, prefix, span_hash, words
 
+#: Bytes of text whose features are worked at a time: some 100 bytes of memory for each.
+SLICE = 1 << 20
 #: Hashed features (bits) and the most labelled rows that the linear model is fitted on.
 BITS = 18
 SAMPLE = 6_000
@@ -25,12 +27,16 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     """(text index, feature), each pair once, by text: the n-grams that occur in each text."""
     buf, offs = join_texts(texts, b"\n")
     shift, d = np.uint64(64 - bits), []
-    doc_of = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offs))
     if len(buf) > 3:
-        b = buf.astype(np.uint64)
-        tri = b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]
-        inner = (doc_of[:-2] == doc_of[2:]) & (np.arange(2, len(buf)) < offs[doc_of[2:].astype(np.int64) + 1] - 1)
-        d.append(doc_of[:-2][inner] << np.uint64(bits) | (tri[inner] * np.uint64(0x9E3779B97F4A7C15)) >> shift)
+        b = buf.astype(np.uint32)
+        tri = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        doc_of = np.repeat(np.arange(len(texts), dtype=np.uint32), np.diff(offs))[:-2]
+        inner = np.ones(len(tri), dtype=bool)
+        ends = offs[1:] - 1  # no gram takes in a separator
+        for back in range(3):
+            at = ends - back
+            inner[at[(at >= 0) & (at < len(tri))]] = False
+        d.append(doc_of[inner].astype(np.uint64) << np.uint64(bits) | (tri[inner] * np.uint64(0x9E3779B97F4A7C15)) >> shift)
     s, e, doc = words(buf, offs)
     h = span_hash(prefix(LOWER[buf]), s, e)
     doc = doc.astype(np.uint64)
@@ -128,12 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
             yield to_batch({"doc_id": b.column(0), "z": [z.compress(t) for t in column_bytes(b, "text")]}, packed)
 
     small = text_docs(docs).filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)).mapInArrow(squeeze, "doc_id long, z binary")
-    joined = small.join(lab, "doc_id").select("y", "z")
+    joined = small.join(lab.hint("merge"), "doc_id").select("y", "z")  # one plan at every size
     counted = pa.schema([("f", pa.int32()), ("neg", pa.int64()), ("pos", pa.int64())])
 
     def count(batches):
         unzip, n = zstandard.ZstdDecompressor(), np.zeros((2, dim + 1), dtype=np.int64)
-        for b in slices(batches, "z", 1 << 21):
+        for b in slices(batches, "z", SLICE // 4):
             y = b.column(0).to_numpy()
             doc, f = features([unzip.decompress(x) for x in b.column(1).to_pylist()], bits)
             n += np.stack([np.bincount(np.append(f[y[doc] == k], dim), minlength=dim + 1) for k in (0, 1)])
@@ -158,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
     listed = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))])
 
     def extract(batches):
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SLICE):
             doc, f = features(column_bytes(b, "text"), bits)
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(f.astype(np.int32)))], schema=listed)
@@ -184,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SLICE):
             yield to_batch({"doc_id": b.column(0), "held_out": b.column(2), "score": model.scores(column_bytes(b, "text"))}, schema)
 
     scored = text_docs(docs, held_out("doc_id", 3, 1).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -196,7 +202,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in slices([batch]):
+            for b in slices([batch], max_bytes=SLICE):
                 yield b.filter(pa.array(model.scores(column_bytes(b, "text")) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
