@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def words(text: str) -> Column:
@@ -72,12 +75,22 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """A unit vector of signed hashed character 3-grams: the stand-in where no encoder is at hand."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.xxhash64(F.substr(padded, i, F.lit(3))))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(grams, lambda g: F.pmod(g, F.lit(dims)) == d), F.lit(0.0), lambda s, g: s + F.when(F.shiftright(g, 32) % 2 == 0, 1.0).otherwise(-1.0)))
-    norm = F.sqrt(dot(counts, counts))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """A unit vector of signed hashed character 3-grams: the stand-in where no encoder is at hand.
+
+    An Arrow UDF: as a higher-order expression it would pass over the grams once for
+    each dimension.
+    """
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s.fillna(""):
+            b = np.frombuffer(f"  {t.lower()} ".encode(), dtype=np.uint8).astype(np.uint64)
+            h = (b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]) * np.uint64(0x9E3779B97F4A7C15)
+            v = np.bincount(((h >> np.uint64(40)) % np.uint64(dims)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dims)
+            out.append(v / max(np.sqrt(v @ v), 1e-300))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, ArrayType(DoubleType()))(text)
 
 
 def sparse_pair_score(pairs: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:

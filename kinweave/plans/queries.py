@@ -569,3 +569,41 @@ SELECT 'matched: duplicate row' AS rule, 'error' AS severity, count(*) AS n FROM
 def validate_lists(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("s1"), F.array(F.concat(F.lit("S"), (F.col("l_linenumber") % 4 + 1).cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))).alias("ids"))
     return validate.check_lists(rows, entities(spark, sf)).drop("examples")
+
+
+# ------------------------------------------------------------------ further operators
+@query("""WITH k AS (SELECT p_partkey AS doc, 'name' AS strategy, unnest(list_distinct(list_filter(string_split(p_name, ' '), lambda t: length(t) > 2))) AS key FROM part UNION ALL SELECT p_partkey, 'prefix', replace(p_name, ' ', '')[1:4] || '|' || p_type[1:4] FROM part),
+fr AS (SELECT strategy, key, count(*) AS n FROM k WHERE doc % 3 <> 0 GROUP BY ALL HAVING count(*) <= 1000), sc AS (SELECT a.doc AS s1, b.doc AS p, round(sum(CASE a.strategy WHEN 'name' THEN 1.0 ELSE 1.5 END / (n + 1)), 9) AS score FROM k a JOIN k b USING (strategy, key) JOIN fr USING (strategy, key) WHERE a.doc % 3 = 0 AND b.doc % 3 <> 0 GROUP BY ALL)
+SELECT s1, p, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, p) - 1 AS rank FROM sc) WHERE rank < 25""")
+def inverted_index_topk(spark, sf):
+    from ..operators import extras
+
+    d = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("doc"), F.col("p_name").alias("name_core"), F.lit("").alias("name_norm"), F.lit("").alias("name_nums"), F.lit("").alias("primary_num"), F.lit("").alias("addr_words"), F.lit("").alias("postcode"),
+        F.replace("p_name", F.lit(" "), F.lit("")).alias("name_compact"), F.col("p_type").alias("addr_core"),
+    )
+    keys = extras.index_keys(d)
+    return rounded(extras.inverted_index_candidates(keys.filter("doc % 3 = 0"), keys.filter("doc % 3 <> 0")))
+
+
+@query(f"""WITH {PAIRS_SQL}, x AS (SELECT s1, p, list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(b, ' ')) AS wb, list_distinct(list_transform(range(1, length(a) - 1), lambda i: a[i:i + 2])) AS ga, list_distinct(list_transform(range(1, length(b) - 1), lambda i: b[i:i + 2])) AS gb, ta, tb FROM pp)
+SELECT s1, p, round(len(list_intersect(wa, wb)) / len(wa), 6) AS contain, round(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))), 6) AS grams, (CASE WHEN ta = tb THEN 1 ELSE -1 END)::BIGINT AS flag, round(ln(1 + abs(s1 - p)), 6) AS gap FROM x""")
+def described_pair_features(spark, sf):
+    from ..operators import extras
+
+    a, b = F.col("a"), F.col("b")
+    return rounded(part_pairs(spark, sf).select("s1", "p", extras.containment(a, b).alias("contain"), extras.gram_jaccard(a, b).alias("grams"), extras.match_flag(F.col("ta"), F.col("tb")).alias("flag"), extras.log_number_gap(F.col("s1").cast("string"), F.col("p").cast("string")).alias("gap")))
+
+
+@query()
+def stratified_split(spark, sf):
+    from ..operators import extras
+
+    return extras.stratified_split(entities(spark, sf), truth(spark, sf)).select("s1", "country", "singleton", "held")
+
+
+@query()
+def gated_pair_scores(spark, sf):
+    from ..operators import encoders
+
+    return rounded(encoders.score_pairs(part_pairs(spark, sf), "a", "b", gate=F.col("ta") == F.col("tb")).select("s1", "p", "ce"))
