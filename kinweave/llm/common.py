@@ -14,15 +14,23 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (tests on one machine) a folder of our own is set.
+    Where the setting is absent, a folder of our own is set: in the warehouse on a
+    cluster, a temporary one only if everything runs in this very process's machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="kinweave-shared-")
+        one_machine = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        path = tempfile.mkdtemp(prefix="kinweave-shared-") if one_machine else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinweave"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that ``materialize`` has written; only when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/kinweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
