@@ -177,8 +177,8 @@ def tune_k(long: DataFrame, truth: DataFrame, n_s1: int, k_max: int = 40) -> Dat
     hit = long.join(truth.withColumn("hit", F.lit(1)), ["s1", "p"], "left").na.fill(0, ["hit"])
     step = hit.groupBy("pass", "rank").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).filter(F.col("rank") < k_max)
     w = Window.partitionBy("pass").orderBy("rank")
-    total = F.broadcast(truth.agg(F.count(F.lit(1)).alias("total")))  # one row
-    return step.join(total, F.lit(True)).select("pass", (F.col("rank") + 1).alias("k"), (F.sum("hits").over(w) / F.greatest("total", F.lit(1))).alias("recall"), (F.sum("n").over(w) / F.lit(n_s1)).alias("per_s1"))
+    total = F.greatest(truth.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    return step.withColumn("total", total).select("pass", (F.col("rank") + 1).alias("k"), (F.sum("hits").over(w) / F.col("total")).alias("recall"), (F.sum("n").over(w) / F.lit(n_s1)).alias("per_s1"))
 
 
 def choose_k(curve: list[tuple[int, float]], target: float = 0.98, most: int = 15) -> int:

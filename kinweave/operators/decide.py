@@ -14,8 +14,13 @@ def one_owner(df: DataFrame, prob: str = "prob", alpha: float = 1.0) -> DataFram
     """Adds ``decided``: probabilities below the pool record's best are multiplied by ``alpha``; ties keep all."""
     if alpha >= 1:
         return df.withColumn("decided", F.col(prob))
-    best = F.max(prob).over(Window.partitionBy("p"))
-    return df.withColumn("decided", F.when(F.col(prob) >= best, F.col(prob)).otherwise(F.col(prob) * alpha))
+    d = with_best(df, prob)
+    return d.withColumn("decided", F.when(F.col(prob) >= F.col("_best"), F.col(prob)).otherwise(F.col(prob) * alpha)).drop("_best")
+
+
+def with_best(df: DataFrame, prob: str) -> DataFrame:
+    """Adds ``_best``, the pool record's largest probability: a pre-aggregated maximum joined back, so hot records may be split."""
+    return df.join(df.groupBy("p").agg(F.max(prob).alias("_best")), "p").select(*df.columns, "_best")
 
 
 def hard_owner(df: DataFrame, prob: str = "prob") -> DataFrame:
@@ -95,8 +100,7 @@ def threshold_grid(df: DataFrame, truth: DataFrame, s1: DataFrame, alphas=(0.0,
     count as the metric says. ``s1`` is (s1), every entity that counts.
     """
     thresholds = thresholds or [round(0.30 + 0.05 * i, 2) for i in range(13)]
-    best = F.max(prob).over(Window.partitionBy("p"))
-    d = df.withColumn("_best", best)
+    d = with_best(df, prob)
     grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(t)).alias("thr")) for a in alphas for t in thresholds])).alias("g")
     hit = truth.select("s1", "p", F.lit(1).alias("hit"))
     d = d.join(hit, ["s1", "p"], "left").select("s1", "p", F.coalesce("hit", F.lit(0)).alias("hit"), prob, "_best", grid).select("*", "g.*")

@@ -41,8 +41,12 @@ def context(df: DataFrame, scores: list[str] | None = None) -> DataFrame:
 
 
 def name_frequency(records: DataFrame, name: str = "name_core") -> DataFrame:
-    """(doc, freq): how many records of the same table bear the name."""
-    return records.select("doc", F.count(F.lit(1)).over(Window.partitionBy(name)).alias("freq"))
+    """(doc, freq): how many records of the same table bear the name.
+
+    Counted first and joined back, so that a name of very many records is split like any skewed join.
+    """
+    n = records.groupBy(name).agg(F.count(F.lit(1)).alias("freq")).withColumnRenamed(name, "_name")
+    return records.join(n, F.col(name).eqNullSafe(F.col("_name"))).select("doc", "freq")
 
 
 def state4(a: Column, b: Column) -> Column:
@@ -100,8 +104,8 @@ def idf_overlap(pairs: DataFrame, idf: DataFrame, a: str, b: str) -> DataFrame:
     """
     words = lambda c, side: pairs.select("s1", "p", F.explode(word_set(F.col(c))).alias("term")).withColumn(side, F.lit(1))
     both = words(a, "in_a").join(words(b, "in_b"), ["s1", "p", "term"], "full_outer").na.fill(0, ["in_a", "in_b"])
-    most = F.broadcast(idf.agg(F.coalesce(F.max("idf"), F.lit(0.0)).alias("most")))  # one row
-    w = both.join(idf, "term", "left").join(most, F.lit(True)).withColumn("w", F.coalesce("idf", "most"))
+    most = idf.agg(F.coalesce(F.max("idf"), F.lit(0.0))).scalar()
+    w = both.join(idf, "term", "left").withColumn("w", F.coalesce(F.col("idf"), most))
     shared, only_a, only_b = (F.col("in_a") + F.col("in_b") == 2), F.col("in_b") == 0, F.col("in_a") == 0
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("w"))), F.lit(0.0))
     top = lambda cond: F.coalesce(F.max(F.when(cond, F.col("w"))), F.lit(0.0))

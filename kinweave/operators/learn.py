@@ -36,8 +36,7 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def group_weights(df: DataFrame, power: float = 1.0) -> DataFrame:
     """Adds ``weight``: 1 / n**power of the S1's pairs, scaled to a mean of 1."""
     d = df.withColumn("_w", F.pow(F.count(F.lit(1)).over(Window.partitionBy("s1")).cast("double"), F.lit(-power)))
-    mean = F.broadcast(d.agg(F.avg("_w").alias("_m")))  # one row
-    return d.join(mean, F.lit(True)).withColumn("weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
+    return d.withColumn("weight", F.col("_w") / d.agg(F.avg("_w")).scalar()).drop("_w")
 
 
 def fit_trees(df: DataFrame, features: list[str], seed: int = 42, weight: str | None = None, validation: str | None = None, **params) -> PipelineModel:
@@ -89,10 +88,20 @@ def importance(model: PipelineModel, features: list[str], top: int = 30) -> list
 
 
 def auc(df: DataFrame, score: str = "raw", label: str = "label") -> DataFrame:
-    """One row: area under the ROC curve by rank sums, tied scores sharing their mean rank."""
-    per = df.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    d = per.withColumn("below", below)
+    """One row: area under the ROC curve by rank sums, tied scores sharing their mean rank.
+
+    Negatives below a score are those of all lower bins (1024 over the scores' range)
+    and those below it in its own bin, so no task sorts all scores.
+    """
+    ends = df.agg(F.min(score).alias("a"), F.max(score).alias("b"))
+    low, high = ends.select("a").scalar(), ends.select("b").scalar()
+    b = F.coalesce(F.floor(F.try_divide((F.col(score) - low) * 1024, high - low)), F.lit(0))
+    per = df.withColumn("_bin", b).groupBy("_bin", score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    neg, before = F.col("n") - F.col("pos"), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bins = per.groupBy("_bin").agg(F.sum(neg).alias("neg"))  # 1025 rows at most
+    bins = bins.select("_bin", F.coalesce(F.sum("neg").over(before(Window.orderBy("_bin"))), F.lit(0.0)).alias("base"))
+    within = F.coalesce(F.sum(neg).over(before(Window.partitionBy("_bin").orderBy(score))), F.lit(0.0))
+    d = per.withColumn("within", within).join(F.broadcast(bins), "_bin").withColumn("below", F.col("base") + F.col("within"))
     return d.agg((F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)) / (F.sum("pos") * F.sum(F.col("n") - F.col("pos")))).alias("auc"))
 
 

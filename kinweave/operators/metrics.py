@@ -57,7 +57,7 @@ def summary(truth: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     per = s1.select("s1").join(truth.groupBy("s1").agg(F.count(F.lit(1)).alias("k")), "s1", "left").na.fill(0, ["k"]).agg(F.avg((F.col("k") == 0).cast("double")).alias("singleton_rate"), F.avg("k").alias("mean_matches"))
     owners = truth.groupBy("p").agg(F.countDistinct("s1").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("multi_owner"))
     same = truth.join(s1.select("s1", F.col("country").alias("ca")), "s1").join(pool.select("p", F.col("country").alias("cb")), "p").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("same_country"))
-    return per.join(owners, F.lit(True)).join(same, F.lit(True))  # one row each
+    return per.select("*", owners.scalar().alias("multi_owner"), same.scalar().alias("same_country"))
 
 
 def empty_rates(records: DataFrame, columns: list[str], by: str = "source") -> DataFrame:

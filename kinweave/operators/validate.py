@@ -19,7 +19,7 @@ def summarise(offenders: DataFrame, column: str, rule: str, severity: str = "err
     d = offenders.select(F.col(column).cast("string").alias("x")).distinct()
     few = d.orderBy("x").limit(SHOWN).agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias("examples"))
     n = d.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    return n.join(few, F.lit(True)).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "examples")
+    return n.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", few.scalar().alias("examples"))
 
 
 def check_lists(rows: DataFrame, required: DataFrame, valid: DataFrame | None = None, label: str = "matched") -> DataFrame:
