@@ -24,7 +24,7 @@ from .suffix import merge_spans, window_minima
 #: Words of a shingle, least words of a passage, least similarity, hash functions.
 SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
 #: Shingles to each side of a window's least one that are compared.
-REACH = 64
+REACH = PASSAGE - SHINGLE + 1
 #: Groups with more different surroundings are split; each part also gets this many of the group's first.
 GROUP, SEEDS = 2048, 16
 #: log2 of the bit table that holds the hashes seen twice (16 MB).
@@ -84,66 +84,143 @@ def _keys(h: np.ndarray, seed: int) -> np.ndarray:
     return mix(h ^ mix(np.array([seed + 77], dtype=np.uint64))[0])
 
 
-def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float):
+def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float, sets=None):
     """(start, end) of near-duplicate passages of a and b around the shared shingle, or None.
 
-    The passage grows from the shared shingle over shingles that the other side has,
-    over gaps that a changed word leaves (one, then none), and is then checked exactly:
-    wide enough on both sides, and its sets of shingles similar enough.
+    The passage grows from the shared shingle over gaps that a changed word leaves:
+    first place by place, then, where words were put in or left out, over any shingle
+    that the other side has. It is checked exactly: wide enough on both sides, and its
+    sets of shingles similar enough.
     """
+    before, after = min(ca, cb), min(len(a) - ca, len(b) - cb)
+    equal = a[ca - before : ca + after] == b[cb - before : cb + after]
+    if np.count_nonzero(equal) >= similar * least:
+        for gap in (SHINGLE + 1, 0):
+            i, j = _grow(equal, before, gap)
+            if j - i < least:
+                break
+            x, y, i, j = i + cb - before, j + cb - before, i + ca - before, j + ca - before
+            if _similar(a[i:j], b[x:y], similar):
+                return i, j, x, y
+    p, q = sets() if sets else (set(a.tolist()), set(b.tolist()))
+    if len(p & q) < similar * least:  # no passage as wide as that can reach the similarity
+        return None
     for gap in (SHINGLE + 1, 0):
         i, j = _grow(np.isin(a, b), ca, gap)
         x, y = _grow(np.isin(b, a[i:j]), cb, gap)
-        if j - i >= least and y - x >= least:
-            p, q = set(a[i:j].tolist()), set(b[x:y].tolist())
-            if len(p & q) >= similar * len(p | q):
-                return i, j, x, y
+        if j - i >= least and y - x >= least and _similar(a[i:j], b[x:y], similar):
+            return i, j, x, y
     return None
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
+    if len(a) == len(b) and (a == b).all():
+        return True
+    p, q = set(a.tolist()), set(b.tolist())
+    shared = len(p & q)
+    return shared >= similar * (len(p) + len(q) - shared)
+
+
 def _grow(hit: np.ndarray, c: int, gap: int) -> tuple[int, int]:
+    """The stretch of hits around c whose holes are at most ``gap`` wide."""
     at = np.flatnonzero(hit)
     k = int(np.searchsorted(at, c))
-    far = np.diff(at) > gap + 1
-    before, after = np.flatnonzero(far[:k]), np.flatnonzero(far[k:])
-    return int(at[before[-1] + 1 if len(before) else 0]), int(at[k + after[0] if len(after) else len(at) - 1]) + 1
+    holes = np.flatnonzero(at[1:] - at[:-1] > gap + 1)
+    h = int(np.searchsorted(holes, k))
+    return int(at[holes[h - 1] + 1 if h else 0]), int(at[holes[h] if h < len(holes) else len(at) - 1]) + 1
 
 
-def link_group(ids, contexts, centres, seeds, least: int, similar: float):
+def link_group(ids, contexts, centres, seeds, least: int, similar: float, few: int = 8):
     """(item, start, end, later) of near-duplicate passages within one group around a shared shingle.
 
     Items come in the order of texts. Each is held against those before it that no
-    other has matched (leaders) and that share its rarer shingles, seeds first; so a
-    passage in m items costs m comparisons, and no list of all pairs is made.
+    other has matched (leaders): all of them while they are ``few``, then the ones that
+    share its rarer shingles and the first two. So a passage in m items costs m
+    comparisons, and no list of all pairs is made.
     """
     posts: dict[int, list[int]] = {}
     leaders: list[int] = []
+    sets: dict[int, set] = {}
     out = []
-    for i in np.lexsort((~seeds, ids)) if len(ids) else []:
-        ctx = contexts[i].tolist()
-        votes: dict[int, int] = {}
-        for s in ctx:
-            p = posts.get(s, ())
-            if len(p) <= 64:
-                for k in p:
-                    votes[k] = votes.get(k, 0) + 1
-        order = sorted(votes, key=lambda k: (-votes[k], k))[:8] + leaders[:2]
-        matched = False
-        for k in dict.fromkeys(order):
+
+    def shingles(i: int) -> set:
+        if i not in sets:
+            sets[i] = set(contexts[i].tolist())
+        return sets[i]
+
+    for i in sorted(range(len(ids)), key=lambda k: (not seeds[k], ids[k])):
+        if len(leaders) <= few:
+            order = leaders
+        else:
+            votes: dict[int, int] = {}
+            for s in shingles(i):
+                p = posts.get(s, ())
+                if len(p) <= 64:
+                    for k in p:
+                        votes[k] = votes.get(k, 0) + 1
+            order = dict.fromkeys(sorted(votes, key=lambda k: (-votes[k], k))[:few] + leaders[:2])
+        for k in order:
             if ids[k] == ids[i]:
                 continue
-            m = match_passages(contexts[i], centres[i], contexts[k], centres[k], least, similar)
+            m = match_passages(contexts[i], centres[i], contexts[k], centres[k], least, similar, lambda k=k: (shingles(i), shingles(k)))
             if m:
                 out += [(i, m[0], m[1], ids[i] > ids[k]), (k, m[2], m[3], ids[k] > ids[i])]
-                matched = True
+                sets.pop(i, None)
                 break
-        if not matched:
+        else:
             leaders.append(i)
-            for s in set(ctx):
-                posts.setdefault(s, []).append(i)
+            if len(leaders) > few:
+                for k in leaders if len(leaders) == few + 1 else [i]:
+                    for s in shingles(k):
+                        posts.setdefault(s, []).append(k)
     return out
 
 
+def fold_equal(batches, schema):
+    """Of rows sorted by (key, x, t): one row of each (key, x), and a mark for each row of those with several texts.
+
+    Marks have a null key. What is carried between batches is the open group's first
+    text and that text's rows, never the group.
+    """
+    key = x = head = None
+    many, held = False, []
+
+    def rows(i, b, later=None, key=None):
+        n = len(i)
+        cols = {c: b[c][i] for c in ("t", "c", "s", "e", "sub")}
+        return to_batch({"key": pa.nulls(n, pa.int64()) if key is None else key, **cols, "later": pa.nulls(n, pa.bool_()) if later is None else later}, schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b = {f.name: batch.column(i).to_numpy() for i, f in enumerate(batch.schema)}
+        k, y, t = b["key"], b["x"], b["t"]
+        new = np.concatenate(([(k[0], y[0]) != (key, x)], (k[1:] != k[:-1]) | (y[1:] != y[:-1])))
+        heads = np.flatnonzero(new)
+        lead = np.arange(heads[0] if len(heads) else len(k))
+        if len(lead):  # the group that is open from the batch before
+            if not many and t[lead[-1]] != head:
+                many = True
+                for h in held:
+                    yield rows(np.arange(len(h["t"])), h, np.zeros(len(h["t"]), dtype=bool))
+                held = []
+            if many:
+                yield rows(lead, b, t[lead] != head)
+            else:
+                held.append({c: b[c][lead] for c in b})
+        if not len(heads):
+            continue
+        yield rows(heads, b, key=k[heads])
+        ends = np.append(heads[1:], len(k))
+        several = t[ends - 1] != t[heads]
+        group = np.cumsum(new) - 1
+        inside = np.flatnonzero((group >= 0) & several[group]) if several.any() else np.zeros(0, np.int64)
+        if len(inside):
+            yield rows(inside, b, t[inside] != t[heads][group[inside]])
+        key, x, head, many = k[-1], y[-1], t[heads[-1]], bool(several[-1])
+        held = [] if many else [{c: b[c][heads[-1] :] for c in b}]
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(t, n, low, z): distinct texts by 64-bit hash, their documents' number and least id."""
     schema = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
@@ -209,13 +286,14 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
                 cols = {"key": key.view(np.int64), "x": x.view(np.int64), "sub": (near >> np.uint64(33)).astype(np.int32), "t": t[d], "c": (c - first[d]).astype(np.int32), "s": (l - first[d]).astype(np.int32), "e": (r + 1 - first[d]).astype(np.int32)}
                 yield to_batch(cols, schema)
 
-    found = materialize(rows.mapInArrow(emit, "key long, x long, sub int, t long, c int, s int, e int"), "windows")
-    kinds = found.groupBy("key", "x").agg(F.min(F.struct("t", "c", "s", "e", "sub")).alias("rep"), F.max("t").alias("last"))
-    kinds = materialize(kinds.select("key", "x", "rep.*", "last"), "window-kinds")
+    found = rows.mapInArrow(emit, "key long, x long, sub int, t long, c int, s int, e int")
+    folded = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("sub", pa.int32()), ("later", pa.bool_())])
+    found = found.repartition(F.col("key"), F.col("x")).sortWithinPartitions("key", "x", "t", "s")
+    found = materialize(found.mapInArrow(lambda it: fold_equal(it, folded), "key long, t long, c int, s int, e int, sub int, later boolean"), "windows")
     # Equal surroundings in different texts are near duplicates as they are.
-    equal = kinds.filter("t <> last").select("key", "x", F.col("t").alias("head"))
-    same = found.join(equal, ["key", "x"]).select("t", "s", (F.col("e") + SHINGLE - 1).alias("e"), (F.col("t") > F.col("head")).alias("later"))
-    groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    same = found.filter("key is null").select("t", "s", (F.col("e") + SHINGLE - 1).alias("e"), "later")
+    kinds = found.filter("key is not null")
+    groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter("m > 1 and t0 <> t1").select("key", "m")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / GROUP)).cast("int")
     member = kinds.join(groups, "key").select("key", "t", "c", "s", "e", F.pmod("sub", parts).cast("int").alias("part"), parts.alias("parts"))
     member = materialize(member, "window-members")
@@ -243,10 +321,10 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
         """Groups lie one after another in each partition, sorted; one group is held at a time."""
 
         def link(group):
-            t = np.array([g[0] for g in group])
+            t = [g[0] for g in group]
             ctx = [np.frombuffer(g[3], dtype=np.uint32) for g in group]
-            found = link_group(t, ctx, [g[1] - g[2] for g in group], np.array([g[4] for g in group]), least, similar)
-            return [(int(t[i]), group[i][2] + a, group[i][2] + z + SHINGLE - 1, bool(later)) for i, a, z, later in found]
+            found = link_group(t, ctx, [g[1] - g[2] for g in group], [g[4] for g in group], least, similar)
+            return [(t[i], group[i][2] + a, group[i][2] + z + SHINGLE - 1, bool(later)) for i, a, z, later in found]
 
         rows, group, now = [], [], None
         for b in batches:
