@@ -167,3 +167,8 @@ def error_rows(pairs: DataFrame, pred: DataFrame, truth: DataFrame, n: int = 200
     by_model = pairs.join(lost, ["s1", "p"], "left_semi").orderBy("prob", "s1", "p").limit(n)
     by_blocking = lost.join(pairs.select("s1", "p"), ["s1", "p"], "left_anti").orderBy("s1", "p").limit(n)
     return {"false_positive": fp, "false_negative_model": by_model, "false_negative_blocking": by_blocking}
+
+
+def shard(df: DataFrame, i: int, n: int, *keys: str) -> DataFrame:
+    """The i-th of n parts by key hash; the parts make up the whole."""
+    return df.filter(F.pmod(F.xxhash64(*[F.col(k) for k in keys or ("s1", "p")]), F.lit(n)) == i)

@@ -607,3 +607,41 @@ def gated_pair_scores(spark, sf):
     from ..operators import encoders
 
     return rounded(encoders.score_pairs(part_pairs(spark, sf), "a", "b", gate=F.col("ta") == F.col("tb")).select("s1", "p", "ce"))
+
+
+NATIVE_SQL = SPARSE_SQL.replace("pool AS (SELECT * FROM post WHERE source <> 'S1')", "pool AS (SELECT post.* FROM post JOIN part ON p_partkey = doc WHERE source <> 'S1' AND p_size > 25)").replace("count(*) > 8", "count(*) > 6")
+
+
+@query(f"WITH {NATIVE_SQL} SELECT s1, p, 'a' AS pass, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY score DESC, p) - 1 AS rank FROM sim) WHERE rank < 5")
+def native_script_topk(spark, sf):
+    post = part_postings(spark, sf)
+    flags = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_size") > 25).cast("int").alias("nonlatin"))
+    return rounded(blocking.native_script_top_k(post.filter("source = 'S1'").drop("source"), post.filter("source <> 'S1'"), flags, 5, 6))
+
+
+def _errors(spark, sf):
+    return learn.error_rows(graph(spark, sf), predicted(spark, sf), truth(spark, sf))
+
+
+@query(f"WITH {GRAPH_SQL}, {TRUTH_SQL}, {PRED_SQL} SELECT s1, p, prob FROM g JOIN pr USING (s1, p) WHERE (s1, p) NOT IN (SELECT (s1, p) FROM t) ORDER BY prob DESC, s1, p LIMIT 200")
+def error_false_positives(spark, sf):
+    return _errors(spark, sf)["false_positive"]
+
+
+@query(f"WITH {GRAPH_SQL}, {TRUTH_SQL}, {PRED_SQL} SELECT s1, p, prob FROM g JOIN t USING (s1, p) WHERE (s1, p) NOT IN (SELECT (s1, p) FROM pr) ORDER BY prob, s1, p LIMIT 200")
+def error_false_negatives(spark, sf):
+    return _errors(spark, sf)["false_negative_model"]
+
+
+@query()
+def sample_and_shards(spark, sf):
+    d = learn.sample(graph(spark, sf), "s1", 5000)
+    return learn.shard(d, 0, 2).unionByName(learn.shard(d, 1, 2))
+
+
+@query()
+def string_features(spark, sf):
+    names = _company(spark, sf).join(table(spark, sf, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand"), F.lit(" Rd, Tyler, TX "), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("business_address")), "p_partkey")
+    d = text.normalize(names.select(F.col("p_partkey").alias("doc"), "business_name", "business_address"))
+    idf = vectors.token_idf(d.select(F.explode(text.split_words(F.col("name_norm"))).alias("term")), d.count())
+    return rounded(features.string_features(part_pairs(spark, sf).select("s1", "p"), d, d, idf))
