@@ -26,7 +26,7 @@ SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
 #: Shingles to each side of a window's least one that are compared.
 REACH = PASSAGE - SHINGLE + 1
 #: Groups with more different surroundings are split; each part also gets this many of the group's first.
-GROUP, SEEDS = 2048, 16
+GROUP, SEEDS = 4096, 16
 #: log2 of the bit table that holds the hashes seen twice (16 MB).
 TABLE = 27
 _POS = 24
@@ -179,7 +179,7 @@ def link_group(ids, contexts, centres, seeds, least: int, similar: float, few: i
 def fold_equal(batches, schema):
     """Of rows sorted by (key, x, t): one row of each (key, x), and a mark for each row of those with several texts.
 
-    Marks have a null key. What is carried between batches is the open group's first
+    Marks have a null key; rows that are marks already (``m`` is 0 or 1 for later) pass. What is carried between batches is the open group's first
     text and that text's rows, never the group.
     """
     key = x = head = None
@@ -187,13 +187,18 @@ def fold_equal(batches, schema):
 
     def rows(i, b, later=None, key=None):
         n = len(i)
-        cols = {c: b[c][i] for c in ("t", "c", "s", "e", "sub")}
+        cols = {c: b[c][i] for c in ("t", "c", "s", "e")}
         return to_batch({"key": pa.nulls(n, pa.int64()) if key is None else key, **cols, "later": pa.nulls(n, pa.bool_()) if later is None else later}, schema)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         b = {f.name: batch.column(i).to_numpy() for i, f in enumerate(batch.schema)}
+        if (b["m"] >= 0).any():
+            yield rows(np.flatnonzero(b["m"] >= 0), b, b["m"][b["m"] >= 0] > 0)
+            b = {c: v[b["m"] < 0] for c, v in b.items()}
+            if not len(b["key"]):
+                continue
         k, y, t = b["key"], b["x"], b["t"]
         new = np.concatenate(([(k[0], y[0]) != (key, x)], (k[1:] != k[:-1]) | (y[1:] != y[:-1])))
         heads = np.flatnonzero(new)
@@ -239,8 +244,10 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
 
     ``later`` says that the other text comes first (by hash), so that dropping all
     later ones leaves one. Surroundings that are equal shingle by shingle are one
-    group member; a shingle with very many different surroundings (a common line) is
-    dealt over parts by a second hash, each part with the group's first members.
+    group member. A shingle with very many different surroundings (a common line) is
+    dealt evenly over parts, each with the group's first members; besides, every run of
+    just enough shingles around it is matched by its hash, so that no exact repeat is
+    lost between parts.
     """
     least = least_words - SHINGLE + 1
     spark = texts.sparkSession
@@ -265,7 +272,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
     bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
     bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     table = spark.sparkContext.broadcast(bits)
-    schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("sub", pa.int32()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
 
     def emit(batches):
         bits = table.value
@@ -280,38 +287,51 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
                     continue
                 pre = np.concatenate(([np.uint64(0)], np.cumsum(h * np.uint64(2) + np.uint64(1))))
                 x = mix((pre[r + 1] - pre[l]) ^ mix(pre[c + 1] - pre[l]) + (c - l).astype(np.uint64) * np.uint64(1 << 32) + (r - l).astype(np.uint64))
-                other = _keys(h, k + 101)
-                near = np.minimum.reduceat(np.append(other, np.uint64(2**64 - 1)), np.stack([np.maximum(l, c - least // 2), np.minimum(r, c + least // 2) + 1], axis=1).ravel())[::2]
                 d = np.searchsorted(first, c, "right") - 1
-                cols = {"key": key.view(np.int64), "x": x.view(np.int64), "sub": (near >> np.uint64(33)).astype(np.int32), "t": t[d], "c": (c - first[d]).astype(np.int32), "s": (l - first[d]).astype(np.int32), "e": (r + 1 - first[d]).astype(np.int32)}
-                yield to_batch(cols, schema)
-
-    found = rows.mapInArrow(emit, "key long, x long, sub int, t long, c int, s int, e int")
-    folded = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("sub", pa.int32()), ("later", pa.bool_())])
-    found = found.repartition(F.col("key"), F.col("x")).sortWithinPartitions("key", "x", "t", "s")
-    found = materialize(found.mapInArrow(lambda it: fold_equal(it, folded), "key long, t long, c int, s int, e int, sub int, later boolean"), "windows")
+                cols = {"key": key.view(np.int64), "x": x.view(np.int64), "t": t[d], "c": (c - first[d]).astype(np.int32), "s": (l - first[d]).astype(np.int32), "e": (r + 1 - first[d]).astype(np.int32)}
+                # Equal surroundings of several texts in the slice are marked here; those of the first text go on.
+                order = np.lexsort((cols["t"], cols["x"], cols["key"]))
+                ordered = {n: v[order] for n, v in cols.items()}
+                new = np.concatenate(([True], (ordered["key"][1:] != ordered["key"][:-1]) | (ordered["x"][1:] != ordered["x"][:-1])))
+                heads = np.flatnonzero(new)
+                group = np.cumsum(new) - 1
+                least_t = ordered["t"][heads][group]
+                several = (ordered["t"][np.append(heads[1:], len(order)) - 1] != ordered["t"][heads])[group]
+                on, known = np.flatnonzero(ordered["t"] == least_t), np.flatnonzero(several)
+                at = np.concatenate((on, known))
+                yield to_batch({n: v[at] for n, v in ordered.items()} | {"m": np.concatenate((np.full(len(on), -1), ordered["t"][known] != least_t[known])).astype(np.int32)}, schema)
+
+    found = rows.mapInArrow(emit, "key long, x long, t long, c int, s int, e int, m int")
+    folded = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
+    spread = F.when(F.col("m") >= 0, F.xxhash64("t", "s")).otherwise(F.lit(0).cast("long"))  # marks need no company
+    found = found.repartition(F.col("key"), F.col("x"), spread).sortWithinPartitions((F.col("m") >= 0), "key", "x", "t", "s")
+    found = materialize(found.mapInArrow(lambda it: fold_equal(it, folded), "key long, t long, c int, s int, e int, later boolean"), "windows")
     # Equal surroundings in different texts are near duplicates as they are.
     same = found.filter("key is null").select("t", "s", (F.col("e") + SHINGLE - 1).alias("e"), "later")
     kinds = found.filter("key is not null")
     groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter("m > 1 and t0 <> t1").select("key", "m")
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / GROUP)).cast("int")
-    member = kinds.join(groups, "key").select("key", "t", "c", "s", "e", F.pmod("sub", parts).cast("int").alias("part"), parts.alias("parts"))
+    member = kinds.join(groups, "key").select("key", "t", "c", "s", "e", F.pmod(F.xxhash64("t"), parts).cast("int").alias("part"), parts.alias("parts"))
     member = materialize(member, "window-members")
     top = member.filter("parts > 1").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("t", "c"))).filter(F.col("i") <= SEEDS)
-    seeds = top.select("key", "t", "c", "s", "e", F.explode(F.expr("sequence(0, parts - 1)")).alias("to"), "part").filter("to <> part").select("key", "t", "c", "s", "e", F.col("to").alias("part"), F.lit(True).alias("seed"))
-    placed = member.select("key", "t", "c", "s", "e", "part", F.lit(False).alias("seed")).unionByName(seeds)
-    places = placed.groupBy("t").agg(F.collect_list(F.struct("key", "part", "c", "s", "e", "seed")).alias("p"))
+    seeds = top.select("key", "t", "c", "s", "e", F.explode(F.expr("sequence(0, parts - 1)")).alias("to"), "part").filter("to <> part").select("key", "t", "c", "s", "e", F.col("to").alias("part"), F.lit(True).alias("seed"), F.lit(False).alias("hot"))
+    placed = member.select("key", "t", "c", "s", "e", "part", F.lit(False).alias("seed"), (F.col("parts") > 1).alias("hot")).unionByName(seeds)
+    places = placed.groupBy("t").agg(F.collect_list(F.struct("key", "part", "c", "s", "e", "seed", "hot")).alias("p"))
     sent = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("seed", pa.bool_()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("h", pa.binary())])
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 19):
             h, first, *_ = shingled([unzip.decompress(z) for z in b.column(1).to_pylist()])
-            h = (h >> np.uint64(32)).astype(np.uint32)
+            pre, h = prefix(h), (h >> np.uint64(32)).astype(np.uint32)
             rows = []
             for i, (t, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 o = first[i]
                 rows += [(p["key"], p["part"], p["seed"], t, p["c"], p["s"], h[o + p["s"] : o + p["e"]].tobytes()) for p in places]
+                runs = sorted({k for p in places if p["hot"] for k in range(max(p["s"], p["c"] - least + 1), min(p["c"], p["e"] - least) + 1)})
+                if runs:  # key the run's hash, part -1
+                    at = np.array(runs) + o
+                    rows += [(w, -1, False, t, k, k, b"") for k, w in zip(runs, span_hash(pre, at, at + least).view(np.int64).tolist(), strict=True)]
             yield to_batch(dict(zip(sent.names, zip(*rows, strict=True), strict=True)), sent)
 
     around = rows.join(places, "t").select("t", "z", "p").mapInArrow(cut, "key long, part int, seed boolean, t long, c int, s int, h binary")
@@ -330,17 +350,26 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
         for b in batches:
             for key, part, seed, t, c, s, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, part) != now:
-                    if len(group) > 1:
+                    if len(group) > 1 and now[1] >= 0:
                         rows += link(group)
-                    now, group = (key, part), []
+                    now, group, many = (key, part), [], False
+                if part < 0:  # equal runs, by text: the first text's are held until another has it
+                    if not many and group and group[0][0] != t:
+                        many = True
+                        rows += [(g[0], g[1], g[1] + least_words, False) for g in group]
+                    if many:
+                        rows.append((t, s, s + least_words, t != group[0][0]))
+                    else:
+                        group.append((t, s))
+                    continue
                 group.append((t, c, s, h, seed))
             if rows:
                 yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
                 rows = []
-        if len(group) > 1 and (rows := link(group)):
+        if len(group) > 1 and now[1] >= 0 and (rows := link(group)):
             yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
 
-    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part").mapInArrow(compare, "t long, s int, e int, later boolean")
+    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "t").mapInArrow(compare, "t long, s int, e int, later boolean")
     return materialize(same.unionByName(linked).distinct(), "passages")
 
 

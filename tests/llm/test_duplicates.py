@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -220,3 +221,46 @@ def test_common_shingle_is_split(spark, monkeypatch):
     rows = [(i, prose(2000 + i, 40) + " " + line + " " + prose(3000 + i, 40)) for i in range(60)] + [(100 + i, prose(4000 + i, 20) + " " + line + " " + passage + " " + prose(5000 + i, 20)) for i in range(6)]
     got = {r["doc_id"] for r in compact.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(100, 106))
+
+
+def test_no_exact_repeat_is_lost_between_parts(spark, monkeypatch):
+    monkeypatch.setattr(compact, "GROUP", 4)
+    monkeypatch.setattr(compact, "SEEDS", 1)
+    line = prose(34, 48)  # one shingle short of a passage of its own
+    rows = [(i, prose(2000 + i, 60) + " " + line + " " + prose(3000 + i, 60)) for i in range(80)]
+    rows += [(100 + i, prose(4000 + i, 60) + " " + line + " " + prose(35 + i // 2, 4) + " " + prose(5000 + i, 60)) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    need = passages(rows)
+    got = {r["doc_id"]: word_spans(r["spans"]) for r in compact.near_duplicate_passages(d).collect()}
+    assert all(w <= got.get(i, set()) for i, w in need.items())
+    assert set(got) == set(need) >= set(range(100, 112))
+
+
+def batches(table, rng):
+    at = 0
+    while at < table.num_rows:
+        n = rng.randint(1, 4)
+        yield from table.slice(at, n).to_batches()
+        at += n
+
+
+def test_folds_do_not_depend_on_batches():
+    rng = random.Random(5)
+    for _ in range(80):
+        n = rng.randint(1, 30)
+        rows = sorted((rng.randint(0, 2), rng.randint(0, 1), rng.randint(0, 3), i) for i in range(n))
+        pick = lambda k: pa.array([r[k] for r in rows], pa.int64())
+        groups = defaultdict(list)
+        for a, x, t, i in rows:
+            groups[a, x].append((t, i))
+        table = pa.table({"h1": pick(2), "h2": pick(2), "a": pick(0), "x1": pick(1), "x2": pick(1), "s": pick(3), "e": pick(3), "mark": pa.array([False] * n)})
+        got = [r for b in suffix.fold_same(batches(table, rng)) for r in b.to_pylist()]
+        assert sorted(r["s"] for r in got if r["a"] is not None) == sorted(g[0][1] for g in groups.values())
+        assert sorted(r["s"] for r in got if r["a"] is None) == sorted(i for g in groups.values() if len(g) > 1 for _, i in g)
+        small = pa.array([r[3] for r in rows], pa.int32())
+        table = pa.table({"key": pick(0), "x": pick(1), "t": pick(2), "c": small, "s": small, "e": small, "m": pa.array([-1] * n, pa.int32())})
+        schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
+        got = [r for b in compact.fold_equal(batches(table, rng), schema) for r in b.to_pylist()]
+        assert sorted(r["s"] for r in got if r["key"] is not None) == sorted(g[0][1] for g in groups.values())
+        several = [g for g in groups.values() if g[0][0] != g[-1][0]]
+        assert sorted((r["s"], r["later"]) for r in got if r["key"] is None) == sorted((i, t != g[0][0]) for g in several for t, i in g)
