@@ -23,6 +23,8 @@ from .kernels import join_texts, mix, prefix, span_hash, spans_from_points
 
 #: Bytes of a gram; bits of the hash by which grams are compared in a window.
 GRAM, RANK = 64, 36
+#: Anchors with more different surroundings are settled string by string, by hash, outside the indexes.
+HOT = 2048
 
 
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
@@ -168,6 +170,44 @@ def repeated_positions(pieces: list[bytes], length: int) -> list[tuple[np.ndarra
     return [(s[a:b] - o, e[a:b] - o) for a, b, o in zip(cuts, cuts[1:], offs, strict=False)]
 
 
+def fold_same(batches):
+    """Of rows sorted by (a, x1, x2): the first of each group, and, with a null ``a``, every row of groups of two or more.
+
+    Rows that are marks already pass. Nothing but the last group's key and first row is carried from batch to batch.
+    """
+    schema = pa.schema([("a", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+    last, first, shown = None, None, True
+
+    def rows(b, at, named):
+        return to_batch({"a": b["a"][at] if named else pa.nulls(len(at), pa.int64()), **{c: b[c][at] for c in ("h1", "h2", "s", "e")}}, schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
+        if b["mark"].any():
+            yield rows(b, np.flatnonzero(b["mark"]), False)
+            b = {c: v[~b["mark"]] for c, v in b.items()}
+            if not len(b["a"]):
+                continue
+        key = np.stack([b["a"], b["x1"], b["x2"]])
+        n = key.shape[1]
+        new = np.concatenate(([last is None or bool((key[:, 0] != last).any())], (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        heads = np.flatnonzero(new)
+        if not new[0] and not shown:  # the open group has a second row
+            yield rows(first, np.arange(1), False)
+            shown = True
+        group = np.cumsum(new) - 1
+        size = np.diff(np.append(heads, n))
+        at = np.flatnonzero((group < 0) | (size[group] > 1)) if len(heads) else np.arange(n)
+        if len(heads):
+            yield rows(b, heads, True)
+            first, shown = {c: b[c][heads[-1:]] for c in b}, bool(size[-1] > 1)
+        if len(at):
+            yield rows(b, at, False)
+        last = key[:, -1]
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(h1, h2, n, z): every distinct text once, compressed, with its number of documents."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("z", pa.binary())])
@@ -187,10 +227,12 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
     ``texts`` as from ``distinct_texts``. An anchor's surroundings are the bytes that a
     string of ``length`` around it can reach. Surroundings that are equal byte for byte
     are repeats as they are and one of them stands for all in the index, so a passage
-    in a third of all documents costs one entry; the others go to shards by anchor.
+    in a third of all documents costs one entry; the others go to shards by anchor. An
+    anchor with over HOT of them (a common line) would fill a shard by itself: there
+    every string of ``length`` around it is matched by its hash, evenly dealt.
     """
     reach = length - GRAM
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("mark", pa.bool_())])
 
     def sample(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -204,42 +246,67 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
             cut = np.stack([at - s, e - at]).astype(np.uint64)  # where the anchor lies counts too
             x1, x2 = mix(x + cut[0] * np.uint64(1 << 32) + cut[1]), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + span_hash(pre, at, e)
             h1, h2 = b.column(0).to_numpy()[d], b.column(1).to_numpy()[d]
-            a = span_hash(pre, at, at + GRAM).view(np.int64)
-            yield to_batch({"h1": h1, "h2": h2, "a": a, "x1": x1.view(np.int64), "x2": x2.view(np.int64), "s": s - offs[d], "e": e - offs[d]}, schema)
-
-    found = texts.select("h1", "h2", "z").mapInArrow(sample, "h1 long, h2 long, a long, x1 long, x2 long, s long, e long")
-    found = materialize(found, "anchors")
-    first = F.min(F.struct("h1", "h2", "s", "e")).alias("rep")
-    kinds = found.groupBy("a", "x1", "x2").agg(F.count(F.lit(1)).alias("n"), first)
-    kinds = materialize(kinds, "anchor-kinds")
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a")
-    same = found.join(kinds.filter("n > 1").select("a", "x1", "x2"), ["a", "x1", "x2"], "left_semi").filter(F.col("e") - F.col("s") >= length)
-    same = same.select("h1", "h2", "s", "e")
-
-    chosen = materialize(kinds.join(several, "a", "left_semi").select("a", "rep.*"), "anchor-reps")
-    total = chosen.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
+            a = span_hash(pre, at, at + GRAM)
+            # Equal surroundings within the slice are known repeats: they are marked here, and one goes on.
+            order = np.lexsort((x2, x1, a))
+            new = np.concatenate(([True], (np.diff(np.stack([a, x1, x2])[:, order], axis=1) != 0).any(axis=0)))[: len(order)]
+            sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+            heads, many = order[new], order[np.repeat(sizes > 1, sizes)]
+            at, mark = np.concatenate((heads, many)), np.repeat([False, True], [len(heads), len(many)])
+            cols = {"h1": h1, "h2": h2, "a": a.view(np.int64), "x1": x1.view(np.int64), "x2": x2.view(np.int64), "s": s - offs[d], "e": e - offs[d]}
+            yield to_batch({c: v[at] for c, v in cols.items()} | {"mark": mark}, schema)
+
+    found = texts.select("h1", "h2", "z").mapInArrow(sample, "h1 long, h2 long, a long, x1 long, x2 long, s long, e long, mark boolean")
+    spread = F.when(F.col("mark"), F.xxhash64("h1", "s")).otherwise(F.lit(0).cast("long"))  # marks need no company
+    found = found.repartition(F.col("a"), F.col("x1"), F.col("x2"), spread).sortWithinPartitions("mark", "a", "x1", "x2", "h1", "h2", "s")
+    found = materialize(found.mapInArrow(fold_same, "a long, h1 long, h2 long, s long, e long"), "anchors")
+    same = found.filter("a is null").filter(F.col("e") - F.col("s") >= length).select("h1", "h2", "s", "e")
+    reps = found.filter("a is not null")
+    several = reps.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chosen = materialize(reps.join(several, "a").select("a", "h1", "h2", "s", "e", (F.col("n") > HOT).alias("hot")), "anchor-reps")
+    total = chosen.filter("not hot").agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    places = chosen.groupBy("h1", "h2").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("k"), "s", "e")).alias("p"))
-    cut_schema = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("text", pa.binary())])
+    shard = F.when(F.col("hot"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
+    places = chosen.groupBy("h1", "h2").agg(F.collect_list(F.struct(shard.alias("k"), "s", "e")).alias("p"))
+    cut_schema = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("text", pa.binary()), ("a", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64())])
+
+    def strings(h1, h2, text, spans):
+        """Every string of ``length`` within the spans, by the hashes of the whole and of both halves."""
+        pre, half = prefix(np.frombuffer(text, dtype=np.uint8)), length // 2
+        at = np.unique(np.concatenate([np.arange(s, e - length + 1) for s, e in spans] or [np.zeros(0, np.int64)]))
+        x = [span_hash(pre, at, at + length), span_hash(pre, at, at + half), span_hash(pre, at + half, at + length)]
+        n = len(at)
+        return to_batch({"k": np.full(n, -1), "h1": np.full(n, h1), "h2": np.full(n, h2), "s": at, "text": pa.nulls(n, pa.binary()), **{c: v.view(np.int64) for c, v in zip(("a", "x1", "x2"), x, strict=True)}}, cut_schema)
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 20):
-            rows = []
+            rows, strung = [], []
             for h1, h2, z, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 text = unzip.decompress(z)
                 last = None
-                for k, s, e in sorted((x["k"], x["s"], x["e"]) for x in p):
+                if hot := [(x["s"], x["e"]) for x in p if x["k"] < 0]:
+                    strung.append(strings(h1, h2, text, hot))
+                for k, s, e in sorted((x["k"], x["s"], x["e"]) for x in p if x["k"] >= 0):
                     if last and last[0] == k and s <= last[2]:
                         last[2] = max(last[2], e)
                         continue
                     if last:
                         rows.append((last[0], h1, h2, last[1], text[last[1] : last[2]]))
                     last = [k, s, e]
-                rows.append((last[0], h1, h2, last[1], text[last[1] : last[2]]))
-            yield to_batch(dict(zip(cut_schema.names, zip(*rows, strict=True), strict=True)), cut_schema)
-
-    pieces = texts.select("h1", "h2", "z").join(places, ["h1", "h2"]).mapInArrow(cut, "k long, h1 long, h2 long, s long, text binary")
+                if last:
+                    rows.append((last[0], h1, h2, last[1], text[last[1] : last[2]]))
+            if strung:
+                yield pa.concat_batches(strung)
+            if rows:
+                none = pa.nulls(len(rows), pa.int64())
+                yield to_batch(dict(zip(cut_schema.names, zip(*rows, strict=True))) | {"a": none, "x1": none, "x2": none}, cut_schema)
+
+    pieces = texts.select("h1", "h2", "z").join(places, ["h1", "h2"]).mapInArrow(cut, "k long, h1 long, h2 long, s long, text binary, a long, x1 long, x2 long")
+    pieces = materialize(pieces, "repeat-pieces")
+    strung = pieces.filter("k < 0").select("h1", "h2", "a", "x1", "x2", "s", (F.col("s") + length).alias("e"), F.lit(False).alias("mark"))
+    strung = strung.repartition(F.col("a"), F.col("x1"), F.col("x2")).sortWithinPartitions("a", "x1", "x2", "h1", "h2", "s")
+    strung = strung.mapInArrow(fold_same, "a long, h1 long, h2 long, s long, e long").filter("a is null").select("h1", "h2", "s", "e")
     out_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def search(table):
@@ -252,8 +319,8 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
             cols["e"] += (e + s0[i]).tolist()
         return pa.table({c: pa.array(cols[c], pa.int64()) for c in cols}, schema=out_schema)
 
-    indexed = pieces.groupBy("k").applyInArrow(search, "h1 long, h2 long, s long, e long")
-    return materialize(same.unionByName(indexed), "repeats")
+    indexed = pieces.filter("k >= 0").select("k", "h1", "h2", "s", "text").groupBy("k").applyInArrow(search, "h1 long, h2 long, s long, e long")
+    return materialize(same.unionByName(indexed).unionByName(strung), "repeats")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:

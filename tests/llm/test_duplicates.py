@@ -140,7 +140,9 @@ def test_run_length_index(alphabet):
             assert (got == want).all()
 
 
-def test_exact_repeats(spark):
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_exact_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     passage = prose(33, 90)
     d = awkward(spark, [(300 + i, prose(400 + i, 60) + " " + passage + " " + prose(500 + i, 60), "en", "r") for i in range(5)] + [(310, "ab" * 600, "en", "r")])
     for f in (d, spark.read.parquet(f"{SF}/documents.parquet")):
