@@ -105,14 +105,21 @@ def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, s
     p, q = sets() if sets else (set(a.tolist()), set(b.tolist()))
     if len(p & q) < similar * least:  # no passage as wide as that can reach the similarity
         return None
+    in_b = _among(a, q)
     for gap in (SHINGLE + 1, 0):
-        i, j = _grow(np.isin(a, b), ca, gap)
-        x, y = _grow(np.isin(b, a[i:j]), cb, gap)
-        if j - i >= least and y - x >= least and _similar(a[i:j], b[x:y], similar):
+        i, j = _grow(in_b, ca, gap)
+        if j - i < least:
+            break
+        x, y = _grow(_among(b, set(a[i:j].tolist())), cb, gap)
+        if y - x >= least and _similar(a[i:j], b[x:y], similar):
             return i, j, x, y
     return None
 
 
+def _among(a: np.ndarray, of: set) -> np.ndarray:
+    return np.fromiter(map(of.__contains__, a.tolist()), dtype=bool, count=len(a))
+
+
 def _similar(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     if len(a) == len(b) and (a == b).all():
         return True
@@ -123,10 +130,10 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
 
 def _grow(hit: np.ndarray, c: int, gap: int) -> tuple[int, int]:
     """The stretch of hits around c whose holes are at most ``gap`` wide."""
-    at = np.flatnonzero(hit)
-    k = int(np.searchsorted(at, c))
-    holes = np.flatnonzero(at[1:] - at[:-1] > gap + 1)
-    h = int(np.searchsorted(holes, k))
+    at = hit.nonzero()[0]
+    k = at.searchsorted(c)
+    holes = (at[1:] - at[:-1] > gap + 1).nonzero()[0]
+    h = int(holes.searchsorted(k))
     return int(at[holes[h - 1] + 1 if h else 0]), int(at[holes[h] if h < len(holes) else len(at) - 1]) + 1
 
 
