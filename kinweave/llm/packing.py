@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -85,7 +86,7 @@ def _tail_windows(pieces: list[tuple], size: int):
                 window = []
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, memo: int = 150_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, memo: int = 300_000) -> DataFrame:
     """One row per piece of every document's ids in sequences of at most ``size``.
 
     A document is its ids by the tokenizer file and ``end_id``; null text is empty,
@@ -100,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, mem
     def run(batches):
         bpe = load(tokenizer)
         piece = ranked(tokenizer, bpe)
-        known = _Memo(lambda p: np.array(piece(p.encode()), dtype="<u4").tobytes(), memo)
+        known = _Memo(lambda p: struct.pack(f"<{len(ids := piece(p.encode()))}I", *ids), memo)
         special = {k: np.array([v], dtype="<u4").tobytes() for k, v in bpe.special.items()}
         end = np.array([end_id], dtype="<u4").tobytes()
         packer, seq = SumOfSquares(size), TaskContext.get().partitionId() << 40
