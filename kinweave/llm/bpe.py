@@ -203,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return text_docs(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, path: str, memo: int = 150_000) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, memo: int = 300_000) -> DataFrame:
     """Per document: token count and SHA-256 of its ids (decimal, one space) and decoded text.
 
     Null text counts as empty: no token, digests of the empty string. Rows with equal
