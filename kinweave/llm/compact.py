@@ -87,11 +87,12 @@ def _keys(h: np.ndarray, seed: int) -> np.ndarray:
 def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float, sets=None):
     """(start, end) of near-duplicate passages of a and b around the shared shingle, or None.
 
-    The passage grows from the shared shingle over gaps that a changed word leaves:
-    first place by place, then, where words were put in or left out, over any shingle
-    that the other side has. It is checked exactly: wide enough on both sides, and its
-    sets of shingles similar enough.
+    The passage grows from the shared shingle over gaps that a changed word leaves,
+    place by place. Where that does not take in all shared shingles, every stretch
+    between shared shingles is looked at. It is checked exactly: wide enough on both
+    sides, and its sets of shingles similar enough.
     """
+    best = None
     before, after = min(ca, cb), min(len(a) - ca, len(b) - cb)
     equal = a[ca - before : ca + after] == b[cb - before : cb + after]
     if np.count_nonzero(equal) >= similar * least:
@@ -101,19 +102,61 @@ def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, s
                 break
             x, y, i, j = i + cb - before, j + cb - before, i + ca - before, j + ca - before
             if _similar(a[i:j], b[x:y], similar):
-                return i, j, x, y
+                best = i, j, x, y
+                break
+    if best and best[1] - best[0] == min(len(a), len(b)):
+        return best
     p, q = sets() if sets else (set(a.tolist()), set(b.tolist()))
-    if len(p & q) < similar * least:  # no passage as wide as that can reach the similarity
+    # Where no shingle repeats, no passage as wide as that can reach the similarity.
+    if len(p & q) < similar * least and (len(p) == len(a) or len(q) == len(b)):
+        return best
+    in_b, in_a = _among(a, q).nonzero()[0], _among(b, p).nonzero()[0]
+    if best and best == (in_b[0], in_b[-1] + 1, in_a[0], in_a[-1] + 1):
+        return best
+    return _widest(a, ca, b, cb, least, similar) or best
+
+
+def _widest(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float):
+    """(start, end) of the passages around the shared shingle that share most and are similar enough, or None.
+
+    Passages end at shingles that both have. To go on while the next shingle of one
+    side follows on the other lowers no similarity, so only the ends of such runs are
+    tried, all with all.
+    """
+    i, j = _run_ends(a, ca, b, least)
+    x, y = _run_ends(b, cb, a, least)
+    if not len(i) or not len(x):
+        return None
+    values, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+
+    def inside(code, lo, hi):
+        seen = np.zeros((len(code) + 1, len(values)), dtype=np.int16)
+        np.cumsum(code[:, None] == np.arange(len(values)), axis=0, out=seen[1:])
+        return seen[hi] > seen[lo]
+
+    of_a, of_b = code[: len(a)], code[len(a) :]
+    p, q = inside(of_a, i, j), inside(of_b, x, y)
+    shared = (p.astype(np.float32) @ q.T.astype(np.float32)).astype(np.int64)
+    union = p.sum(axis=1)[:, None] + q.sum(axis=1) - shared
+    ok = (shared >= similar * union) & q[:, of_a[i]].T & q[:, of_a[j - 1]].T & p[:, of_b[x]] & p[:, of_b[y - 1]]
+    if not ok.any():
         return None
-    in_b = _among(a, q)
-    for gap in (SHINGLE + 1, 0):
-        i, j = _grow(in_b, ca, gap)
-        if j - i < least:
-            break
-        x, y = _grow(_among(b, set(a[i:j].tolist())), cb, gap)
-        if y - x >= least and _similar(a[i:j], b[x:y], similar):
-            return i, j, x, y
-    return None
+    k, m = np.unravel_index(np.argmax(np.where(ok, shared * 4 * len(values) - union, -(1 << 40))), ok.shape)
+    return int(i[k]), int(j[k]), int(x[m]), int(y[m])
+
+
+def _run_ends(a: np.ndarray, c: int, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all stretches of a around c, ``least`` wide or more, from one run's start to one's end."""
+    where: dict[int, list[int]] = {}
+    for k, v in enumerate(b.tolist()):
+        where.setdefault(v, []).append(k)
+    at = [where.get(v, []) for v in a.tolist()]
+    goes_on = [bool(at[k]) and [q + 1 for q in at[k]] == at[k + 1] for k in range(len(a) - 1)]
+    starts = np.array([k for k in range(c + 1) if at[k] and not (k and goes_on[k - 1])])
+    ends = np.array([k + 1 for k in range(c, len(a)) if at[k] and not (k + 1 < len(a) and goes_on[k])])
+    i, j = np.repeat(starts, len(ends)), np.tile(ends, len(starts))
+    wide = j - i >= least
+    return i[wide], j[wide]
 
 
 def _among(a: np.ndarray, of: set) -> np.ndarray:
