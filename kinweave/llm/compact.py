@@ -180,49 +180,93 @@ def _grow(hit: np.ndarray, c: int, gap: int) -> tuple[int, int]:
     return int(at[holes[h - 1] + 1 if h else 0]), int(at[holes[h] if h < len(holes) else len(at) - 1]) + 1
 
 
-def link_group(ids, contexts, centres, seeds, least: int, similar: float, few: int = 8):
+def link_group(ids, contexts, centres, sides, least: int, similar: float, few: int = 8):
     """(item, start, end, later) of near-duplicate passages within one group around a shared shingle.
 
-    Items come in the order of texts. Each is held against those before it that no
-    other has matched (leaders): all of them while they are ``few``, then the ones that
-    share its rarer shingles and the first two. So a passage in m items costs m
-    comparisons, and no list of all pairs is made.
+    All pairs of different texts that can reach the similarity are compared (where there
+    are two sides, those from side to side), but for pairs that could only mark again what
+    is marked. A mark that adds nothing is left out.
     """
-    posts: dict[int, list[int]] = {}
-    leaders: list[int] = []
-    sets: dict[int, set] = {}
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    offs = np.concatenate(([0], np.cumsum([len(contexts[k]) for k in order])))
+    unseen, unlater = np.ones(offs[-1], dtype=bool), np.ones(offs[-1], dtype=bool)
+    cross = len(set(sides)) > 1
     out = []
 
-    def shingles(i: int) -> set:
-        if i not in sets:
-            sets[i] = set(contexts[i].tolist())
-        return sets[i]
-
-    for i in sorted(range(len(ids)), key=lambda k: (not seeds[k], ids[k])):
-        if len(leaders) <= few:
-            order = leaders
-        else:
-            votes: dict[int, int] = {}
-            for s in shingles(i):
-                p = posts.get(s, ())
-                if len(p) <= 64:
-                    for k in p:
-                        votes[k] = votes.get(k, 0) + 1
-            order = dict.fromkeys(sorted(votes, key=lambda k: (-votes[k], k))[:few] + leaders[:2])
-        for k in order:
-            if ids[k] == ids[i]:
-                continue
-            m = match_passages(contexts[i], centres[i], contexts[k], centres[k], least, similar, lambda k=k: (shingles(i), shingles(k)))
-            if m:
-                out += [(i, m[0], m[1], ids[i] > ids[k]), (k, m[2], m[3], ids[k] > ids[i])]
-                sets.pop(i, None)
-                break
-        else:
-            leaders.append(i)
-            if len(leaders) > few:
-                for k in leaders if len(leaders) == few + 1 else [i]:
-                    for s in shingles(k):
-                        posts.setdefault(s, []).append(k)
+    def compare(i: int, k: int, own: list) -> bool:
+        """Item at place i of the order against the earlier one at place k; own holds i's set."""
+        a, b = order[i], order[k]
+
+        def sets():
+            if not own:
+                own.append(set(contexts[a].tolist()))
+            return own[0], set(contexts[b].tolist())
+
+        m = match_passages(contexts[a], centres[a], contexts[b], centres[b], least, similar, sets)
+        if not m:
+            return False
+        for at, x, lo, hi, open_, later in ((i, a, m[0], m[1], unlater, True), (k, b, m[2], m[3], unseen, False)):
+            span = slice(offs[at] + lo, offs[at] + hi)
+            if open_[span].any():
+                out.append((x, lo, hi, later))
+                unseen[span] = False
+                if later:
+                    unlater[span] = False
+        return True
+
+    if len(ids) <= few:
+        for i, a in enumerate(order):
+            own: list = []
+            for k, b in enumerate(order[:i]):
+                if ids[a] != ids[b] and not (cross and sides[a] == sides[b]):
+                    compare(i, k, own)
+        return out
+
+    flat, code = np.unique(np.concatenate([contexts[k] for k in order]), return_inverse=True)
+    item = np.repeat(np.arange(len(order)), np.diff(offs))
+    posts = np.argsort(code, kind="stable")
+    begin = np.searchsorted(code[posts], np.arange(len(flat) + 1))
+    text, side = np.array([ids[k] for k in order]), np.array([sides[k] for k in order])
+    plain = np.array([len(set(contexts[k].tolist())) == len(contexts[k]) for k in order])
+    for i in range(1, len(order)):
+        mine = code[offs[i] : offs[i + 1]]
+        size = begin[mine + 1] - begin[mine]
+        # All (place here, place in an earlier item) with the same shingle.
+        here = np.repeat(np.arange(len(mine)), size)
+        there = posts[np.arange(len(here)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)]
+        before = there < offs[i]
+        here, there = here[before], there[before]
+        if not len(here):
+            continue
+        # Fewer shared shingles cannot reach the similarity, unless shingles repeat on both sides.
+        count = np.bincount(item[there], minlength=i)
+        can = (count >= np.where(plain[:i] | plain[i], similar * least, 1)) & (text[:i] != text[i])
+        if cross:
+            can &= side[:i] != side[i]
+        use = can[item[there]]
+        here, there = here[use], there[use]
+        if not len(here):
+            continue
+        # A passage ends at shared shingles, so what these span must be wide enough.
+        low, high = np.full(i, len(mine)), np.full(i, -1)
+        np.minimum.at(low, item[there], here)
+        np.maximum.at(high, item[there], here)
+        there.sort()
+        first = np.flatnonzero(np.diff(item[there], prepend=-1))
+        k = item[there[first]]
+        start, stop = there[first], there[np.append(first[1:], len(there)) - 1]
+        wide = (stop - start + 1 >= least) & (high[k] - low[k] + 1 >= least)
+        k, start, stop = k[wide], start[wide], stop[wide]
+        by = np.argsort(-count[k], kind="stable")
+        k, start, stop = k[by], start[by], stop[by]
+        own = []
+        while len(k):
+            todo = np.concatenate(([0], np.cumsum(unlater[offs[i] : offs[i + 1]])))
+            theirs = np.concatenate(([0], np.cumsum(unseen[: offs[i]])))
+            adds = (todo[high[k] + 1] > todo[low[k]]) | (theirs[stop + 1] > theirs[start])
+            k, start, stop = k[adds], start[adds], stop[adds]
+            n = next((n for n, x in enumerate(k.tolist()) if compare(i, x, own)), len(k))
+            k, start, stop = k[n + 1 :], start[n + 1 :], stop[n + 1 :]
     return out
 
 
