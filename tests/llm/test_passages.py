@@ -121,3 +121,13 @@ def test_large_groups_are_compared_whole():
             assert got == all_pairs(ids, ctx, at, 46, 0.8, sides)
             small = marks(compact.link_group(ids, ctx, at, sides or [0] * len(ids), 46, 0.8, few=1000), ctx)
             assert small == got
+
+
+def test_a_partner_that_many_share_more_with():
+    """Twenty items share more shingles with the last one than its true partner does, but no passage."""
+    w = [f"w{i}" for i in range(97)]
+    other = lambda n, keep: [x if i in keep else f"{n}-{i}" for i, x in enumerate(w)]
+    rows = [other(n, {*range(24), *range(44, 52), *range(71, 97)}) for n in range(20)] + [other(20, {*range(23, 74)} - {30}), w]
+    ctx, at = zip(*(around(r, 46) for r in rows), strict=True)
+    ids = [*range(5, 25), 30, 31]
+    assert {i for i, *_ in compact.link_group(ids, ctx, at, [False] * 22, 46, 0.8)} == {20, 21}
