@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, materialize, slices, text_docs, to_batch
@@ -25,8 +25,10 @@ from .suffix import merge_spans, window_minima
 SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
 #: Shingles to each side of a window's least one that are compared.
 REACH = PASSAGE - SHINGLE + 1
-#: Groups with more different surroundings are split; each part also gets this many of the group's first.
-GROUP, SEEDS = 4096, 16
+#: Groups with more different surroundings are dealt over blocks, all pairs of which are compared.
+GROUP = 4096
+#: Not used: no group is compared through its first members.
+SEEDS = 0
 #: log2 of the bit table that holds the hashes seen twice (16 MB).
 TABLE = 27
 _POS = 24
@@ -333,15 +335,77 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("t").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "passage-texts")
 
 
+def _bits(spark, counted: DataFrame):
+    """A broadcast bit for each prefix of ``key``; its size is fixed, and a chance hit only costs a row."""
+    slot = F.shiftrightunsigned("key", 64 - TABLE)
+    word = counted.groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
+    got = word.toArrow()
+    bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
+    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(bits)
+
+
+def _in_bits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    p = (key >> np.uint64(64 - TABLE)).astype(np.int64)
+    return (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _that_share(texts: DataFrame, member: DataFrame, least: int, similar: float) -> DataFrame:
+    """Those rows of ``member`` whose shingles that others of their group have can make up a passage.
+
+    A passage ends at shared shingles, so these must span its width; and there must be
+    enough of them for the similarity, unless shingles repeat.
+    """
+    places = member.groupBy("t").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("p"))
+    joined = texts.join(places, "t").select("t", "z", "p")
+
+    def surroundings(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", 1 << 19):
+            h, first, *_ = shingled([unzip.decompress(z) for z in b.column(1).to_pylist()])
+            for i, (t, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for p in places:
+                    yield t, p, mix(h[first[i] + p["s"] : first[i] + p["e"]] ^ mix(np.array([p["key"]], dtype=np.int64).view(np.uint64)))
+
+    def emit(batches):
+        for b in batches:
+            keys = [np.unique(x) for _, _, x in surroundings([b])]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+
+    table = _bits(texts.sparkSession, joined.mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    kept = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+
+    def keep(batches):
+        for b in batches:
+            rows = []
+            for t, p, x in surroundings([b]):
+                at = _in_bits(table.value, x).nonzero()[0]
+                if len(at) and at[-1] - at[0] + 1 >= least and (len(at) >= similar * least or len(np.unique(x)) < len(x)):
+                    rows.append((p["key"], t, p["c"], p["s"], p["e"]))
+            if rows:
+                yield to_batch(dict(zip(kept.names, zip(*rows, strict=True), strict=True)), kept)
+
+    return joined.mapInArrow(keep, "key long, t long, c int, s int, e int")
+
+
+def _blocks(member: DataFrame) -> DataFrame:
+    """``member`` with (part, side): groups dealt over blocks of about ``GROUP``; each part holds two blocks, or one as it is."""
+    parts = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
+    pairs = member.join(parts, "key").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    part = F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
+    return pairs.select("key", "t", "c", "s", "e", part.alias("part"), (F.col("block") > F.col("other")).alias("side"))
+
+
 def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float = SIMILAR, functions: int = FUNCTIONS) -> DataFrame:
     """(t, s, e, later): word ranges of texts that near-duplicate a passage of another text.
 
     ``later`` says that the other text comes first (by hash), so that dropping all
     later ones leaves one. Surroundings that are equal shingle by shingle are one
-    group member. A shingle with very many different surroundings (a common line) is
-    dealt evenly over parts, each with the group's first members; besides, every run of
-    just enough shingles around it is matched by its hash, so that no exact repeat is
-    lost between parts.
+    group member. Of a shingle with very many different surroundings (a common line)
+    those go that share too little with the rest of the group for any passage; the
+    others are dealt over blocks, and every two blocks meet.
     """
     least = least_words - SHINGLE + 1
     spark = texts.sparkSession
@@ -359,23 +423,15 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
 
     rows = texts.select("t", "z")
     counted = rows.mapInArrow(seen, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # A bit for each hash prefix seen twice; its size is fixed, and a chance hit only costs a row.
-    slot = F.shiftrightunsigned("key", 64 - TABLE)
-    word = counted.groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
-    got = word.toArrow()
-    bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
-    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    table = spark.sparkContext.broadcast(bits)
+    table = _bits(spark, counted)
     schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
 
     def emit(batches):
-        bits = table.value
         for b in slices(batches, "z", 1 << 20):
             t = b.column(0).to_numpy()
             for k, h, first, c, l, r in all_windows(b):
                 key = _keys(h[c], k)
-                p = (key >> np.uint64(64 - TABLE)).astype(np.int64)
-                use = (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                use = _in_bits(table.value, key)
                 c, l, r, key = c[use], l[use], r[use], key[use]
                 if not len(c):
                     continue
@@ -404,31 +460,26 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
     same = found.filter("key is null").select("t", "s", (F.col("e") + SHINGLE - 1).alias("e"), "later")
     kinds = found.filter("key is not null")
     groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter("m > 1 and t0 <> t1").select("key", "m")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / GROUP)).cast("int")
-    member = kinds.join(groups, "key").select("key", "t", "c", "s", "e", F.pmod(F.xxhash64("t"), parts).cast("int").alias("part"), parts.alias("parts"))
-    member = materialize(member, "window-members")
-    top = member.filter("parts > 1").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("t", "c"))).filter(F.col("i") <= SEEDS)
-    seeds = top.select("key", "t", "c", "s", "e", F.explode(F.expr("sequence(0, parts - 1)")).alias("to"), "part").filter("to <> part").select("key", "t", "c", "s", "e", F.col("to").alias("part"), F.lit(True).alias("seed"), F.lit(False).alias("hot"))
-    placed = member.select("key", "t", "c", "s", "e", "part", F.lit(False).alias("seed"), (F.col("parts") > 1).alias("hot")).unionByName(seeds)
-    places = placed.groupBy("t").agg(F.collect_list(F.struct("key", "part", "c", "s", "e", "seed", "hot")).alias("p"))
-    sent = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("seed", pa.bool_()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("h", pa.binary())])
+    member = materialize(kinds.join(groups, "key").select("key", "t", "c", "s", "e", (F.col("m") > GROUP).alias("hot")), "window-members")
+    placed = member.filter("not hot").select("key", "t", "c", "s", "e", F.lit(0).alias("part"), F.lit(False).alias("side"))
+    hot = member.filter("hot").drop("hot")
+    if not hot.isEmpty():
+        placed = placed.unionByName(_blocks(materialize(_that_share(rows, hot, least, similar), "hot-members")))
+    places = placed.groupBy("t").agg(F.collect_list(F.struct("key", "part", "c", "s", "e", "side")).alias("p"))
+    sent = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("side", pa.bool_()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("h", pa.binary())])
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 19):
             h, first, *_ = shingled([unzip.decompress(z) for z in b.column(1).to_pylist()])
-            pre, h = prefix(h), (h >> np.uint64(32)).astype(np.uint32)
+            h = (h >> np.uint64(32)).astype(np.uint32)
             rows = []
             for i, (t, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 o = first[i]
-                rows += [(p["key"], p["part"], p["seed"], t, p["c"], p["s"], h[o + p["s"] : o + p["e"]].tobytes()) for p in places]
-                runs = sorted({k for p in places if p["hot"] for k in range(max(p["s"], p["c"] - least + 1), min(p["c"], p["e"] - least) + 1)})
-                if runs:  # key the run's hash, part -1
-                    at = np.array(runs) + o
-                    rows += [(w, -1, False, t, k, k, b"") for k, w in zip(runs, span_hash(pre, at, at + least).view(np.int64).tolist(), strict=True)]
+                rows += [(p["key"], p["part"], p["side"], t, p["c"], p["s"], h[o + p["s"] : o + p["e"]].tobytes()) for p in places]
             yield to_batch(dict(zip(sent.names, zip(*rows, strict=True), strict=True)), sent)
 
-    around = rows.join(places, "t").select("t", "z", "p").mapInArrow(cut, "key long, part int, seed boolean, t long, c int, s int, h binary")
+    around = rows.join(places, "t").select("t", "z", "p").mapInArrow(cut, "key long, part int, side boolean, t long, c int, s int, h binary")
     out = pa.schema([("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
 
     def compare(batches):
@@ -442,25 +493,16 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
 
         rows, group, now = [], [], None
         for b in batches:
-            for key, part, seed, t, c, s, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, part, side, t, c, s, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, part) != now:
-                    if len(group) > 1 and now[1] >= 0:
+                    if len(group) > 1:
                         rows += link(group)
-                    now, group, many = (key, part), [], False
-                if part < 0:  # equal runs, by text: the first text's are held until another has it
-                    if not many and group and group[0][0] != t:
-                        many = True
-                        rows += [(g[0], g[1], g[1] + least_words, False) for g in group]
-                    if many:
-                        rows.append((t, s, s + least_words, t != group[0][0]))
-                    else:
-                        group.append((t, s))
-                    continue
-                group.append((t, c, s, h, seed))
+                    now, group = (key, part), []
+                group.append((t, c, s, h, side))
             if rows:
                 yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
                 rows = []
-        if len(group) > 1 and now[1] >= 0 and (rows := link(group)):
+        if len(group) > 1 and (rows := link(group)):
             yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
 
     linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "t").mapInArrow(compare, "t long, s int, e int, later boolean")

@@ -131,3 +131,20 @@ def test_a_partner_that_many_share_more_with():
     ctx, at = zip(*(around(r, 46) for r in rows), strict=True)
     ids = [*range(5, 25), 30, 31]
     assert {i for i, *_ in compact.link_group(ids, ctx, at, [False] * 22, 46, 0.8)} == {20, 21}
+
+
+def test_changed_passages_of_a_common_line_at_any_group_size(spark, monkeypatch):
+    line = prose(34, 30)
+    rows = [(i, prose(2000 + i, 60) + " " + line + " " + prose(3000 + i, 60)) for i in range(80)]
+    for n in range(20):  # one word changed on either side of the line: no word-for-word repeat
+        for k in range(2):
+            p = (prose(6000 + n, 16) + " " + line + " " + prose(7000 + n, 20)).split()
+            p[7 if k else 55] = f"k{n}"
+            rows.append((100 + 2 * n + k, prose(4000 + 2 * n + k, 60) + " " + " ".join(p) + " " + prose(5000 + 2 * n + k, 60)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for size in (4, 4096):
+        monkeypatch.setattr(compact, "GROUP", size)
+        got[size] = sorted(map(tuple, compact.near_duplicate_passages(d).collect()))
+    assert got[4] == got[4096]
+    assert {r[0] for r in got[4]} == set(range(100, 140))
