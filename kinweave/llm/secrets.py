@@ -7,11 +7,14 @@ scores each literal by how sensitive its target name is and how random it looks.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 from collections import Counter
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +39,11 @@ SENSITIVE = {
 }
 #: Words of names whose literals only speak about secrets.
 HARMLESS = {"length", "len", "policy", "hint", "label", "name", "type", "count", "max", "min", "field", "file", "path", "url", "uri", "expires", "expiry", "ttl", "placeholder", "description", "message", "prompt", "id"}
-#: Literals that stand for a secret still to be filled in.
-PLACEHOLDER = re.compile(r"(?i)^(?:your|my|the|some|example|sample|test|dummy|fake|changeme|change_me|replace|insert|todo|none|null|nil|true|false|undefined|redacted|hidden|x{3,}|\*{3,}|\.{3,})|[<>{}$%]|^(.)\1*$|example$|placeholder|(?:^|[_-])here$")
+#: Words of literals that stand for a secret still to be filled in.
+FILLERS = {"your", "my", "the", "some", "example", "sample", "test", "dummy", "fake", "changeme", "change", "replace", "replaceme", "insert", "todo", "none", "null", "nil", "true", "false", "undefined", "redacted", "hidden", "placeholder", "here"}
+_TEMPLATE = re.compile(r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|\$\([^()]*\)|%\([^()]*\)s|^<[^<>]*>$|^\{[^{}]*\}$|^\$[A-Za-z_]\w*$|^%[A-Za-z_]\w*%$")
+_BLANK = re.compile(r"(?i)^(?:(.)\1*|[x*._-]{3,})$")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _LITERAL = r"""(?:[bBrRuUfF]{0,2}"(?:[^"\\\n]|\\.)*"|[bBrRuUfF]{0,2}'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
 _TARGET = re.compile(r"""(?:["']([A-Za-z_][\w .-]{0,63})["']|([A-Za-z_][\w.-]{0,127}))\]?(?:[ \t]*:[ \t]*(?:str|String|string|&str|const\s+char\s*\*))?[ \t]*$""", re.A)
@@ -64,9 +70,31 @@ def sensitivity(name: str) -> int:
     return sum(SENSITIVE.get(x, 0) for x in {*w, *joined})
 
 
+def placeholder(value: str) -> bool:
+    """Whether ``value`` is nothing but templates, blanks, or plain words with one that asks to be replaced."""
+    if _BLANK.match(value):
+        return True
+    rest = _TEMPLATE.sub(" ", value)
+    tokens = [w for w in re.split(r"[\s_.-]+", rest) if w]
+    return all(map(_PLAIN.fullmatch, tokens)) and (rest != value or not FILLERS.isdisjoint(map(str.lower, tokens)))
+
+
+@functools.cache
+def _dictionary() -> frozenset:
+    """Words that are one piece of the byte-level vocabulary, in lower case."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    return frozenset(w[1:].lower() for w in vocab if w[0] == "\u0120" and w[1:].isalpha())
+
+
+def _plain_words(value: str) -> bool:
+    words = [w for w in re.split(r"[^A-Za-z0-9]+", value.lower()) if w]
+    return all(w.isalpha() for w in words) and _dictionary().issuperset(words)
+
+
 def randomness(value: str) -> float:
     """0 (a common word or a placeholder) to about 4: length, entropy and kinds of characters."""
-    if len(value) < 4 or PLACEHOLDER.search(value):
+    if len(value) < 4 or placeholder(value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -176,8 +204,10 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
     """
     out, last = [], 0
     for kind, a, b in spans(text):
-        if kind == "assign" and randomness(_ASSIGN.match(text, a)[2]) < 1:
-            continue
+        if kind == "assign":
+            value = _ASSIGN.match(text, a)[2]
+            if placeholder(value) or (randomness(value) < 1 and _plain_words(value)):
+                continue
         if a >= last:
             out += [text[last:a], mark]
         last = max(last, b)
