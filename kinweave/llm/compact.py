@@ -58,10 +58,11 @@ def compact_windows(h: np.ndarray, first: np.ndarray, seed: int, least: int, rea
     if n < least:
         return (np.zeros(0, np.int64),) * 3
     # The place in the low bits makes all values differ: the leftmost of equal hashes is least.
-    g = (mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(_POS)) << np.uint64(_POS) | np.arange(n, dtype=np.uint64)
+    bits = np.uint64(max(_POS, n.bit_length()))  # more where a slice has more shingles than usual
+    g = (mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) >> bits) << bits | np.arange(n, dtype=np.uint64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = doc[: n - least + 1] == doc[least - 1 :]
-    c = np.unique(window_minima(g, least)[whole] & np.uint64((1 << _POS) - 1)).astype(np.int64)
+    c = np.unique(window_minima(g, least)[whole] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     lo, hi, own = first[doc[c]], first[doc[c] + 1], g[c]
     levels = [g]
     while 2 ** len(levels) <= min(reach, n):

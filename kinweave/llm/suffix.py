@@ -45,13 +45,14 @@ def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gra
         return np.zeros(0, np.int64)
     at = np.arange(n)
     h = span_hash(pre, at, at + gram)
-    key = (h >> np.uint64(64 - RANK)) << np.uint64(64 - RANK) | at.astype(np.uint64)
+    bits = np.uint64(max(64 - RANK, n.bit_length()))  # more where a slice has more bytes than usual
+    key = (h >> bits) << bits | at.astype(np.uint64)
     low = window_minima(key, w)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     whole = doc[: len(low)] == doc[length - 1 : length - 1 + len(low)]
     end = offs[doc[: len(low)] + 1] - 1  # the separator is no part of the text
     whole &= np.arange(len(low)) + length <= end
-    return np.unique(low[whole] & np.uint64((1 << (64 - RANK)) - 1)).astype(np.int64)
+    return np.unique(low[whole] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
