@@ -44,9 +44,21 @@ def text_docs(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
-def text_key(col: str = "text"):
+def text_key(col="text"):
     """Two 64-bit hashes of a text: equal for equal texts, 128 bits together."""
-    return F.xxhash64(F.lit(1), F.col(col)).alias("h1"), F.xxhash64(F.lit("2"), F.col(col)).alias("h2")
+    col = F.col(col) if isinstance(col, str) else col
+    return F.xxhash64(F.lit(1), col).alias("h1"), F.xxhash64(F.lit("2"), col).alias("h2")
+
+
+def free_names(taken, *names: str) -> list[str]:
+    """``names``, each lengthened until it clashes with no column (case aside)."""
+    out, used = [], {c.lower() for c in taken}
+    for name in names:
+        while name in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out
 
 
 def slices(batches, column: str = "text", max_bytes: int = 4 << 20):

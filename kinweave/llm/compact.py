@@ -1,15 +1,20 @@
 """Near-duplicate passages by compact windows.
 
-A text is its sequence of hashed word shingles. Under one hash function all passages
-whose least hash stands at the same place form one compact window: that place with
-the nearest smaller hashes to both sides, a node of the Cartesian tree. Windows wide
-enough for a passage are joined by their least hash, for several functions; what is
-around them is compared shingle by shingle, and near-duplicate passages are kept
-that reach the asked Jaccard similarity.
+A text is its sequence of hashed word shingles. All passages whose least hash stands at
+the same place form one compact window: that place with the nearest smaller hashes to
+both sides, a node of the Cartesian tree. Windows wide enough for a run of shingles that
+near-duplicate passages must share (``shared_run``) are joined by their least hash; what
+is around them is compared shingle by shingle, and near-duplicate passages are kept that
+reach the asked Jaccard similarity.
+
+How many hash functions are enough follows from the windows' width: with windows as wide
+as a whole passage one function meets a pair with the probability of its similarity; with
+windows as wide as the shared run every function meets every pair, so one is enough.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +22,35 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices, text_docs, to_batch
+from .common import column_bytes, free_names, materialize, slices, text_docs, text_key, to_batch
 from .kernels import LOWER, join_texts, mix, prefix, shingle_hashes, span_hash, words
 from .suffix import merge_spans, window_minima
 
 #: Words of a shingle, least words of a passage, least similarity, hash functions.
-SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 3
+SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 1
 #: Shingles to each side of a window's least one that are compared.
-REACH = PASSAGE - SHINGLE + 1
-#: Groups with more different surroundings are dealt over blocks, all pairs of which are compared.
-GROUP = 4096
-#: Not used: no group is compared through its first members.
-SEEDS = 0
+REACH = 64
+#: Groups with more different surroundings are folded into classes by Spark instead of within a task.
+HOT = 512
+#: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
+GROUP = 2048
 #: log2 of the bit table that holds the hashes seen twice (16 MB).
 TABLE = 27
 _POS = 24
 
 
+def shared_run(least: int, similar: float) -> int:
+    """Shingles in a row that passages of ``least`` shingles or more share if they reach ``similar``.
+
+    Of n shingles of the shorter passage at least 2 s / (1 + s) n are shared. A hole between
+    shared runs takes SHINGLE - 1 or more of the others, so the runs are few and the longest
+    is no shorter than the mean. (Shingles that repeat within a passage can undercut this.)
+    """
+    part = 2 * similar / (1 + similar)
+    runs = lambda n: int((n - math.ceil(part * n - 1e-9)) // (SHINGLE - 1)) + 1
+    return max(1, min(-(-math.ceil(part * n - 1e-9) // runs(n)) for n in range(least, 8 * least)))
+
+
 def shingled(texts: list[bytes]):
     """(hashes, first, word starts, word ends, offsets): all texts' shingles, in order.
 
@@ -83,44 +100,71 @@ def compact_windows(h: np.ndarray, first: np.ndarray, seed: int, least: int, rea
     return c[wide], left[wide], right[wide] - 1
 
 
+def inside_runs(h: np.ndarray, first: np.ndarray, c: np.ndarray, every: int = 32) -> np.ndarray:
+    """Of places ``c`` those within a run of one and the same shingle, but for every 32nd.
+
+    Where one word goes on and on each place is least of some window; all inside look alike.
+    """
+    same = h[1:] == h[:-1]
+    same[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(h))] - 1] = False
+    before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
+    start = np.maximum.accumulate(np.where(before, 0, np.arange(len(h))))
+    return before[c] & after[c] & ((c - start[c]) % every != 0)
+
+
 def _keys(h: np.ndarray, seed: int) -> np.ndarray:
     return mix(h ^ mix(np.array([seed + 77], dtype=np.uint64))[0])
 
 
-def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float, sets=None):
-    """(start, end) of near-duplicate passages of a and b around the shared shingle, or None.
+def match_passages(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float, once: bool | None = None):
+    """(start, end) of what near-duplicate passages around the shared shingle take in of a and of b, or None.
 
-    The passage grows from the shared shingle over gaps that a changed word leaves,
-    place by place. Where that does not take in all shared shingles, every stretch
-    between shared shingles is looked at. It is checked exactly: wide enough on both
-    sides, and its sets of shingles similar enough.
+    Every two stretches between shared shingles are looked at and checked exactly: wide
+    enough on both sides, and their sets of shingles similar enough. ``once`` says that neither a nor b
+    has a shingle twice; then shingles that come in the same order in both need no search
+    through all pairs of stretches.
     """
-    best = None
-    before, after = min(ca, cb), min(len(a) - ca, len(b) - cb)
-    equal = a[ca - before : ca + after] == b[cb - before : cb + after]
-    if np.count_nonzero(equal) >= similar * least:
-        for gap in (SHINGLE + 1, 0):
-            i, j = _grow(equal, before, gap)
-            if j - i < least:
-                break
-            x, y, i, j = i + cb - before, j + cb - before, i + ca - before, j + ca - before
-            if _similar(a[i:j], b[x:y], similar):
-                best = i, j, x, y
-                break
-    if best and best[1] - best[0] == min(len(a), len(b)):
-        return best
-    p, q = sets() if sets else (set(a.tolist()), set(b.tolist()))
-    # Where no shingle repeats, no passage as wide as that can reach the similarity.
-    if len(p & q) < similar * least and (len(p) == len(a) or len(q) == len(b)):
-        return best
-    in_b, in_a = _among(a, q).nonzero()[0], _among(b, p).nonzero()[0]
-    if best and best == (in_b[0], in_b[-1] + 1, in_a[0], in_a[-1] + 1):
-        return best
-    return _widest(a, ca, b, cb, least, similar) or best
+    if once is None:
+        once = len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b)
+    if once:
+        both = np.concatenate((a, b))
+        order = np.argsort(both, kind="stable")
+        ranked = both[order]
+        twin = np.flatnonzero(ranked[1:] == ranked[:-1])
+        if len(twin) < similar * least:
+            return None
+        i, x = order[twin], order[twin + 1] - len(a)
+        by = np.argsort(i)
+        i, x = i[by], x[by]
+        if (x[1:] > x[:-1]).all():
+            return _in_order(i, x, ca, least, similar)
+    elif len(a) == len(b) and ca == cb and (a == b).all():
+        return (0, len(a), 0, len(b)) if len(a) >= least else None
+    return _widest(a, ca, b, cb, least, similar)
+
+
+def _in_order(i: np.ndarray, x: np.ndarray, c: int, least: int, similar: float):
+    """What near-duplicate passages take in if places ``i`` of one and ``x`` of the other hold the shared shingles, both ascending.
+
+    Passages end at shared shingles; going on along a run that both have lowers no
+    similarity, so only the runs' ends are tried, all with all.
+    """
+    new = (np.diff(i) > 1) | (np.diff(x) > 1)
+    k = int(np.searchsorted(i, c))
+    starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+    ends = np.concatenate((np.flatnonzero(new), [len(i) - 1]))
+    starts, ends = starts[starts <= k], ends[ends >= k]
+    shared = ends[None, :] - starts[:, None] + 1
+    wide, broad = i[ends][None, :] - i[starts][:, None] + 1, x[ends][None, :] - x[starts][:, None] + 1
+    ok = (np.minimum(wide, broad) >= least) & (shared >= similar * (wide + broad - shared) - 1e-9)
+    if not ok.any():
+        return None
+    s, e = starts[ok.any(axis=1).argmax()], ends[len(ends) - 1 - ok.any(axis=0)[::-1].argmax()]
+    return int(i[s]), int(i[e]) + 1, int(x[s]), int(x[e]) + 1
 
 
 def _widest(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar: float):
-    """(start, end) of the passages around the shared shingle that share most and are similar enough, or None.
+    """(start, end) of what all passages around the shared shingle that are similar enough take in, or None.
 
     Passages end at shingles that both have. To go on while the next shingle of one
     side follows on the other lowers no similarity, so only the ends of such runs are
@@ -141,11 +185,11 @@ def _widest(a: np.ndarray, ca: int, b: np.ndarray, cb: int, least: int, similar:
     p, q = inside(of_a, i, j), inside(of_b, x, y)
     shared = (p.astype(np.float32) @ q.T.astype(np.float32)).astype(np.int64)
     union = p.sum(axis=1)[:, None] + q.sum(axis=1) - shared
-    ok = (shared >= similar * union) & q[:, of_a[i]].T & q[:, of_a[j - 1]].T & p[:, of_b[x]] & p[:, of_b[y - 1]]
+    ok = (shared >= similar * union - 1e-9) & q[:, of_a[i]].T & q[:, of_a[j - 1]].T & p[:, of_b[x]] & p[:, of_b[y - 1]]
     if not ok.any():
         return None
-    k, m = np.unravel_index(np.argmax(np.where(ok, shared * 4 * len(values) - union, -(1 << 40))), ok.shape)
-    return int(i[k]), int(j[k]), int(x[m]), int(y[m])
+    k, m = ok.any(axis=1), ok.any(axis=0)
+    return int(i[k].min()), int(j[k].max()), int(x[m].min()), int(y[m].max())
 
 
 def _run_ends(a: np.ndarray, c: int, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,119 +206,221 @@ def _run_ends(a: np.ndarray, c: int, b: np.ndarray, least: int) -> tuple[np.ndar
     return i[wide], j[wide]
 
 
-def _among(a: np.ndarray, of: set) -> np.ndarray:
-    return np.fromiter(map(of.__contains__, a.tolist()), dtype=bool, count=len(a))
-
-
-def _similar(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
-    if len(a) == len(b) and (a == b).all():
-        return True
-    p, q = set(a.tolist()), set(b.tolist())
-    shared = len(p & q)
-    return shared >= similar * (len(p) + len(q) - shared)
+def number_repeats(h: np.ndarray, offs: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Surroundings in which a shingle that repeats is told apart by its number, counted from the centre outward.
 
-
-def _grow(hit: np.ndarray, c: int, gap: int) -> tuple[int, int]:
-    """The stretch of hits around c whose holes are at most ``gap`` wide."""
-    at = hit.nonzero()[0]
-    k = at.searchsorted(c)
-    holes = (at[1:] - at[:-1] > gap + 1).nonzero()[0]
-    h = int(holes.searchsorted(k))
-    return int(at[holes[h - 1] + 1 if h else 0]), int(at[holes[h] if h < len(holes) else len(at) - 1]) + 1
+    So shingles count as often as they occur, and a line that goes on and on is no passage
+    like any other that holds it once.
+    """
+    size = np.diff(offs)
+    item = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, item))
+    twice = np.flatnonzero((h[order][1:] == h[order][:-1]) & (item[order][1:] == item[order][:-1]))
+    if not len(twice):
+        return h
+    some = np.zeros(len(size), dtype=bool)
+    some[item[order[twice]]] = True
+    at = np.flatnonzero(some[item])
+    rel = at - offs[item[at]] - centres[item[at]]
+    by = np.lexsort((np.abs(rel), rel < 0, h[at], item[at]))
+    key = np.stack([item[at][by], h[at][by].view(np.int64), rel[by] < 0])
+    new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    number = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    # The first to the left counts on from the centre's own, or the first to the right is number 0.
+    number = number * 2 + (key[2] > 0)
+    out = h.copy()
+    many = number > 0
+    out[at[by[many]]] = mix(h[at[by[many]]] + mix(number[many].astype(np.uint64)))
+    return out
 
 
-def link_group(ids, contexts, centres, sides, least: int, similar: float, few: int = 8):
-    """(item, start, end, later) of near-duplicate passages within one group around a shared shingle.
+def project(codes: np.ndarray, centres: np.ndarray, offs: np.ndarray, shared: np.ndarray, least: int, similar: float):
+    """(usable, class hash, start, end) of each item's surroundings as the others of its group see them.
 
-    All pairs of different texts that can reach the similarity are compared (where there
-    are two sides, those from side to side), but for pairs that could only mark again what
-    is marked. A mark that adds nothing is left out.
+    Only shingles that are ``shared`` with another item can be matched; the rest are holes of which
+    no more than the width counts, and what no passage can reach (``_bounds``) does not count at
+    all. Items of one class hash match alike. Unusable are those whose shared shingles cannot make
+    up a passage.
+    """
+    n = len(offs) - 1
+    item = np.repeat(np.arange(n), np.diff(offs))
+    rel = np.arange(len(codes)) - offs[item] - centres[item]
+    reach = int(max(np.abs(rel).max(), 1)) if len(rel) else 1
+    at = np.flatnonzero(shared)
+    many = np.bincount(item[at], minlength=n)
+    order = np.lexsort((codes, item))
+    again = (codes[order[1:]] == codes[order[:-1]]) & (item[order[1:]] == item[order[:-1]])
+    repeats = np.bincount(item[order[1:][again]], minlength=n) > 0
+    # Fewer shared shingles cannot reach the similarity, unless shingles repeat.
+    first, last, fits = _bounds(item[at], rel[at] + reach, np.where(repeats, 0.0, similar), reach, least)
+    first, last = first - reach, last - reach
+    usable = fits & ((many >= similar * least) | repeats)
+    # Holes count by their width; where an item repeats itself they are kept as they are.
+    keep = (shared | repeats[item]) & (rel >= first[item]) & (rel < last[item])
+    part = mix(codes + mix(rel.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(np.where(keep, part, np.uint64(0)))))
+    ends = mix(first.astype(np.int64).view(np.uint64) * np.uint64(1 << 20) + last.astype(np.int64).view(np.uint64))
+    return usable, mix((sums[offs[1:]] - sums[offs[:-1]]) ^ ends), first + centres, last + centres
+
+
+class _Classes:
+    """Classes of a group in the order of their least texts: members and how far they are matched.
+
+    Per class and place relative to the shared shingle ``low`` and ``high`` are the least and the
+    greatest text (by rank) that a passage over the place was matched with.
     """
-    order = sorted(range(len(ids)), key=lambda k: ids[k])
-    offs = np.concatenate(([0], np.cumsum([len(contexts[k]) for k in order])))
-    unseen, unlater = np.ones(offs[-1], dtype=bool), np.ones(offs[-1], dtype=bool)
-    cross = len(set(sides)) > 1
-    out = []
 
-    def compare(i: int, k: int, own: list) -> bool:
-        """Item at place i of the order against the earlier one at place k; own holds i's set."""
-        a, b = order[i], order[k]
-
-        def sets():
-            if not own:
-                own.append(set(contexts[a].tolist()))
-            return own[0], set(contexts[b].tolist())
-
-        m = match_passages(contexts[a], centres[a], contexts[b], centres[b], least, similar, sets)
-        if not m:
-            return False
-        for at, x, lo, hi, open_, later in ((i, a, m[0], m[1], unlater, True), (k, b, m[2], m[3], unseen, False)):
-            span = slice(offs[at] + lo, offs[at] + hi)
-            if open_[span].any():
-                out.append((x, lo, hi, later))
-                unseen[span] = False
-                if later:
-                    unlater[span] = False
-        return True
-
-    if len(ids) <= few:
-        for i, a in enumerate(order):
-            own: list = []
-            for k, b in enumerate(order[:i]):
-                if ids[a] != ids[b] and not (cross and sides[a] == sides[b]):
-                    compare(i, k, own)
-        return out
-
-    flat, code = np.unique(np.concatenate([contexts[k] for k in order]), return_inverse=True)
-    item = np.repeat(np.arange(len(order)), np.diff(offs))
-    posts = np.argsort(code, kind="stable")
-    begin = np.searchsorted(code[posts], np.arange(len(flat) + 1))
-    text, side = np.array([ids[k] for k in order]), np.array([sides[k] for k in order])
-    plain = np.array([len(set(contexts[k].tolist())) == len(contexts[k]) for k in order])
-    for i in range(1, len(order)):
-        mine = code[offs[i] : offs[i + 1]]
-        size = begin[mine + 1] - begin[mine]
-        # All (place here, place in an earlier item) with the same shingle.
+    def __init__(self, text: np.ndarray, of: np.ndarray, reach: int):
+        order = np.lexsort((text, of))
+        heads = np.flatnonzero(np.diff(of[order], prepend=-1))
+        self.members = np.split(order, heads[1:])
+        self.members.sort(key=lambda m: text[m[0]])
+        self.first = np.array([text[m[0]] for m in self.members])
+        self.last = np.array([text[m[-1]] for m in self.members])
+        self.low = np.full((len(self.members), 2 * reach + 1), 1 << 30, dtype=np.int32)
+        self.high = np.full(self.low.shape, -1, dtype=np.int32)
+        self.own = len(np.unique(text)) == len(text)  # no text is there twice
+
+    def add(self, x: int, y: int, span: slice) -> None:
+        """A passage over ``span`` of class x was matched with class y."""
+        np.minimum(self.low[x, span], self.first[y], out=self.low[x, span])
+        np.maximum(self.high[x, span], self.last[y], out=self.high[x, span])
+
+    def open(self, x, before: int) -> np.ndarray:
+        """Places of class(es) x of which a match with a class whose least text is ``before`` could tell more than is known."""
+        low = self.low[x]
+        return low > before if self.own else (low > before) | (low == self.high[x])
+
+
+def link_group(ids, contexts, centres, sides, least: int, similar: float, reach: int | None = None):
+    """(items, [(start, end, low, high)]) for each class of one group around a shared shingle.
+
+    A class is a list of items that match alike (``project``); places count from the centre,
+    ``low`` and ``high`` are the least and the greatest id that a passage over these places
+    matches. All pairs of different texts that can reach the similarity are compared, class by
+    class (where there are two sides, those from side to side), but for pairs that could only tell again what is known.
+    """
+    reach = max([REACH, *map(len, contexts)]) if reach is None else reach
+    names, text = np.unique(np.asarray(ids), return_inverse=True)
+    offs = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
+    centres, sides = np.asarray(centres, dtype=np.int64), np.asarray(sides)
+    flat, code = np.unique(np.concatenate(contexts), return_inverse=True)
+    item = np.repeat(np.arange(len(ids)), np.diff(offs))
+    pairs = np.unique(code * np.int64(len(names)) + text[item])
+    shared = np.bincount(pairs // len(names), minlength=len(flat))[code] > 1
+    usable, x, first, last = project(flat[code].astype(np.uint64), centres, offs, shared, least, similar)
+    place = np.arange(len(code)) - offs[item]
+    shared &= (place >= first[item]) & (place < last[item])
+    cross = len(np.unique(sides)) > 1
+    if cross:
+        x = x * np.uint64(2) + sides.astype(np.uint64)
+    use = np.flatnonzero(usable)
+    if len(use) < 2:
+        return []
+    classes = _Classes(text[use], np.unique(x[use], return_inverse=True)[1], reach)
+    members = [use[m] for m in classes.members]
+    once = np.array([len(np.unique(c)) == len(c) for c in contexts])
+
+    def compare(i: int, k: int, a: int, b: int) -> None:
+        if text[a] == text[b]:
+            return
+        m = match_passages(contexts[a], centres[a], contexts[b], centres[b], least, similar, bool(once[a] and once[b]))
+        if m:
+            at = lambda c, lo, hi: slice(int(lo - c + reach), int(hi - c + reach))
+            classes.add(i, k, at(centres[a], m[0], m[1]))
+            classes.add(k, i, at(centres[b], m[2], m[3]))
+
+    if not cross:
+        for i, m in enumerate(members):
+            if len(m) > 1:
+                compare(i, i, m[0], m[-1])
+    # Of each class its first item stands for all, with only the shingles that are shared.
+    reps = np.array([m[0] for m in members])
+    own = [np.arange(offs[r], offs[r + 1])[shared[offs[r] : offs[r + 1]]] for r in reps]
+    sizes = np.array([len(o) for o in own])
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.concatenate(own)
+    cls, what, place = np.repeat(np.arange(len(reps)), sizes), code[at], at - np.repeat(offs[reps], sizes)
+    posts = np.argsort(what, kind="stable")
+    begin = np.searchsorted(what[posts], np.arange(len(flat) + 1))
+    plain = np.array([len(np.unique(what[a:b])) == b - a for a, b in zip(start, start[1:], strict=False)])
+    side = sides[reps]
+    for i in range(1, len(reps)):
+        mine = what[start[i] : start[i + 1]]
+        # All (place here, place in an earlier class) with the same shingle.
+        ends = begin[mine] + _before(posts, begin, mine, start[i])
+        size = ends - begin[mine]
         here = np.repeat(np.arange(len(mine)), size)
         there = posts[np.arange(len(here)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)]
-        before = there < offs[i]
-        here, there = here[before], there[before]
         if not len(here):
             continue
-        # Fewer shared shingles cannot reach the similarity, unless shingles repeat on both sides.
-        count = np.bincount(item[there], minlength=i)
-        can = (count >= np.where(plain[:i] | plain[i], similar * least, 1)) & (text[:i] != text[i])
+        count = np.bincount(cls[there], minlength=i)
+        can = count >= np.where(plain[:i] | plain[i], similar * least, 1)
         if cross:
             can &= side[:i] != side[i]
-        use = can[item[there]]
-        here, there = here[use], there[use]
-        if not len(here):
+        can = np.flatnonzero(can)
+        if not len(can):
             continue
-        # A passage ends at shared shingles, so what these span must be wide enough.
-        low, high = np.full(i, len(mine)), np.full(i, -1)
-        np.minimum.at(low, item[there], here)
-        np.maximum.at(high, item[there], here)
-        there.sort()
-        first = np.flatnonzero(np.diff(item[there], prepend=-1))
-        k = item[there[first]]
-        start, stop = there[first], there[np.append(first[1:], len(there)) - 1]
-        wide = (stop - start + 1 >= least) & (high[k] - low[k] + 1 >= least)
-        k, start, stop = k[wide], start[wide], stop[wide]
-        by = np.argsort(-count[k], kind="stable")
-        k, start, stop = k[by], start[by], stop[by]
-        own = []
-        while len(k):
-            todo = np.concatenate(([0], np.cumsum(unlater[offs[i] : offs[i + 1]])))
-            theirs = np.concatenate(([0], np.cumsum(unseen[: offs[i]])))
-            adds = (todo[high[k] + 1] > todo[low[k]]) | (theirs[stop + 1] > theirs[start])
-            k, start, stop = k[adds], start[adds], stop[adds]
-            n = next((n for n, x in enumerate(k.tolist()) if compare(i, x, own)), len(k))
-            k, start, stop = k[n + 1 :], start[n + 1 :], stop[n + 1 :]
+        row = np.full(i, -1)
+        row[can] = np.arange(len(can))
+        use = row[cls[there]] >= 0
+        here, there = here[use], there[use]
+        a = reps[i]
+        tight = np.where(plain[can] & plain[i], similar, 0.0)
+        lo, hi, fits = _bounds(row[cls[there]], place[start[i] + here] - centres[a] + reach, tight, reach, least)
+        down, up, fits_too = _bounds(row[cls[there]], place[there] - centres[reps[cls[there]]] + reach, tight, reach, least)
+        todo = np.flatnonzero(fits & fits_too)
+        todo = todo[np.argsort(-count[can[todo]], kind="stable")]
+        theirs = np.zeros((len(todo), 2 * reach + 2), dtype=np.int32)
+        np.cumsum(classes.open(can[todo], classes.first[i]), axis=1, out=theirs[:, 1:])
+        n = np.arange(len(todo))
+        theirs = theirs[n, up[todo]] > theirs[n, down[todo]]
+        while len(todo):
+            # A later class is done where an earlier text is known; an earlier one where any is.
+            mine = np.concatenate(([0], np.cumsum(classes.open(i, classes.first[i] - 1))))
+            adds = np.flatnonzero(theirs | (mine[hi[todo]] > mine[lo[todo]]))
+            if not len(adds):
+                break
+            k = int(can[todo[adds[0]]])
+            todo, theirs = todo[adds[1:]], theirs[adds[1:]]
+            b = reps[k]
+            if text[a] != text[b]:
+                compare(i, k, a, b)
+            else:  # another text of either class
+                compare(i, k, members[i][-1], b) if text[members[i][-1]] != text[b] else compare(i, k, a, members[k][-1])
+    out = []
+    for i, m in enumerate(members):
+        known = classes.high[i] >= 0
+        if known.any():
+            low, high = classes.low[i], classes.high[i]
+            cut = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+            out.append((m, [(int(s - reach), int(e - reach), names[low[s]], names[high[s]]) for s, e in zip(cut, cut[1:], strict=False) if known[s]]))
     return out
 
 
+def _bounds(row: np.ndarray, at: np.ndarray, similar: np.ndarray, c: int, least: int):
+    """(start, end, usable) per row of what passages around c can take in if the shingles at its places ``at`` are shared.
+
+    A passage ends at shared shingles and at least ``similar`` of its shingles are shared.
+    """
+    hit = np.zeros((len(similar), 2 * c + 1), dtype=bool)
+    hit[row, at] = True
+    over = np.zeros((len(similar), 2 * c + 2), dtype=np.float32)
+    np.cumsum(hit - similar[:, None].astype(np.float32), axis=1, out=over[:, 1:])
+    left, right = over[:, : c + 1], over[:, c + 1 :]
+    starts = hit[:, : c + 1] & (left <= right.max(axis=1, keepdims=True) + 1e-3)
+    ends = hit[:, c:] & (right >= left.min(axis=1, keepdims=True) - 1e-3)
+    start, end = starts.argmax(axis=1), 2 * c + 1 - ends[:, ::-1].argmax(axis=1)
+    return start, end, starts.any(axis=1) & ends.any(axis=1) & (end - start >= least)
+
+
+def _before(posts: np.ndarray, begin: np.ndarray, codes: np.ndarray, end: int) -> np.ndarray:
+    """How many of each code's posts, which ascend, come before ``end``."""
+    return np.array([np.searchsorted(posts[begin[c] : begin[c + 1]], end) for c in codes.tolist()], dtype=np.int64)
+
+
 def fold_equal(batches, schema):
-    """Of rows sorted by (key, x, t): one row of each (key, x), and a mark for each row of those with several texts.
+    """Of rows sorted by (key, x, h1, h2): one row of each (key, x), and a mark for each row of those with several texts.
 
     Marks have a null key; rows that are marks already (``m`` is 0 or 1 for later) pass. What is carried between batches is the open group's first
     text and that text's rows, never the group.
@@ -284,7 +430,7 @@ def fold_equal(batches, schema):
 
     def rows(i, b, later=None, key=None):
         n = len(i)
-        cols = {c: b[c][i] for c in ("t", "c", "s", "e")}
+        cols = {c: b[c][i] for c in ("h1", "h2", "c", "s", "e")}
         return to_batch({"key": pa.nulls(n, pa.int64()) if key is None else key, **cols, "later": pa.nulls(n, pa.bool_()) if later is None else later}, schema)
 
     for batch in batches:
@@ -296,18 +442,18 @@ def fold_equal(batches, schema):
             b = {c: v[b["m"] < 0] for c, v in b.items()}
             if not len(b["key"]):
                 continue
-        k, y, t = b["key"], b["x"], b["t"]
+        k, y, t = b["key"], b["x"], np.rec.fromarrays([b["h1"], b["h2"]])
         new = np.concatenate(([(k[0], y[0]) != (key, x)], (k[1:] != k[:-1]) | (y[1:] != y[:-1])))
         heads = np.flatnonzero(new)
         lead = np.arange(heads[0] if len(heads) else len(k))
         if len(lead):  # the group that is open from the batch before
-            if not many and t[lead[-1]] != head:
+            if not many and t[lead[-1]].item() != head:
                 many = True
                 for h in held:
-                    yield rows(np.arange(len(h["t"])), h, np.zeros(len(h["t"]), dtype=bool))
+                    yield rows(np.arange(len(h["h1"])), h, np.zeros(len(h["h1"]), dtype=bool))
                 held = []
             if many:
-                yield rows(lead, b, t[lead] != head)
+                yield rows(lead, b, (b["h1"][lead] != head[0]) | (b["h2"][lead] != head[1]))
             else:
                 held.append({c: b[c][lead] for c in b})
         if not len(heads):
@@ -319,27 +465,30 @@ def fold_equal(batches, schema):
         inside = np.flatnonzero((group >= 0) & several[group]) if several.any() else np.zeros(0, np.int64)
         if len(inside):
             yield rows(inside, b, t[inside] != t[heads][group[inside]])
-        key, x, head, many = k[-1], y[-1], t[heads[-1]], bool(several[-1])
+        key, x, head, many = k[-1], y[-1], t[heads[-1]].item(), bool(several[-1])
         held = [] if many else [{c: b[c][heads[-1] :] for c in b}]
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(t, n, low, z): distinct texts by 64-bit hash, their documents' number and least id."""
-    schema = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
+    """(h1, h2, n, low, z): distinct texts by 128 bits of hash, their documents' number and least id."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
-            yield to_batch({"t": b.column(0), "doc_id": b.column(1), "z": [z.compress(t) for t in column_bytes(b, "text")]}, schema)
+            yield to_batch({"h1": b.column(0), "h2": b.column(1), "doc_id": b.column(2), "z": [z.compress(t) for t in column_bytes(b, "text")]}, schema)
 
-    rows = docs.select(F.xxhash64("text").alias("t"), "doc_id", "text").mapInArrow(squeeze, "t long, doc_id long, z binary")
-    return materialize(rows.groupBy("t").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "passage-texts")
+    rows = docs.select(*text_key(), "doc_id", "text").mapInArrow(squeeze, "h1 long, h2 long, doc_id long, z binary")
+    return materialize(rows.groupBy("h1", "h2").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "passage-texts")
 
 
 def _bits(spark, counted: DataFrame):
-    """A broadcast bit for each prefix of ``key``; its size is fixed, and a chance hit only costs a row."""
-    slot = F.shiftrightunsigned("key", 64 - TABLE)
-    word = counted.groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
+    """A broadcast Bloom table of ``key``; its size is fixed, and a chance hit only costs a row or splits a class."""
+    low = F.lit((1 << TABLE) - 1)
+    key = F.col("key")
+    probes = [F.shiftrightunsigned(key, 64 - TABLE), F.shiftrightunsigned(key, 10).bitwiseAND(low), key.bitwiseXOR(F.shiftrightunsigned(key, 29)).bitwiseAND(low)]
+    slots = counted.select(F.explode(F.array(*probes)).alias("slot"))
+    word = slots.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
     got = word.toArrow()
     bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
     bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
@@ -347,167 +496,213 @@ def _bits(spark, counted: DataFrame):
 
 
 def _in_bits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    p = (key >> np.uint64(64 - TABLE)).astype(np.int64)
-    return (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    low, hit = np.uint64((1 << TABLE) - 1), np.ones(len(key), dtype=bool)
+    for p in (key >> np.uint64(64 - TABLE), key >> np.uint64(10) & low, (key ^ key >> np.uint64(29)) & low):
+        hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
 
 
-def _that_share(texts: DataFrame, member: DataFrame, least: int, similar: float) -> DataFrame:
-    """Those rows of ``member`` whose shingles that others of their group have can make up a passage.
+def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) -> DataFrame:
+    """(key, x, h1, h2, c, s, e): usable rows of ``member`` with their class ``x`` (see ``project``).
 
-    A passage ends at shared shingles, so these must span its width; and there must be
-    enough of them for the similarity, unless shingles repeat.
+    Which shingles are shared is counted over each whole group; a bit table of fixed size
+    carries it, in which a chance hit makes two classes of one but loses nothing.
     """
-    places = member.groupBy("t").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("p"))
-    joined = texts.join(places, "t").select("t", "z", "p")
+    places = member.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("p"))
+    joined = texts.join(places, ["h1", "h2"]).select("h1", "h2", "z", "p")
 
-    def surroundings(batches):
+    def surroundings(b):
+        """Per slice: (row, key, c, s) of each place and the joined shingles around, with offsets."""
         unzip = zstandard.ZstdDecompressor()
-        for b in slices(batches, "z", 1 << 19):
-            h, first, *_ = shingled([unzip.decompress(z) for z in b.column(1).to_pylist()])
-            for i, (t, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for p in places:
-                    yield t, p, mix(h[first[i] + p["s"] : first[i] + p["e"]] ^ mix(np.array([p["key"]], dtype=np.int64).view(np.uint64)))
+        for b in slices([b], "z", 1 << 18):
+            h, first, *_ = shingled([unzip.decompress(z) for z in b.column(2).to_pylist()])
+            at = [(i, p["key"], p["c"], p["s"], p["e"]) for i, places in enumerate(b.column(3).to_pylist()) for p in places]
+            i, key, c, s, e = (np.array(v, dtype=np.int64) for v in zip(*at, strict=True))
+            size = e - s
+            offs = np.concatenate(([0], np.cumsum(size)))
+            where = np.arange(offs[-1]) - np.repeat(offs[:-1], size) + np.repeat(first[i] + s, size)
+            yield b, i, key, c, s, number_repeats(h[where], offs, c - s), offs
+
+    def of_group(key, h, offs):
+        return mix(h ^ mix(np.repeat(key.view(np.uint64), np.diff(offs))))
 
     def emit(batches):
-        for b in batches:
-            keys = [np.unique(x) for _, _, x in surroundings([b])]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
-
-    table = _bits(texts.sparkSession, joined.mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    kept = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+        for batch in batches:
+            for _, i, key, _, _, h, offs in surroundings(batch):
+                u = of_group(key, h, offs)
+                of = np.repeat(i, np.diff(offs))  # a text counts once
+                by = np.lexsort((of, u))
+                u, of = u[by], of[by]
+                once = np.concatenate(([True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])))
+                u, n = np.unique(u[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    table = _bits(texts.sparkSession, joined.mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
+    kept = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def keep(batches):
-        for b in batches:
-            rows = []
-            for t, p, x in surroundings([b]):
-                at = _in_bits(table.value, x).nonzero()[0]
-                if len(at) and at[-1] - at[0] + 1 >= least and (len(at) >= similar * least or len(np.unique(x)) < len(x)):
-                    rows.append((p["key"], t, p["c"], p["s"], p["e"]))
-            if rows:
-                yield to_batch(dict(zip(kept.names, zip(*rows, strict=True), strict=True)), kept)
+        for batch in batches:
+            for b, i, key, c, s, h, offs in surroundings(batch):
+                usable, x, first, last = project(h, c - s, offs, _in_bits(table.value, of_group(key, h, offs)), least, similar)
+                at = np.flatnonzero(usable)
+                if len(at):
+                    row = i[at]
+                    cols = {"h1": b.column(0).to_numpy()[row], "h2": b.column(1).to_numpy()[row], "key": key[at], "x": x[at].view(np.int64), "c": c[at].astype(np.int32), "s": (s + first)[at].astype(np.int32), "e": (s + last)[at].astype(np.int32)}
+                    yield to_batch(cols, kept)
 
-    return joined.mapInArrow(keep, "key long, t long, c int, s int, e int")
+    return materialize(joined.mapInArrow(keep, "key long, x long, h1 long, h2 long, c int, s int, e int"), "hot-members")
 
 
-def _blocks(member: DataFrame) -> DataFrame:
-    """``member`` with (part, side): groups dealt over blocks of about ``GROUP``; each part holds two blocks, or one as it is."""
-    parts = member.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
-    pairs = member.join(parts, "key").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+def _representatives(hot: DataFrame) -> DataFrame:
+    """The first and the last member of each class, dealt over blocks of classes: (key, part, side, x, h1, h2, c, s, e).
+
+    Each part holds two blocks, which meet, or one, whose classes all meet.
+    """
+    whole = F.struct("h1", "h2", "c", "s", "e")
+    ends = hot.groupBy("key", "x").agg(F.min(whole).alias("a"), F.max(whole).alias("z"))
+    parts = ends.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")
+    reps = ends.join(parts, "key").withColumn("block", block).withColumn("r", F.explode(F.array_distinct(F.array("a", "z"))))
+    reps = reps.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     part = F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
-    return pairs.select("key", "t", "c", "s", "e", part.alias("part"), (F.col("block") > F.col("other")).alias("side"))
+    return reps.select("key", part.alias("part"), (F.col("block") > F.col("other")).alias("side"), "x", "r.*")
 
 
 def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float = SIMILAR, functions: int = FUNCTIONS) -> DataFrame:
-    """(t, s, e, later): word ranges of texts that near-duplicate a passage of another text.
-
-    ``later`` says that the other text comes first (by hash), so that dropping all
-    later ones leaves one. Surroundings that are equal shingle by shingle are one
-    group member. Of a shingle with very many different surroundings (a common line)
-    those go that share too little with the rest of the group for any passage; the
-    others are dealt over blocks, and every two blocks meet.
+    """(h1, h2, s, e, later): word ranges of texts that near-duplicate a passage of another text.
+
+    ``later`` says that another such text comes first (by hash), so that dropping all later
+    ones leaves one. Surroundings that are equal shingle by shingle are one group member.
+    A shingle that repeats counts with its number (``number_repeats``). Groups of any size are compared whole: members that look alike to the others are one
+    class, of which the first and the last text stand for all, so a passage or line in a
+    third of all documents makes a few classes; what a class matches is joined back to its
+    members. Shingles are told apart by 32 bits within a group, texts by 128.
     """
     least = least_words - SHINGLE + 1
+    run = shared_run(least, similar)
     spark = texts.sparkSession
 
     def all_windows(b):
-        h, first, *_ = shingled([zstandard.ZstdDecompressor().decompress(z) for z in b.column(1).to_pylist()])
+        h, first, *_ = shingled([zstandard.ZstdDecompressor().decompress(z) for z in b.column(2).to_pylist()])
         for k in range(functions):
-            c, l, r = compact_windows(h, first, k, least)
-            yield k, h, first, c, l, r
+            c, _, _ = compact_windows(h, first, k, run, run)
+            d = np.searchsorted(first, c, "right") - 1
+            s, e = np.maximum(c - REACH, first[d]), np.minimum(c + REACH + 1, first[d + 1])
+            wide = (e - s >= least) & ~inside_runs(h, first, c)  # else there is no room for a passage
+            yield k, h, first, c[wide], s[wide], e[wide], d[wide]
 
     def seen(batches):
         for b in slices(batches, "z", 1 << 20):
-            for k, h, _, c, _, _ in all_windows(b):
+            for k, h, _, c, *_ in all_windows(b):
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(h[c], k).view(np.int64))], names=["key"])
 
-    rows = texts.select("t", "z")
+    rows = texts.select("h1", "h2", "z")
     counted = rows.mapInArrow(seen, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     table = _bits(spark, counted)
-    schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
 
     def emit(batches):
         for b in slices(batches, "z", 1 << 20):
-            t = b.column(0).to_numpy()
-            for k, h, first, c, l, r in all_windows(b):
+            h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k, h, first, c, s, e, d in all_windows(b):
                 key = _keys(h[c], k)
                 use = _in_bits(table.value, key)
-                c, l, r, key = c[use], l[use], r[use], key[use]
+                c, s, e, d, key = c[use], s[use], e[use], d[use], key[use]
                 if not len(c):
                     continue
-                pre = np.concatenate(([np.uint64(0)], np.cumsum(h * np.uint64(2) + np.uint64(1))))
-                x = mix((pre[r + 1] - pre[l]) ^ mix(pre[c + 1] - pre[l]) + (c - l).astype(np.uint64) * np.uint64(1 << 32) + (r - l).astype(np.uint64))
-                d = np.searchsorted(first, c, "right") - 1
-                cols = {"key": key.view(np.int64), "x": x.view(np.int64), "t": t[d], "c": (c - first[d]).astype(np.int32), "s": (l - first[d]).astype(np.int32), "e": (r + 1 - first[d]).astype(np.int32)}
+                pre = np.concatenate(([np.uint64(0)], np.cumsum(mix(h * np.uint64(2) + np.uint64(1)) * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))))
+                flat = np.concatenate(([np.uint64(0)], np.cumsum(mix(h * np.uint64(2) + np.uint64(1)))))
+                # The sum of hashes times places, counted from the surroundings' start: order counts.
+                x = mix((pre[e] - pre[s]) - (flat[e] - flat[s]) * (s.astype(np.uint64) * np.uint64(2)) ^ mix((c - s).astype(np.uint64) * np.uint64(1 << 32) + (e - s).astype(np.uint64)))
+                cols = {"key": key.view(np.int64), "x": x.view(np.int64), "h1": h1[d], "h2": h2[d], "c": (c - first[d]).astype(np.int32), "s": (s - first[d]).astype(np.int32), "e": (e - first[d]).astype(np.int32)}
                 # Equal surroundings of several texts in the slice are marked here; those of the first text go on.
-                order = np.lexsort((cols["t"], cols["x"], cols["key"]))
+                order = np.lexsort((cols["h2"], cols["h1"], cols["x"], cols["key"]))
                 ordered = {n: v[order] for n, v in cols.items()}
+                differs = lambda i, j: (ordered["h1"][i] != ordered["h1"][j]) | (ordered["h2"][i] != ordered["h2"][j])  # noqa: B023, E731
                 new = np.concatenate(([True], (ordered["key"][1:] != ordered["key"][:-1]) | (ordered["x"][1:] != ordered["x"][:-1])))
                 heads = np.flatnonzero(new)
                 group = np.cumsum(new) - 1
-                least_t = ordered["t"][heads][group]
-                several = (ordered["t"][np.append(heads[1:], len(order)) - 1] != ordered["t"][heads])[group]
-                on, known = np.flatnonzero(ordered["t"] == least_t), np.flatnonzero(several)
+                several = differs(np.append(heads[1:], len(order)) - 1, heads)[group]
+                on, known = np.flatnonzero(~differs(np.arange(len(order)), heads[group])), np.flatnonzero(several)
                 at = np.concatenate((on, known))
-                yield to_batch({n: v[at] for n, v in ordered.items()} | {"m": np.concatenate((np.full(len(on), -1), ordered["t"][known] != least_t[known])).astype(np.int32)}, schema)
+                yield to_batch({n: v[at] for n, v in ordered.items()} | {"m": np.concatenate((np.full(len(on), -1), differs(known, heads[group[known]]))).astype(np.int32)}, schema)
 
-    found = rows.mapInArrow(emit, "key long, x long, t long, c int, s int, e int, m int")
-    folded = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
-    spread = F.when(F.col("m") >= 0, F.xxhash64("t", "s")).otherwise(F.lit(0).cast("long"))  # marks need no company
-    found = found.repartition(F.col("key"), F.col("x"), spread).sortWithinPartitions((F.col("m") >= 0), "key", "x", "t", "s")
-    found = materialize(found.mapInArrow(lambda it: fold_equal(it, folded), "key long, t long, c int, s int, e int, later boolean"), "windows")
+    found = rows.mapInArrow(emit, "key long, x long, h1 long, h2 long, c int, s int, e int, m int")
+    folded = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
+    spread = F.when(F.col("m") >= 0, F.xxhash64("h1", "s")).otherwise(F.lit(0).cast("long"))  # marks need no company
+    found = found.repartition(F.col("key"), F.col("x"), spread).sortWithinPartitions((F.col("m") >= 0), "key", "x", "h1", "h2", "s")
+    found = materialize(found.mapInArrow(lambda it: fold_equal(it, folded), "key long, h1 long, h2 long, c int, s int, e int, later boolean"), "windows")
     # Equal surroundings in different texts are near duplicates as they are.
-    same = found.filter("key is null").select("t", "s", (F.col("e") + SHINGLE - 1).alias("e"), "later")
+    same = found.filter("key is null").select("h1", "h2", "s", (F.col("e") + SHINGLE - 1).alias("e"), "later")
     kinds = found.filter("key is not null")
-    groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter("m > 1 and t0 <> t1").select("key", "m")
-    member = materialize(kinds.join(groups, "key").select("key", "t", "c", "s", "e", (F.col("m") > GROUP).alias("hot")), "window-members")
-    placed = member.filter("not hot").select("key", "t", "c", "s", "e", F.lit(0).alias("part"), F.lit(False).alias("side"))
+    t = F.struct("h1", "h2")
+    groups = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(t).alias("t0"), F.max(t).alias("t1")).filter("m > 1 and t0 <> t1").select("key", "m")
+    member = materialize(kinds.join(groups, "key").select("key", "h1", "h2", "c", "s", "e", (F.col("m") > HOT).alias("hot")), "window-members")
+    placed = member.filter("not hot").select("key", F.lit(0).alias("part"), F.lit(False).alias("side"), F.lit(None).cast("long").alias("x"), "h1", "h2", "c", "s", "e")
     hot = member.filter("hot").drop("hot")
-    if not hot.isEmpty():
-        placed = placed.unionByName(_blocks(materialize(_that_share(rows, hot, least, similar), "hot-members")))
-    places = placed.groupBy("t").agg(F.collect_list(F.struct("key", "part", "c", "s", "e", "side")).alias("p"))
-    sent = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("side", pa.bool_()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("h", pa.binary())])
+    if some := not hot.isEmpty():
+        hot = _classes(rows, hot, least, similar)
+        placed = placed.unionByName(_representatives(hot))
+    places = placed.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "part", "side", "x", "c", "s", "e")).alias("p"))
+    sent = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("side", pa.bool_()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("h", pa.binary())])
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 19):
-            h, first, *_ = shingled([unzip.decompress(z) for z in b.column(1).to_pylist()])
+            h, first, *_ = shingled([unzip.decompress(z) for z in b.column(2).to_pylist()])
+            at = [(first[i], p["key"], p["part"], p["side"], p["x"], h1, h2, p["c"], p["s"], p["e"]) for i, (h1, h2, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)) for p in places]
+            o, *cols, e = zip(*at, strict=True)
+            o, c, s, e = (np.array(v, dtype=np.int64) for v in (o, cols[-2], cols[-1], e))
+            offs = np.concatenate(([0], np.cumsum(e - s)))
+            h = number_repeats(h[np.arange(offs[-1]) - np.repeat(offs[:-1] - o - s, e - s)], offs, c - s)
             h = (h >> np.uint64(32)).astype(np.uint32)
-            rows = []
-            for i, (t, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                o = first[i]
-                rows += [(p["key"], p["part"], p["side"], t, p["c"], p["s"], h[o + p["s"] : o + p["e"]].tobytes()) for p in places]
-            yield to_batch(dict(zip(sent.names, zip(*rows, strict=True), strict=True)), sent)
+            cols.append([h[lo:hi].tobytes() for lo, hi in zip(offs, offs[1:], strict=False)])
+            yield to_batch(dict(zip(sent.names, cols, strict=True)), sent)
 
-    around = rows.join(places, "t").select("t", "z", "p").mapInArrow(cut, "key long, part int, side boolean, t long, c int, s int, h binary")
-    out = pa.schema([("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
+    around = rows.join(places, ["h1", "h2"]).select("h1", "h2", "z", "p").mapInArrow(cut, "key long, part int, side boolean, x long, h1 long, h2 long, c int, s int, h binary")
+    fields = [("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_()), *[(n, pa.int64()) for n in ("low1", "low2", "high1", "high2")]]
+    out = pa.schema(fields)
 
     def compare(batches):
         """Groups lie one after another in each partition, sorted; one group is held at a time."""
 
         def link(group):
-            t = [g[0] for g in group]
-            ctx = [np.frombuffer(g[3], dtype=np.uint32) for g in group]
-            found = link_group(t, ctx, [g[1] - g[2] for g in group], [g[4] for g in group], least, similar)
-            return [(t[i], group[i][2] + a, group[i][2] + z + SHINGLE - 1, bool(later)) for i, a, z, later in found]
+            ids = np.rec.fromarrays([np.array([g[1] for g in group], dtype=np.int64), np.array([g[2] for g in group], dtype=np.int64)], names="a,b")
+            ctx = [np.frombuffer(g[5], dtype=np.uint32) for g in group]
+            rows = []
+            for items, spans in link_group(ids, ctx, [g[3] - g[4] for g in group], [g[6] for g in group], least, similar, REACH):
+                for x in dict.fromkeys(group[i][0] for i in items if group[i][0] is not None):
+                    rows += [(now[0], x, None, None, s, e, None, *low.item(), *high.item()) for s, e, low, high in spans]
+                for i in items:
+                    if group[i][0] is None:
+                        own, c = (group[i][1], group[i][2]), group[i][3]
+                        rows += [(None, None, *own, c + s, c + e + SHINGLE - 1, low.item() < own, None, None, None, None) for s, e, low, high in spans if low.item() != own or high.item() != own]
+            return rows
 
         rows, group, now = [], [], None
         for b in batches:
-            for key, part, side, t, c, s, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, part, side, x, h1, h2, c, s, h in zip(*(v.to_pylist() for v in b.columns), strict=True):
                 if (key, part) != now:
                     if len(group) > 1:
                         rows += link(group)
                     now, group = (key, part), []
-                group.append((t, c, s, h, side))
+                group.append((x, h1, h2, c, s, h, side))
             if rows:
                 yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
                 rows = []
         if len(group) > 1 and (rows := link(group)):
             yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
 
-    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "t").mapInArrow(compare, "t long, s int, e int, later boolean")
-    return materialize(same.unionByName(linked).distinct(), "passages")
+    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "h1", "h2", "c").mapInArrow(compare, "key long, x long, h1 long, h2 long, s int, e int, later boolean, low1 long, low2 long, high1 long, high2 long")
+    columns = ["h1", "h2", "s", "e", "later"]
+    if some:
+        linked = materialize(linked, "passage-links")
+        of = linked.filter("key is not null").select("key", "x", F.col("s").alias("from"), F.col("e").alias("to"), F.struct("low1", "low2").alias("low"), F.struct("high1", "high2").alias("high"))
+        t = F.struct(F.col("h1").alias("low1"), F.col("h2").alias("low2"))
+        all_of = hot.join(of, ["key", "x"]).filter((t != F.col("low")) | (t != F.struct(F.col("high.high1").alias("low1"), F.col("high.high2").alias("low2"))))
+        all_of = all_of.select("h1", "h2", (F.col("c") + F.col("from")).alias("s"), (F.col("c") + F.col("to") + SHINGLE - 1).alias("e"), (F.col("low") < t).alias("later"))
+        linked = linked.filter("key is null").select(*columns).unionByName(all_of)
+    return materialize(same.unionByName(linked.select(*columns)).distinct(), "passages")
 
 
 def near_duplicate_passages(docs: DataFrame, least_words: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
@@ -540,25 +735,25 @@ def _pairs(flat) -> list[tuple[int, int]]:
 
 
 def _marked(docs: DataFrame, least_words: int, similar: float) -> DataFrame:
-    """(doc_id, t, n_words, spans, removed) of all documents; ranges flat, in words."""
+    """(doc_id, h1, h2, n_words, spans, removed) of all documents; ranges flat, in words."""
     texts = distinct_texts(docs)
-    found = find_passages(texts, least_words, similar).groupBy("t").agg(F.collect_list(F.struct("s", "e", "later")).alias("p"))
-    schema = pa.schema([("t", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("removed", pa.list_(pa.int32())), ("n", pa.int64()), ("low", pa.int64())])
+    found = find_passages(texts, least_words, similar).groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e", "later")).alias("p"))
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("removed", pa.list_(pa.int32())), ("n", pa.int64()), ("low", pa.int64())])
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 20):
             rows = []
-            for t, z, n, low, p in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for h1, h2, z, n, low, p in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 size = len(unzip.decompress(z).split())
                 whole = [(0, size)] if n > 1 and size >= least_words else []
                 spans = merge_spans([(x["s"], x["e"]) for x in p or []] + whole)
                 gone = merge_spans([(x["s"], x["e"]) for x in p or [] if x["later"]])
-                rows.append((t, size, [v for s in spans for v in s], [v for s in gone for v in s], n, low))
+                rows.append((h1, h2, size, [v for s in spans for v in s], [v for s in gone for v in s], n, low))
             yield to_batch(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
-    done = texts.select("t", "z", "n", "low").join(found, "t", "left").mapInArrow(run, "t long, n_words long, spans array<int>, removed array<int>, n long, low long")
-    return docs.select("doc_id", F.xxhash64("text").alias("t")).join(done, "t").withColumn("removed", _of_copies(least_words)).drop("n", "low")
+    done = texts.select("h1", "h2", "z", "n", "low").join(found, ["h1", "h2"], "left").mapInArrow(run, "h1 long, h2 long, n_words long, spans array<int>, removed array<int>, n long, low long")
+    return docs.select("doc_id", *text_key()).join(done, ["h1", "h2"]).withColumn("removed", _of_copies(least_words)).drop("n", "low")
 
 
 def _of_copies(least_words: int):
@@ -585,10 +780,13 @@ def drop_repeats(docs: DataFrame, least_words: int = PASSAGE, similar: float = S
     stay null. Rows with a clean text are not changed.
     """
     plain, names = text_docs(docs), docs.columns
-    marks = _marked(plain, least_words, similar).filter(F.size("removed") > 0).groupBy("doc_id", "t").agg(F.first("removed").alias("__removed"))
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    marks = marks.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__m"), "__removed")
-    joined = keyed.join(marks, keyed["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__m")), "left").select(*[keyed[c] for c in docs.columns], "__removed")
+    marks = _marked(plain, least_words, similar).filter(F.size("removed") > 0).groupBy("doc_id", "h1", "h2").agg(F.first("removed").alias("removed"))
+    doc, h1, h2, gone = free_names(names, "doc", "h1", "h2", "gone")
+    marks = marks.toDF(doc, h1, h2, gone)
+    same = docs["doc_id"].cast("long").eqNullSafe(marks[doc])
+    for key, h in zip(text_key(F.coalesce(docs["text"], F.lit(""))), (h1, h2), strict=True):
+        same &= key == marks[h]
+    joined = docs.join(marks, same, "left").select(*[docs[f"`{c}`"] for c in names], gone)
 
     def run(batches):
         for batch in batches:

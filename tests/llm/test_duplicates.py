@@ -227,7 +227,7 @@ def test_common_shingle_is_split(spark, monkeypatch):
 
 def test_no_exact_repeat_is_lost_between_parts(spark, monkeypatch):
     monkeypatch.setattr(compact, "GROUP", 4)
-    monkeypatch.setattr(compact, "SEEDS", 1)
+    monkeypatch.setattr(compact, "HOT", 1)
     line = prose(34, 48)  # one shingle short of a passage of its own
     rows = [(i, prose(2000 + i, 60) + " " + line + " " + prose(3000 + i, 60)) for i in range(80)]
     rows += [(100 + i, prose(4000 + i, 60) + " " + line + " " + prose(35 + i // 2, 4) + " " + prose(5000 + i, 60)) for i in range(12)]
@@ -260,8 +260,8 @@ def test_folds_do_not_depend_on_batches():
         assert sorted(r["s"] for r in got if r["a"] is not None) == sorted(g[0][1] for g in groups.values())
         assert sorted(r["s"] for r in got if r["a"] is None) == sorted(i for g in groups.values() if len(g) > 1 for _, i in g)
         small = pa.array([r[3] for r in rows], pa.int32())
-        table = pa.table({"key": pick(0), "x": pick(1), "t": pick(2), "c": small, "s": small, "e": small, "m": pa.array([-1] * n, pa.int32())})
-        schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
+        table = pa.table({"key": pick(0), "x": pick(1), "h1": pick(2), "h2": pick(2), "c": small, "s": small, "e": small, "m": pa.array([-1] * n, pa.int32())})
+        schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_())])
         got = [r for b in compact.fold_equal(batches(table, rng), schema) for r in b.to_pylist()]
         assert sorted(r["s"] for r in got if r["key"] is not None) == sorted(g[0][1] for g in groups.values())
         several = [g for g in groups.values() if g[0][0] != g[-1][0]]
