@@ -31,9 +31,13 @@ SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 1
 #: Shingles to each side of a window's least one that are compared.
 REACH = 64
 #: Groups with more different surroundings are folded into classes by Spark instead of within a task.
-HOT = 512
+HOT = 4096
+#: Groups of up to so many different surroundings are compared pair by pair, many groups at a time.
+FEW = 24
 #: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
 GROUP = 2048
+#: Surroundings that are held at a time.
+PLACES = 8192
 #: log2 of the bit table that holds the hashes seen twice (16 MB).
 TABLE = 27
 _POS = 24
@@ -234,6 +238,94 @@ def number_repeats(h: np.ndarray, offs: np.ndarray, centres: np.ndarray) -> np.n
     return out
 
 
+def last_before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place the greatest place at or before it that some later place up to it repeats; -1 for none."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))  # stable, so places ascend
+    same = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    out = np.full(len(h), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return np.maximum.accumulate(out)
+
+
+def cut_around(h: np.ndarray, before: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray):
+    """(shingles, offsets) of the surroundings [s, e) of places c, repeats numbered; ``before`` as from ``last_before``."""
+    size = e - s
+    offs = np.concatenate(([0], np.cumsum(size)))
+    out = h[np.arange(offs[-1]) - np.repeat(offs[:-1] - s, size)]
+    some = np.flatnonzero(before[e - 1] >= s)
+    if len(some):
+        of = np.concatenate(([0], np.cumsum(size[some])))
+        at = np.arange(of[-1]) - np.repeat(of[:-1] - offs[some], size[some])
+        out[at] = number_repeats(out[at], of, (c - s)[some])
+    return out, offs
+
+
+def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar: float):
+    """(pair, start, end, start, end) of pairs of surroundings (a[i], b[i]) that match, as ``match_passages`` has it; many at a time.
+
+    ``flat`` holds all surroundings' shingles as 32-bit words, places count from their starts.
+    """
+    n = offs[1:] - offs[:-1]
+    out = [np.zeros((0, 5), dtype=np.int64)]
+    per = max(1, 1 << 13)
+    for lo in range(0, len(a), per):
+        p, q = a[lo : lo + per], b[lo : lo + per]
+        size = np.stack([n[p], n[q]], axis=1).ravel()
+        item = np.stack([p, q], axis=1).ravel()
+        ends = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        which = np.repeat(np.arange(len(item)), size)
+        key = (which >> 1).astype(np.uint64) << np.uint64(32) | flat[place + np.repeat(offs[item], size)].astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, which, place = key[order], which[order], place[order]
+        same = key[1:] == key[:-1]
+        twin = np.flatnonzero(same)
+        odd = np.zeros(len(p), dtype=bool)  # a shingle twice on one side: matched one by one
+        odd[which[twin][which[twin] == which[twin + 1]] >> 1] = True
+        twin = twin[which[twin] != which[twin + 1]]
+        pair, i, x = which[twin] >> 1, place[twin], place[twin + 1]
+        by = np.argsort(pair * 4096 + i, kind="stable")
+        pair, i, x = pair[by], i[by], x[by]
+        inner = pair[1:] == pair[:-1]
+        odd[pair[1:][inner & (x[1:] <= x[:-1])]] = True
+        found = [(k, *m) for k in np.flatnonzero(odd).tolist() if (m := match_passages(flat[offs[p[k]] : offs[p[k] + 1]], int(centres[p[k]]), flat[offs[q[k]] : offs[q[k] + 1]], int(centres[q[k]]), least, similar))]
+        go = (np.bincount(pair, minlength=len(p)) >= similar * least) & ~odd
+        keep = go[pair]
+        pair, i, x = pair[keep], i[keep], x[keep]
+        if len(pair):
+            found += _runs_in_order(pair, i, x, centres[p], least, similar)
+        if found:
+            got = np.array(found, dtype=np.int64)
+            got[:, 0] += lo
+            out.append(got)
+    return np.concatenate(out)
+
+
+def _runs_in_order(pair: np.ndarray, i: np.ndarray, x: np.ndarray, c: np.ndarray, least: int, similar: float) -> list:
+    """``_in_order`` for the shared places of many pairs, sorted by pair and place."""
+    new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (np.diff(i) > 1) | (np.diff(x) > 1)))
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(pair)) - 1
+    of = pair[head]
+    # A start is a run's head at or before the centre, an end a run's tail at or after it.
+    starts, ends = head[i[head] <= c[of]], tail[i[tail] >= c[of]]
+    count = np.bincount(pair[ends], minlength=len(c))
+    begin = np.concatenate(([0], np.cumsum(count)))
+    each = count[pair[starts]]
+    s = np.repeat(starts, each)
+    e = ends[np.arange(len(s)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[pair[starts]], each)]
+    shared, wide, broad = e - s + 1, i[e] - i[s] + 1, x[e] - x[s] + 1
+    ok = (np.minimum(wide, broad) >= least) & (shared >= similar * (wide + broad - shared) - 1e-9)
+    s, e = s[ok], e[ok]
+    if not len(s):
+        return []
+    k = pair[s]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    lo, hi = np.minimum.reduceat(s, first), np.maximum.reduceat(e, first)
+    return list(zip(k[first].tolist(), i[lo].tolist(), (i[hi] + 1).tolist(), x[lo].tolist(), (x[hi] + 1).tolist(), strict=True))
+
+
 def project(codes: np.ndarray, centres: np.ndarray, offs: np.ndarray, shared: np.ndarray, least: int, similar: float):
     """(usable, class hash, start, end) of each item's surroundings as the others of its group see them.
 
@@ -321,15 +413,17 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
     members = [use[m] for m in classes.members]
     once = np.array([len(np.unique(c)) == len(c) for c in contexts])
 
+    def matched(i: int, k: int, a: int, b: int, m) -> None:
+        at = lambda c, lo, hi: slice(int(lo - c + reach), int(hi - c + reach))
+        classes.add(i, k, at(centres[a], m[0], m[1]))
+        classes.add(k, i, at(centres[b], m[2], m[3]))
+        partner[i] = k
+
     def compare(i: int, k: int, a: int, b: int) -> None:
-        if text[a] == text[b]:
-            return
-        m = match_passages(contexts[a], centres[a], contexts[b], centres[b], least, similar, bool(once[a] and once[b]))
-        if m:
-            at = lambda c, lo, hi: slice(int(lo - c + reach), int(hi - c + reach))
-            classes.add(i, k, at(centres[a], m[0], m[1]))
-            classes.add(k, i, at(centres[b], m[2], m[3]))
+        if text[a] != text[b] and (m := match_passages(contexts[a], centres[a], contexts[b], centres[b], least, similar, bool(once[a] and once[b]))):
+            matched(i, k, a, b, m)
 
+    partner = np.zeros(len(members), dtype=np.int64)
     if not cross:
         for i, m in enumerate(members):
             if len(m) > 1:
@@ -345,27 +439,44 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
     begin = np.searchsorted(what[posts], np.arange(len(flat) + 1))
     plain = np.array([len(np.unique(what[a:b])) == b - a for a, b in zip(start, start[1:], strict=False)])
     side = sides[reps]
+    where = np.arange(-reach, reach + 1)
+    # Places that passages can take in; what of them a later class could still add to is open.
+    inside = (where >= (first - centres)[reps][:, None]) & (where < (last - centres)[reps][:, None])
+    unmatched = (inside & (classes.high < 0)).any(axis=1) if classes.own else np.ones(len(reps), dtype=bool)
     for i in range(1, len(reps)):
+        a = reps[i]
+        for k in dict.fromkeys((i - 1, int(partner[i - 1]))):  # what lies next to it in order is as good a guess as any
+            if k < i and text[reps[k]] != text[a] and not (cross and side[k] == side[i]) and (inside[i] & classes.open(i, classes.first[i] - 1)).any():
+                compare(i, k, a, reps[k])
+                unmatched[k] &= not classes.own or bool((inside[k] & (classes.high[k] < 0)).any())
         mine = what[start[i] : start[i + 1]]
+        # To add to it a passage must end at a shared shingle as far out as its first open place to that side.
+        open_ = np.flatnonzero(inside[i] & classes.open(i, classes.first[i] - 1)) - reach
+        right, left = min(open_[open_ >= 0], default=1 << 30), max(open_[open_ <= 0], default=-(1 << 30))
+        rel = place[start[i] : start[i + 1]] - centres[a]
+        need = mine[(rel >= right) | (rel <= left)]
+        useful = unmatched[:i].copy()
+        for v in need.tolist():
+            k = cls[posts[begin[v] : begin[v + 1]]]
+            useful[k[k < i]] = True
+        if cross:
+            useful &= side[:i] != side[i]
+        if not useful.any():
+            unmatched[i] = not classes.own or bool((inside[i] & (classes.high[i] < 0)).any())
+            continue
         # All (place here, place in an earlier class) with the same shingle.
         ends = begin[mine] + _before(posts, begin, mine, start[i])
         size = ends - begin[mine]
         here = np.repeat(np.arange(len(mine)), size)
         there = posts[np.arange(len(here)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)]
-        if not len(here):
-            continue
+        use = useful[cls[there]]
+        here, there = here[use], there[use]
         count = np.bincount(cls[there], minlength=i)
-        can = count >= np.where(plain[:i] | plain[i], similar * least, 1)
-        if cross:
-            can &= side[:i] != side[i]
-        can = np.flatnonzero(can)
-        if not len(can):
-            continue
+        can = np.flatnonzero((count >= np.where(plain[:i] | plain[i], similar * least, 1)) & useful)
         row = np.full(i, -1)
         row[can] = np.arange(len(can))
         use = row[cls[there]] >= 0
         here, there = here[use], there[use]
-        a = reps[i]
         tight = np.where(plain[can] & plain[i], similar, 0.0)
         lo, hi, fits = _bounds(row[cls[there]], place[start[i] + here] - centres[a] + reach, tight, reach, least)
         down, up, fits_too = _bounds(row[cls[there]], place[there] - centres[reps[cls[there]]] + reach, tight, reach, least)
@@ -375,19 +486,20 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
         np.cumsum(classes.open(can[todo], classes.first[i]), axis=1, out=theirs[:, 1:])
         n = np.arange(len(todo))
         theirs = theirs[n, up[todo]] > theirs[n, down[todo]]
+        step = 4
         while len(todo):
             # A later class is done where an earlier text is known; an earlier one where any is.
             mine = np.concatenate(([0], np.cumsum(classes.open(i, classes.first[i] - 1))))
             adds = np.flatnonzero(theirs | (mine[hi[todo]] > mine[lo[todo]]))
-            if not len(adds):
-                break
-            k = int(can[todo[adds[0]]])
-            todo, theirs = todo[adds[1:]], theirs[adds[1:]]
-            b = reps[k]
-            if text[a] != text[b]:
-                compare(i, k, a, b)
-            else:  # another text of either class
-                compare(i, k, members[i][-1], b) if text[members[i][-1]] != text[b] else compare(i, k, a, members[k][-1])
+            now, todo, theirs = can[todo[adds[:step]]], todo[adds[step:]], theirs[adds[step:]]
+            step *= 4
+            plainly = now[text[reps[now]] != text[a]]
+            for k, *m in match_many(code, offs, centres, np.full(len(plainly), a), reps[plainly], least, similar).tolist():
+                matched(i, int(plainly[k]), a, reps[plainly[k]], m)
+            for k in now[text[reps[now]] == text[a]].tolist():  # another text of either class
+                compare(i, k, members[i][-1], reps[k]) if text[members[i][-1]] != text[reps[k]] else compare(i, k, a, members[k][-1])
+            unmatched[now] &= not classes.own or (inside[now] & (classes.high[now] < 0)).any(axis=1)
+        unmatched[i] = not classes.own or bool((inside[i] & (classes.high[i] < 0)).any())
     out = []
     for i, m in enumerate(members):
         known = classes.high[i] >= 0
@@ -516,12 +628,12 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
         unzip = zstandard.ZstdDecompressor()
         for b in slices([b], "z", 1 << 18):
             h, first, *_ = shingled([unzip.decompress(z) for z in b.column(2).to_pylist()])
+            before = last_before(h, first)
             at = [(i, p["key"], p["c"], p["s"], p["e"]) for i, places in enumerate(b.column(3).to_pylist()) for p in places]
-            i, key, c, s, e = (np.array(v, dtype=np.int64) for v in zip(*at, strict=True))
-            size = e - s
-            offs = np.concatenate(([0], np.cumsum(size)))
-            where = np.arange(offs[-1]) - np.repeat(offs[:-1], size) + np.repeat(first[i] + s, size)
-            yield b, i, key, c, s, number_repeats(h[where], offs, c - s), offs
+            for lo in range(0, len(at), PLACES):
+                i, key, c, s, e = (np.array(v, dtype=np.int64) for v in zip(*at[lo : lo + PLACES], strict=True))
+                around, offs = cut_around(h, before, first[i] + s, first[i] + e, first[i] + c)
+                yield b, i, key, c, s, around, offs
 
     def of_group(key, h, offs):
         return mix(h ^ mix(np.repeat(key.view(np.uint64), np.diff(offs))))
@@ -569,7 +681,7 @@ def _representatives(hot: DataFrame) -> DataFrame:
 
 
 def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float = SIMILAR, functions: int = FUNCTIONS) -> DataFrame:
-    """(h1, h2, s, e, later): word ranges of texts that near-duplicate a passage of another text.
+    """(h1, h2, p): word ranges (s, e, later) of texts that near-duplicate a passage of another text.
 
     ``later`` says that another such text comes first (by hash), so that dropping all later
     ones leaves one. Surroundings that are equal shingle by shingle are one group member.
@@ -650,59 +762,102 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 19):
             h, first, *_ = shingled([unzip.decompress(z) for z in b.column(2).to_pylist()])
+            before = last_before(h, first)
             at = [(first[i], p["key"], p["part"], p["side"], p["x"], h1, h2, p["c"], p["s"], p["e"]) for i, (h1, h2, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)) for p in places]
-            o, *cols, e = zip(*at, strict=True)
-            o, c, s, e = (np.array(v, dtype=np.int64) for v in (o, cols[-2], cols[-1], e))
-            offs = np.concatenate(([0], np.cumsum(e - s)))
-            h = number_repeats(h[np.arange(offs[-1]) - np.repeat(offs[:-1] - o - s, e - s)], offs, c - s)
-            h = (h >> np.uint64(32)).astype(np.uint32)
-            cols.append([h[lo:hi].tobytes() for lo, hi in zip(offs, offs[1:], strict=False)])
-            yield to_batch(dict(zip(sent.names, cols, strict=True)), sent)
+            for lo in range(0, len(at), PLACES):
+                o, *cols, e = zip(*at[lo : lo + PLACES], strict=True)
+                o, c, s, e = (np.array(v, dtype=np.int64) for v in (o, cols[-2], cols[-1], e))
+                around, offs = cut_around(h, before, o + s, o + e, o + c)
+                flat = (around >> np.uint64(32)).astype(np.uint32).tobytes()
+                cols.append([flat[4 * lo : 4 * hi] for lo, hi in zip(offs.tolist(), offs[1:].tolist(), strict=False)])
+                yield to_batch(dict(zip(sent.names, cols, strict=True)), sent)
 
     around = rows.join(places, ["h1", "h2"]).select("h1", "h2", "z", "p").mapInArrow(cut, "key long, part int, side boolean, x long, h1 long, h2 long, c int, s int, h binary")
-    fields = [("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("later", pa.bool_()), *[(n, pa.int64()) for n in ("low1", "low2", "high1", "high2")]]
-    out = pa.schema(fields)
+    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), *[(n, pa.int64()) for n in ("low1", "low2", "high1", "high2")]]))
+    out = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("p", spans)])
 
     def compare(batches):
-        """Groups lie one after another in each partition, sorted; one group is held at a time."""
+        """Groups lie one after another in each partition, sorted; small ones are compared many at a time, others one by one."""
 
         def link(group):
-            ids = np.rec.fromarrays([np.array([g[1] for g in group], dtype=np.int64), np.array([g[2] for g in group], dtype=np.int64)], names="a,b")
-            ctx = [np.frombuffer(g[5], dtype=np.uint32) for g in group]
+            ids = np.rec.fromarrays([np.array([g[4] for g in group], dtype=np.int64), np.array([g[5] for g in group], dtype=np.int64)], names="a,b")
+            ctx = [np.frombuffer(g[8], dtype=np.uint32) for g in group]
             rows = []
-            for items, spans in link_group(ids, ctx, [g[3] - g[4] for g in group], [g[6] for g in group], least, similar, REACH):
-                for x in dict.fromkeys(group[i][0] for i in items if group[i][0] is not None):
-                    rows += [(now[0], x, None, None, s, e, None, *low.item(), *high.item()) for s, e, low, high in spans]
+            for items, spans in link_group(ids, ctx, [g[6] - g[7] for g in group], [g[2] for g in group], least, similar, REACH):
+                for x in dict.fromkeys(group[i][3] for i in items if group[i][3] is not None):
+                    rows.append((group[0][0], x, None, None, [{"s": s, "e": e + SHINGLE - 1, "low1": low.item()[0], "low2": low.item()[1], "high1": high.item()[0], "high2": high.item()[1]} for s, e, low, high in spans]))
                 for i in items:
-                    if group[i][0] is None:
-                        own, c = (group[i][1], group[i][2]), group[i][3]
-                        rows += [(None, None, *own, c + s, c + e + SHINGLE - 1, low.item() < own, None, None, None, None) for s, e, low, high in spans if low.item() != own or high.item() != own]
+                    if group[i][3] is None:
+                        own, c = (group[i][4], group[i][5]), group[i][6]
+                        rows.append((None, None, *own, [{"s": c + s, "e": c + e + SHINGLE - 1, "low1": low.item()[0], "low2": low.item()[1], "high1": high.item()[0], "high2": high.item()[1]} for s, e, low, high in spans]))
             return rows
 
-        rows, group, now = [], [], None
+        def link_small(groups):
+            """Each pair of different texts; a plain row for each text and stretch."""
+            rows = [r for g in groups for r in g]
+            flat = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint32)
+            offs = np.concatenate(([0], np.cumsum([len(r[8]) // 4 for r in rows])))
+            h1, h2, c, s = (np.array([r[k] for r in rows], dtype=np.int64) for k in (4, 5, 6, 7))
+            at = np.concatenate(([0], np.cumsum([len(g) for g in groups])))
+            both = [np.triu_indices(len(g), 1) for g in groups]
+            a, b = (np.concatenate([p[k] + o for p, o in zip(both, at, strict=False)]) for k in (0, 1))
+            differ = (h1[a] != h1[b]) | (h2[a] != h2[b])
+            a, b = a[differ], b[differ]
+            m = match_many(flat, offs, c - s, a, b, least, similar)
+            a, b = a[m[:, 0]], b[m[:, 0]]  # rows of a group ascend by text: b is the later one
+            who, low = np.concatenate((a, b)), np.concatenate((b, a))
+            start, end = np.concatenate((m[:, 1], m[:, 3])) + s[who], np.concatenate((m[:, 2], m[:, 4])) + s[who] + SHINGLE - 1
+            later = np.repeat([False, True], [len(a), len(b)])
+            by = np.unique(np.stack([h1[who], h2[who], start, end, later]), axis=1)
+            one = lambda h1, h2, s, e, later: {"s": s, "e": e, "low1": h1 if not later else -(1 << 63), "low2": h2 + 1 if not later else 0, "high1": (1 << 63) - 1, "high2": 0}
+            return [(None, None, *r[:2], [one(*r)]) for r in zip(*by.tolist(), strict=True)]
+
+        held, size, now = [], 0, None
+        group: list = []
+
+        def done(last=False):
+            nonlocal held, size
+            if len(group) > 1:
+                if len(group) <= FEW and all(g[3] is None and not g[2] for g in group):
+                    held.append(list(group))
+                    size += len(group) ** 2
+                else:
+                    yield from link(group)
+            if held and (last or size > 20_000):
+                small, held, size = held, [], 0
+                yield from link_small(small)
+
+        rows = []
         for b in batches:
-            for key, part, side, x, h1, h2, c, s, h in zip(*(v.to_pylist() for v in b.columns), strict=True):
-                if (key, part) != now:
-                    if len(group) > 1:
-                        rows += link(group)
-                    now, group = (key, part), []
-                group.append((x, h1, h2, c, s, h, side))
+            for row in zip(*(v.to_pylist() for v in b.columns), strict=True):
+                if row[:2] != now:
+                    rows += done()
+                    now, group = row[:2], []
+                group.append(row)
             if rows:
                 yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
                 rows = []
-        if len(group) > 1 and (rows := link(group)):
+        if rows := list(done(True)):
             yield to_batch(dict(zip(out.names, zip(*rows, strict=True), strict=True)), out)
 
-    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "h1", "h2", "c").mapInArrow(compare, "key long, x long, h1 long, h2 long, s int, e int, later boolean, low1 long, low2 long, high1 long, high2 long")
-    columns = ["h1", "h2", "s", "e", "later"]
+    linked = around.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "h1", "h2", "c")
+    linked = linked.mapInArrow(compare, "key long, x long, h1 long, h2 long, p array<struct<s:int,e:int,low1:long,low2:long,high1:long,high2:long>>")
+    t = F.struct(F.col("h1").alias("low1"), F.col("h2").alias("low2"))
+    ends = lambda x: (F.struct(x["low1"].alias("low1"), x["low2"].alias("low2")), F.struct(x["high1"].alias("low1"), x["high2"].alias("low2")))
+
+    def own(p, c):
+        """What a member of a class is marked with: all that another text matches; later if one comes first."""
+        some = F.filter(p, lambda x: (ends(x)[0] != t) | (ends(x)[1] != t))
+        return F.transform(some, lambda x: F.struct((x["s"] + c).alias("s"), (x["e"] + c).alias("e"), (ends(x)[0] < t).alias("later"))).alias("p")
+
     if some:
         linked = materialize(linked, "passage-links")
-        of = linked.filter("key is not null").select("key", "x", F.col("s").alias("from"), F.col("e").alias("to"), F.struct("low1", "low2").alias("low"), F.struct("high1", "high2").alias("high"))
-        t = F.struct(F.col("h1").alias("low1"), F.col("h2").alias("low2"))
-        all_of = hot.join(of, ["key", "x"]).filter((t != F.col("low")) | (t != F.struct(F.col("high.high1").alias("low1"), F.col("high.high2").alias("low2"))))
-        all_of = all_of.select("h1", "h2", (F.col("c") + F.col("from")).alias("s"), (F.col("c") + F.col("to") + SHINGLE - 1).alias("e"), (F.col("low") < t).alias("later"))
-        linked = linked.filter("key is null").select(*columns).unionByName(all_of)
-    return materialize(same.unionByName(linked.select(*columns)).distinct(), "passages")
+        of = linked.filter("key is not null").select("key", "x", "p")
+        linked = linked.filter("key is null").select("h1", "h2", own(F.col("p"), F.lit(0))).unionByName(hot.join(of, ["key", "x"]).select("h1", "h2", own(F.col("p"), F.col("c"))))
+    else:
+        linked = linked.select("h1", "h2", own(F.col("p"), F.lit(0)))
+    same = same.select("h1", "h2", F.array(F.struct("s", "e", "later")).alias("p"))
+    return same.unionByName(linked)
 
 
 def near_duplicate_passages(docs: DataFrame, least_words: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
@@ -737,7 +892,7 @@ def _pairs(flat) -> list[tuple[int, int]]:
 def _marked(docs: DataFrame, least_words: int, similar: float) -> DataFrame:
     """(doc_id, h1, h2, n_words, spans, removed) of all documents; ranges flat, in words."""
     texts = distinct_texts(docs)
-    found = find_passages(texts, least_words, similar).groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e", "later")).alias("p"))
+    found = find_passages(texts, least_words, similar).groupBy("h1", "h2").agg(F.flatten(F.collect_list("p")).alias("p"))
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("removed", pa.list_(pa.int32())), ("n", pa.int64()), ("low", pa.int64())])
 
     def run(batches):

@@ -199,3 +199,24 @@ def test_repeats_are_numbered_from_the_centre():
     h = compact.np.array([5, 7, 5, 5, 9, 5, 1, 2], dtype=compact.np.uint64)
     out = compact.number_repeats(h, compact.np.array([0, 6, 8]), compact.np.array([3, 0]))
     assert out[3] == 5 and len(set(out[:6].tolist())) == 6 and out[6:].tolist() == [1, 2]
+
+
+def test_many_pairs_match_as_one_by_one():
+    rng, group = random.Random(8), []
+    for n in range(60):
+        p = [f"p{i}" for i in range(70)] if n % 4 else rng.choices("abc", k=70)
+        x = [f"x{n}{i}" for i in range(20)] + edited(rng, p) + [f"y{n % 3}{i}" for i in range(30)]
+        if n % 7 == 0:
+            x = x[45:] + x[:45]
+        common = [k for k in range(len(x) - 5) if x[k : k + 5] == [f"p{i}" for i in range(10, 15)]] or [25]
+        group.append(around(x, common[0]))
+    ctx, at = zip(*group, strict=True)
+    small = [(c >> compact.np.uint64(32)).astype(compact.np.uint32) for c in ctx]
+    offs = compact.np.concatenate(([0], compact.np.cumsum([len(c) for c in small])))
+    a, b = compact.np.triu_indices(60, 1)
+    meet = compact.np.array([small[i][at[i]] == small[j][at[j]] for i, j in zip(a, b, strict=True)])
+    a, b = a[meet], b[meet]
+    got = {r[0]: tuple(r[1:]) for r in compact.match_many(compact.np.concatenate(small), offs, compact.np.array(at), a, b, 30, 0.7).tolist()}
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        assert got.get(k) == compact.match_passages(small[i], at[i], small[j], at[j], 30, 0.7)
+    assert len(got) > 100
