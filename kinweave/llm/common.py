@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: log2 of the bits of a Bloom table (16 MB).
+TABLE = 27
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
@@ -91,6 +96,26 @@ def to_batch(columns: dict, schema: pa.Schema):
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def bloom_table(counted: DataFrame):
+    """A broadcast Bloom table of ``key``; its size is fixed, and a chance hit only costs a row or splits a class."""
+    low = F.lit((1 << TABLE) - 1)
+    key = F.col("key")
+    probes = [F.shiftrightunsigned(key, 64 - TABLE), F.shiftrightunsigned(key, 10).bitwiseAND(low), key.bitwiseXOR(F.shiftrightunsigned(key, 29)).bitwiseAND(low)]
+    slots = counted.select(F.explode(F.array(*probes)).alias("slot"))
+    word = slots.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
+    got = word.toArrow()
+    bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
+    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return counted.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    low, hit = np.uint64((1 << TABLE) - 1), np.ones(len(key), dtype=bool)
+    for p in (key >> np.uint64(64 - TABLE), key >> np.uint64(10) & low, (key ^ key >> np.uint64(29)) & low):
+        hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable over undirected ``edges`` of longs.
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, free_names, materialize, slices, text_docs, text_key, to_batch
+from .common import bloom_table, column_bytes, free_names, in_bloom, materialize, slices, text_docs, text_key, to_batch
 from .kernels import LOWER, join_texts, mix, prefix, shingle_hashes, span_hash, words
 from .suffix import merge_spans, window_minima
 
@@ -38,8 +38,6 @@ FEW = 24
 GROUP = 2048
 #: Surroundings that are held at a time.
 PLACES = 8192
-#: log2 of the bit table that holds the hashes seen twice (16 MB).
-TABLE = 27
 _POS = 24
 
 
@@ -594,26 +592,6 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h1", "h2").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "passage-texts")
 
 
-def _bits(spark, counted: DataFrame):
-    """A broadcast Bloom table of ``key``; its size is fixed, and a chance hit only costs a row or splits a class."""
-    low = F.lit((1 << TABLE) - 1)
-    key = F.col("key")
-    probes = [F.shiftrightunsigned(key, 64 - TABLE), F.shiftrightunsigned(key, 10).bitwiseAND(low), key.bitwiseXOR(F.shiftrightunsigned(key, 29)).bitwiseAND(low)]
-    slots = counted.select(F.explode(F.array(*probes)).alias("slot"))
-    word = slots.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
-    got = word.toArrow()
-    bits = np.zeros(1 << (TABLE - 6), dtype=np.uint64)
-    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(bits)
-
-
-def _in_bits(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    low, hit = np.uint64((1 << TABLE) - 1), np.ones(len(key), dtype=bool)
-    for p in (key >> np.uint64(64 - TABLE), key >> np.uint64(10) & low, (key ^ key >> np.uint64(29)) & low):
-        hit &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return hit
-
-
 def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) -> DataFrame:
     """(key, x, h1, h2, c, s, e): usable rows of ``member`` with their class ``x`` (see ``project``).
 
@@ -649,13 +627,13 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
                 u, n = np.unique(u[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    table = _bits(texts.sparkSession, joined.mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
+    table = bloom_table(joined.mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
     kept = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def keep(batches):
         for batch in batches:
             for b, i, key, c, s, h, offs in surroundings(batch):
-                usable, x, first, last = project(h, c - s, offs, _in_bits(table.value, of_group(key, h, offs)), least, similar)
+                usable, x, first, last = project(h, c - s, offs, in_bloom(table.value, of_group(key, h, offs)), least, similar)
                 at = np.flatnonzero(usable)
                 if len(at):
                     row = i[at]
@@ -692,7 +670,6 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
     """
     least = least_words - SHINGLE + 1
     run = shared_run(least, similar)
-    spark = texts.sparkSession
 
     def all_windows(b):
         h, first, *_ = shingled([zstandard.ZstdDecompressor().decompress(z) for z in b.column(2).to_pylist()])
@@ -710,7 +687,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
 
     rows = texts.select("h1", "h2", "z")
     counted = rows.mapInArrow(seen, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    table = _bits(spark, counted)
+    table = bloom_table(counted)
     schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
 
     def emit(batches):
@@ -718,7 +695,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k, h, first, c, s, e, d in all_windows(b):
                 key = _keys(h[c], k)
-                use = _in_bits(table.value, key)
+                use = in_bloom(table.value, key)
                 c, s, e, d, key = c[use], s[use], e[use], d[use], key[use]
                 if not len(c):
                     continue

@@ -2,7 +2,9 @@
 
 Content-sampled anchors bring together all places that may share a long string: the
 least-hashed short gram of every window is an anchor, so two copies of a string hold
-the same anchor at the same place. Only surroundings of anchors that occur twice are
+the same anchor at the same place. Grams that are anchors very often (of a common line or
+passage) are chosen only where a window has no other, so what surrounds them is common
+text alone and equal wherever it stands. Only surroundings of anchors that occur twice are
 indexed, shard by shard: the shard's text is run-compressed by its Burrows-Wheeler
 transform, longest matches are known at the runs' ends and streamed to all other
 positions, and matches of the asked length are marked.
@@ -18,11 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices, text_docs, text_key, to_batch
+from .common import bloom_table, column_bytes, in_bloom, materialize, slices, text_docs, text_key, to_batch
 from .kernels import join_texts, mix, prefix, span_hash, spans_from_points
 
 #: Bytes of a gram; bits of the hash by which grams are compared in a window.
 GRAM, RANK = 64, 36
+#: Grams that are anchors more often than this are chosen last.
+OFTEN = 256
 #: Anchors with more different surroundings are settled string by string, by hash, outside the indexes.
 HOT = 2048
 
@@ -37,22 +41,39 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
-    """Positions of anchors: in each window of ``length`` bytes of one text the first least-hashed gram."""
+def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM, often=None):
+    """(anchor, start, end): in each window of ``length`` bytes of one text the first least-hashed gram, and what the windows that choose it span.
+
+    Grams that ``often`` (hashes -> bool) holds come after all others. The choice depends on a
+    window's bytes alone, so equal windows have equal anchors.
+    """
     n = len(buf) - gram + 1
     w = length - gram + 1
     if n < w:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.arange(n)
     h = span_hash(pre, at, at + gram)
     bits = np.uint64(max(64 - RANK, n.bit_length()))  # more where a slice has more bytes than usual
-    key = (h >> bits) << bits | at.astype(np.uint64)
-    low = window_minima(key, w)
+    key = (h >> (bits + np.uint64(1))) << bits | at.astype(np.uint64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    whole = doc[: len(low)] == doc[length - 1 : length - 1 + len(low)]
-    end = offs[doc[: len(low)] + 1] - 1  # the separator is no part of the text
-    whole &= np.arange(len(low)) + length <= end
-    return np.unique(low[whole] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    windows = n - w + 1
+    whole = doc[:windows] == doc[length - 1 : length - 1 + windows]
+    whole &= np.arange(windows) + length <= offs[doc[:windows] + 1] - 1  # the separator is no part of the text
+    begin = np.flatnonzero(whole)
+    place = lambda: (window_minima(key, w)[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = place()
+    if often is not None and len(low):
+        unique, back = np.unique(low, return_inverse=True)
+        doubt = begin[often(h[unique])[back]]
+        if len(doubt):
+            edge = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(edge, doubt, 1)
+            np.add.at(edge, doubt + w, -1)
+            look = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            key[look[often(h[look])]] |= np.uint64(1) << np.uint64(63)
+            low = place()
+    head = np.flatnonzero(np.diff(low, prepend=-1))  # the windows that choose an anchor lie side by side
+    return low[head], begin[head], begin[np.append(head[1:], len(low)) - 1] + length
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -225,24 +246,34 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
     """(h1, h2, s, e): stretches of distinct texts covered by strings that also occur at another place.
 
-    ``texts`` as from ``distinct_texts``. An anchor's surroundings are the bytes that a
-    string of ``length`` around it can reach. Surroundings that are equal byte for byte
+    ``texts`` as from ``distinct_texts``. An anchor's surroundings are the bytes of the
+    windows that choose it. Surroundings that are equal byte for byte
     are repeats as they are and one of them stands for all in the index, so a passage
     in a third of all documents costs one entry; the others go to shards by anchor. An
-    anchor with over HOT of them (a common line) would fill a shard by itself: there
-    every string of ``length`` around it is matched by its hash, evenly dealt.
+    anchor that still has over HOT of them (common lines in ever other order) would fill a
+    shard by itself: there every string of ``length`` is matched by its hash, evenly dealt.
     """
-    reach = length - GRAM
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("mark", pa.bool_())])
 
+    def count(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", 1 << 20):
+            buf, offs = join_texts([unzip.decompress(z) for z in b.column(0).to_pylist()])
+            pre = prefix(buf)
+            at, _, _ = anchors(buf, pre, offs, length)
+            a, n = np.unique(span_hash(pre, at, at + GRAM).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n)], names=["key", "n"])
+
+    counted = texts.select("z").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = bloom_table(counted.filter(F.col("n") > OFTEN))
+
     def sample(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 20):
             buf, offs = join_texts([unzip.decompress(z) for z in b.column(2).to_pylist()])
             pre = prefix(buf)
-            at = anchors(buf, pre, offs, length)
+            at, s, e = anchors(buf, pre, offs, length, often=lambda h: in_bloom(often.value, h))
             d = np.searchsorted(offs, at, "right") - 1
-            s, e = np.maximum(at - reach, offs[d]), np.minimum(at + length, offs[d + 1] - 1)
             x = span_hash(pre, s, e)
             cut = np.stack([at - s, e - at]).astype(np.uint64)  # where the anchor lies counts too
             x1, x2 = mix(x + cut[0] * np.uint64(1 << 32) + cut[1]), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + span_hash(pre, at, e)

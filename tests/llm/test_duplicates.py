@@ -140,9 +140,10 @@ def test_run_length_index(alphabet):
             assert (got == want).all()
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_exact_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "often"), [(2048, 256), (2, 256), (2048, 2), (2, 1)])
+def test_exact_repeats(spark, monkeypatch, hot, often):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "OFTEN", often)
     passage = prose(33, 90)
     d = awkward(spark, [(300 + i, prose(400 + i, 60) + " " + passage + " " + prose(500 + i, 60), "en", "r") for i in range(5)] + [(310, "ab" * 600, "en", "r")])
     for f in (d, spark.read.parquet(f"{SF}/documents.parquet")):
