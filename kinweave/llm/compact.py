@@ -33,7 +33,7 @@ REACH = 64
 #: Groups with more different surroundings are folded into classes by Spark instead of within a task.
 HOT = 4096
 #: Groups of up to so many different surroundings are compared pair by pair, many groups at a time.
-FEW = 24
+FEW = 48
 #: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
 GROUP = 2048
 #: Surroundings that are held at a time.
@@ -435,6 +435,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
     cls, what, place = np.repeat(np.arange(len(reps)), sizes), code[at], at - np.repeat(offs[reps], sizes)
     posts = np.argsort(what, kind="stable")
     begin = np.searchsorted(what[posts], np.arange(len(flat) + 1))
+    ordered = what[posts] * len(at) + posts
     plain = np.array([len(np.unique(what[a:b])) == b - a for a, b in zip(start, start[1:], strict=False)])
     side = sides[reps]
     where = np.arange(-reach, reach + 1)
@@ -452,21 +453,18 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
         open_ = np.flatnonzero(inside[i] & classes.open(i, classes.first[i] - 1)) - reach
         right, left = min(open_[open_ >= 0], default=1 << 30), max(open_[open_ <= 0], default=-(1 << 30))
         rel = place[start[i] : start[i + 1]] - centres[a]
-        need = mine[(rel >= right) | (rel <= left)]
+        need = (rel >= right) | (rel <= left)
         useful = unmatched[:i].copy()
-        for v in need.tolist():
-            k = cls[posts[begin[v] : begin[v + 1]]]
-            useful[k[k < i]] = True
-        if cross:
-            useful &= side[:i] != side[i]
-        if not useful.any():
+        if not (need.any() or useful.any()):
             unmatched[i] = not classes.own or bool((inside[i] & (classes.high[i] < 0)).any())
             continue
         # All (place here, place in an earlier class) with the same shingle.
-        ends = begin[mine] + _before(posts, begin, mine, start[i])
-        size = ends - begin[mine]
+        size = np.searchsorted(ordered, mine * len(at) + start[i]) - begin[mine]
         here = np.repeat(np.arange(len(mine)), size)
         there = posts[np.arange(len(here)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)]
+        useful[cls[there[need[here]]]] = True
+        if cross:
+            useful &= side[:i] != side[i]
         use = useful[cls[there]]
         here, there = here[use], there[use]
         count = np.bincount(cls[there], minlength=i)
@@ -524,11 +522,6 @@ def _bounds(row: np.ndarray, at: np.ndarray, similar: np.ndarray, c: int, least:
     return start, end, starts.any(axis=1) & ends.any(axis=1) & (end - start >= least)
 
 
-def _before(posts: np.ndarray, begin: np.ndarray, codes: np.ndarray, end: int) -> np.ndarray:
-    """How many of each code's posts, which ascend, come before ``end``."""
-    return np.array([np.searchsorted(posts[begin[c] : begin[c + 1]], end) for c in codes.tolist()], dtype=np.int64)
-
-
 def fold_equal(batches, schema):
     """Of rows sorted by (key, x, h1, h2): one row of each (key, x), and a mark for each row of those with several texts.
 
@@ -584,7 +577,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())])
 
     def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
             yield to_batch({"h1": b.column(0), "h2": b.column(1), "doc_id": b.column(2), "z": [z.compress(t) for t in column_bytes(b, "text")]}, schema)
 
@@ -681,7 +674,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
             yield k, h, first, c[wide], s[wide], e[wide], d[wide]
 
     def seen(batches):
-        for b in slices(batches, "z", 1 << 20):
+        for b in slices(batches, "z", 1 << 17):
             for k, h, _, c, *_ in all_windows(b):
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(h[c], k).view(np.int64))], names=["key"])
 
@@ -691,7 +684,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
     schema = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.int32())])
 
     def emit(batches):
-        for b in slices(batches, "z", 1 << 20):
+        for b in slices(batches, "z", 1 << 18):
             h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k, h, first, c, s, e, d in all_windows(b):
                 key = _keys(h[c], k)
@@ -737,7 +730,7 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
-        for b in slices(batches, "z", 1 << 19):
+        for b in slices(batches, "z", 1 << 18):
             h, first, *_ = shingled([unzip.decompress(z) for z in b.column(2).to_pylist()])
             before = last_before(h, first)
             at = [(first[i], p["key"], p["part"], p["side"], p["x"], h1, h2, p["c"], p["s"], p["e"]) for i, (h1, h2, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)) for p in places]

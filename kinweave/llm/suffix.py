@@ -25,6 +25,8 @@ from .kernels import join_texts, mix, prefix, span_hash, spans_from_points
 
 #: Bytes of a gram; bits of the hash by which grams are compared in a window.
 GRAM, RANK = 64, 36
+#: Compressed bytes of text that are worked on at a time, so that the arrays stay in the processor's caches.
+CACHED = 1 << 17
 #: Grams that are anchors more often than this are chosen last.
 OFTEN = 256
 #: Anchors with more different surroundings are settled string by string, by hash, outside the indexes.
@@ -60,18 +62,19 @@ def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gra
     whole = doc[:windows] == doc[length - 1 : length - 1 + windows]
     whole &= np.arange(windows) + length <= offs[doc[:windows] + 1] - 1  # the separator is no part of the text
     begin = np.flatnonzero(whole)
-    place = lambda: (window_minima(key, w)[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    low = place()
+    place = lambda key, at: (window_minima(key, w)[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = place(key, begin)
     if often is not None and len(low):
         unique, back = np.unique(low, return_inverse=True)
-        doubt = begin[often(h[unique])[back]]
+        doubt = np.flatnonzero(often(h[unique])[back])
         if len(doubt):
-            edge = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(edge, doubt, 1)
-            np.add.at(edge, doubt + w, -1)
+            edge = np.zeros(n + 1, dtype=np.int32)
+            edge[begin[doubt]] += 1
+            edge[begin[doubt] + w] -= 1
             look = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            key[look[often(h[look])]] |= np.uint64(1) << np.uint64(63)
-            low = place()
+            again = key[look]
+            again[often(h[look])] |= np.uint64(1) << np.uint64(63)
+            low[doubt] = place(again, np.searchsorted(look, begin[doubt]))
     head = np.flatnonzero(np.diff(low, prepend=-1))  # the windows that choose an anchor lie side by side
     return low[head], begin[head], begin[np.append(head[1:], len(low)) - 1] + length
 
@@ -257,7 +260,7 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
 
     def count(batches):
         unzip = zstandard.ZstdDecompressor()
-        for b in slices(batches, "z", 1 << 20):
+        for b in slices(batches, "z", CACHED):
             buf, offs = join_texts([unzip.decompress(z) for z in b.column(0).to_pylist()])
             pre = prefix(buf)
             at, _, _ = anchors(buf, pre, offs, length)
@@ -267,25 +270,29 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
     counted = texts.select("z").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     often = bloom_table(counted.filter(F.col("n") > OFTEN))
 
+    def around(b, unzip):
+        """(h1, h2, anchor, hashes of the surroundings, start, end) of a slice's anchors."""
+        buf, offs = join_texts([unzip.decompress(z) for z in b.column(2).to_pylist()])
+        pre = prefix(buf)
+        at, s, e = anchors(buf, pre, offs, length, often=lambda h: in_bloom(often.value, h))
+        d = np.searchsorted(offs, at, "right") - 1
+        x = span_hash(pre, s, e)
+        cut = np.stack([at - s, e - at]).astype(np.uint64)  # where the anchor lies counts too
+        x1, x2 = mix(x + cut[0] * np.uint64(1 << 32) + cut[1]), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + span_hash(pre, at, e)
+        return b.column(0).to_numpy()[d], b.column(1).to_numpy()[d], span_hash(pre, at, at + GRAM), x1, x2, s - offs[d], e - offs[d]
+
     def sample(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in slices(batches, "z", 1 << 20):
-            buf, offs = join_texts([unzip.decompress(z) for z in b.column(2).to_pylist()])
-            pre = prefix(buf)
-            at, s, e = anchors(buf, pre, offs, length, often=lambda h: in_bloom(often.value, h))
-            d = np.searchsorted(offs, at, "right") - 1
-            x = span_hash(pre, s, e)
-            cut = np.stack([at - s, e - at]).astype(np.uint64)  # where the anchor lies counts too
-            x1, x2 = mix(x + cut[0] * np.uint64(1 << 32) + cut[1]), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + span_hash(pre, at, e)
-            h1, h2 = b.column(0).to_numpy()[d], b.column(1).to_numpy()[d]
-            a = span_hash(pre, at, at + GRAM)
+            parts = [around(x, unzip) for x in slices([b], "z", CACHED)]
+            h1, h2, a, x1, x2, s, e = (np.concatenate(v) for v in zip(*parts, strict=True))
             # Equal surroundings within the slice are known repeats: they are marked here, and one goes on.
             order = np.lexsort((x2, x1, a))
             new = np.concatenate(([True], (np.diff(np.stack([a, x1, x2])[:, order], axis=1) != 0).any(axis=0)))[: len(order)]
             sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
             heads, many = order[new], order[np.repeat(sizes > 1, sizes)]
             at, mark = np.concatenate((heads, many)), np.repeat([False, True], [len(heads), len(many)])
-            cols = {"h1": h1, "h2": h2, "a": a.view(np.int64), "x1": x1.view(np.int64), "x2": x2.view(np.int64), "s": s - offs[d], "e": e - offs[d]}
+            cols = {"h1": h1, "h2": h2, "a": a.view(np.int64), "x1": x1.view(np.int64), "x2": x2.view(np.int64), "s": s, "e": e}
             yield to_batch({c: v[at] for c, v in cols.items()} | {"mark": mark}, schema)
 
     found = texts.select("h1", "h2", "z").mapInArrow(sample, "h1 long, h2 long, a long, x1 long, x2 long, s long, e long, mark boolean")
