@@ -31,7 +31,7 @@ SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 1
 #: Shingles to each side of a window's least one that are compared.
 REACH = 64
 #: Groups with more different surroundings are folded into classes by Spark instead of within a task.
-HOT = 4096
+HOT = 1024
 #: Groups of up to so many different surroundings are compared pair by pair, many groups at a time.
 FEW = 48
 #: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
@@ -262,7 +262,7 @@ def cut_around(h: np.ndarray, before: np.ndarray, s: np.ndarray, e: np.ndarray,
 def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar: float):
     """(pair, start, end, start, end) of pairs of surroundings (a[i], b[i]) that match, as ``match_passages`` has it; many at a time.
 
-    ``flat`` holds all surroundings' shingles as 32-bit words, places count from their starts.
+    ``flat`` holds all surroundings' shingles as 32-bit words, places (under 512) count from their starts.
     """
     n = offs[1:] - offs[:-1]
     out = [np.zeros((0, 5), dtype=np.int64)]
@@ -274,17 +274,20 @@ def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.nd
         ends = np.concatenate(([0], np.cumsum(size)))
         place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
         which = np.repeat(np.arange(len(item)), size)
-        key = (which >> 1).astype(np.uint64) << np.uint64(32) | flat[place + np.repeat(offs[item], size)].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, which, place = key[order], which[order], place[order]
-        same = key[1:] == key[:-1]
-        twin = np.flatnonzero(same)
+        # One number holds pair, shingle, side and place, so that a plain sort brings equal shingles of a pair together.
+        key = (which >> 1).astype(np.uint64) << np.uint64(42) | flat[place + np.repeat(offs[item], size)].astype(np.uint64) << np.uint64(10) | (((which & 1) << 9) | place).astype(np.uint64)
+        key.sort()
+        twin = np.flatnonzero(key[1:] >> np.uint64(10) == key[:-1] >> np.uint64(10))
+        left, right = key[twin], key[twin + 1]
+        side = np.uint64(1 << 9)
         odd = np.zeros(len(p), dtype=bool)  # a shingle twice on one side: matched one by one
-        odd[which[twin][which[twin] == which[twin + 1]] >> 1] = True
-        twin = twin[which[twin] != which[twin + 1]]
-        pair, i, x = which[twin] >> 1, place[twin], place[twin + 1]
-        by = np.argsort(pair * 4096 + i, kind="stable")
-        pair, i, x = pair[by], i[by], x[by]
+        odd[(left[left & side == right & side] >> np.uint64(42)).astype(np.int64)] = True
+        cross = left & side != right & side
+        spot = np.uint64((1 << 9) - 1)
+        both = left[cross] >> np.uint64(42) << np.uint64(18) | (left[cross] & spot) << np.uint64(9) | right[cross] & spot
+        both.sort()
+        both = both.astype(np.int64)
+        pair, i, x = both >> 18, both >> 9 & 511, both & 511
         inner = pair[1:] == pair[:-1]
         odd[pair[1:][inner & (x[1:] <= x[:-1])]] = True
         found = [(k, *m) for k in np.flatnonzero(odd).tolist() if (m := match_passages(flat[offs[p[k]] : offs[p[k] + 1]], int(centres[p[k]]), flat[offs[q[k]] : offs[q[k] + 1]], int(centres[q[k]]), least, similar))]
@@ -409,7 +412,9 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
         return []
     classes = _Classes(text[use], np.unique(x[use], return_inverse=True)[1], reach)
     members = [use[m] for m in classes.members]
-    once = np.array([len(np.unique(c)) == len(c) for c in contexts])
+    once = np.ones(len(ids), dtype=bool)
+    again = np.sort(item * np.int64(len(flat)) + code)
+    once[again[1:][again[1:] == again[:-1]] // len(flat)] = False
 
     def matched(i: int, k: int, a: int, b: int, m) -> None:
         at = lambda c, lo, hi: slice(int(lo - c + reach), int(hi - c + reach))
@@ -436,7 +441,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
     posts = np.argsort(what, kind="stable")
     begin = np.searchsorted(what[posts], np.arange(len(flat) + 1))
     ordered = what[posts] * len(at) + posts
-    plain = np.array([len(np.unique(what[a:b])) == b - a for a, b in zip(start, start[1:], strict=False)])
+    plain = once[reps]
     side = sides[reps]
     where = np.arange(-reach, reach + 1)
     # Places that passages can take in; what of them a later class could still add to is open.
