@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Never features: keys, labels, fold marks, and the late pass that stage 2 alone may see.
 NOT_FEATURES = {"s1", "p", "label", "prob", "oof", "fold", "weight", "raw", "r_f", "cos_f", "source", "country"}
-#: Default tree parameters; early stopping watches the other folds' held-out rows.
+#: Default tree parameters; ``fit_trees`` stops early only where it is given a validation column.
 TREES = {"maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "featureSubsetStrategy": "0.8", "maxIter": 60}
 
 
@@ -53,9 +53,9 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "raw") -> DataFrame
     return model.transform(df).withColumn(name, vector_to_array("_prob")[1]).drop("features", "_hard", "_raw", "_prob")
 
 
-def out_of_fold(df: DataFrame, features: list[str], folds: int = 5, seed: int = 42, weight: str | None = None, **params) -> DataFrame:
-    """``df`` with ``raw``: each pair scored by the model that saw no pair of its S1."""
-    d = df.withColumn("fold", fold_of(F.col("s1"), folds, seed)).persist()
+def out_of_fold(df: DataFrame, features: list[str], folds: int = 5, seed: int = 42, weight: str | None = None, fold_seed: int | None = None, **params) -> DataFrame:
+    """``df`` with ``raw``: each pair scored by the model that saw no pair of its S1; folds go by ``fold_seed`` or else ``seed``."""
+    d = df.withColumn("fold", fold_of(F.col("s1"), folds, seed if fold_seed is None else fold_seed)).persist()
     parts = []
     for k in range(folds):
         model = fit_trees(d.filter(F.col("fold") != k), features, seed, weight, **params)
@@ -77,7 +77,7 @@ def ensemble(df: DataFrame, features: list[str], seeds=(42, 43, 44), **params) -
     models, outs = [], []
     for s in seeds:
         models.append(fit_trees(df, features, s, **params))
-        outs.append(out_of_fold(df, features, seed=seeds[0], **params).select("s1", "p", F.col("raw").alias(f"raw_{s}")))
+        outs.append(out_of_fold(df, features, seed=s, fold_seed=seeds[0], **params).select("s1", "p", F.col("raw").alias(f"raw_{s}")))
     scored = reduce(lambda a, b: a.join(b, ["s1", "p"]), outs)
     mean = sum((F.col(f"raw_{s}") for s in seeds), F.lit(0.0)) / len(seeds)
     return models, df.join(scored.select("s1", "p", mean.alias("raw")), ["s1", "p"])

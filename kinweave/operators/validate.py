@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import argparse
+import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.records import CANDIDATE_HEADER, MATCHING_HEADER
+from ..sources.records import CANDIDATE_HEADER, MATCHING_HEADER, load_split
 
 #: Examples that a message shows.
 SHOWN = 5
@@ -56,11 +58,13 @@ def issue(spark: SparkSession, rule: str, example: str, severity: str = "error")
 
 
 def read_lists(spark: SparkSession, path: str, header: list[str], label: str) -> tuple[DataFrame | None, DataFrame]:
-    """(rows, issues) of a file: existence, header and lines without a tab; rows is None after a fatal one."""
+    """(rows, issues) of a file or a folder of part files, each with a header: existence, headers and lines without a tab; rows is None after a fatal one."""
     none = spark.createDataFrame([], ISSUE)
     try:
-        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-        first = lines.orderBy("at").first()
+        lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+        heads = lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("head")).select("head.*")
+        plain = F.transform(F.split("value", "\t"), lambda c: F.lower(F.trim(c))) == F.array(*map(F.lit, header))
+        first = heads.orderBy(plain, "at").first()  # a wrong one, if there is any
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -71,7 +75,7 @@ def read_lists(spark: SparkSession, path: str, header: list[str], label: str) ->
     if names != header:
         rule = "comma-separated header" if "\t" not in first["value"] and "," in first["value"] else "unexpected header"
         return None, issue(spark, f"{label}: {rule}", first["value"][:200])
-    body = lines.filter(F.col("at") != first["at"])
+    body = lines.join(heads.select("at"), "at", "left_anti")
     bad = summarise(body.filter(~F.contains("value", F.lit("\t")) & (F.trim("value") != "")), "value", f"{label}: row without a tab")
     good = body.filter(F.contains("value", F.lit("\t"))).select(F.substring_index("value", "\t", 1).alias("s1"), F.expr("substring(value, instr(value, '\\t') + 1)").alias("rest"))
     rows = good.select("s1", F.when(F.trim("rest") == "", F.array().cast("array<string>")).otherwise(F.split("rest", ",")).alias("ids"))
@@ -96,6 +100,27 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, required
     return issues
 
 
+def main(argv: list[str] | None = None) -> int:
+    """Check result files from the command line; prints the issues and returns the exit code."""
+    a = argparse.ArgumentParser(description="Check the lists of a matching result.")
+    a.add_argument("--matching", required=True)
+    a.add_argument("--candidate")
+    a.add_argument("--data-dir", required=True, help="folder of the split's source files")
+    a.add_argument("--split", default="test")
+    a.add_argument("--check-ids", action="store_true", help="also ask that every id exists in the sources")
+    x = a.parse_args(argv)
+    spark = SparkSession.builder.appName("kinweave-validate").getOrCreate()
+    s1, pool = load_split(spark, x.data_dir, x.split)
+    issues = validate(spark, x.matching, x.candidate, s1.select(F.col("entity_id").alias("s1")), pool.select(F.col("entity_id").alias("p")) if x.check_ids else None)
+    for r in issues.orderBy("severity", "rule").collect():  # a row for each rule and list at most
+        print(f"{r['severity']}: {r['rule']}" + (f" ({r['n']}): {r['examples']}" if r["examples"] else ""))
+    return exit_code(issues)
+
+
 def exit_code(issues: DataFrame) -> int:
     """1 if any issue is an error."""
     return int(issues.filter("severity = 'error'").limit(1).count() > 0)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -10,7 +10,7 @@ from ..operators.blocking import DEFAULT_K
 
 @dataclass
 class Config:
-    """All knobs of the plan; ``from_env`` reads ``KINWEAVE_<FIELD>`` for the plain ones."""
+    """All knobs of the plan (``method`` "tune" picks the decision on ``tune_sample`` entities); ``from_env`` reads ``KINWEAVE_<FIELD>`` for the plain ones."""
 
     k_passes: dict[str, int] = field(default_factory=lambda: dict(DEFAULT_K))
     max_df_word: int = 3000
@@ -26,7 +26,6 @@ class Config:
     method: str = "threshold"
     threshold: float = 0.8
     alpha: float = 1.0
-    gate: float = 0.01
     transliterate: bool = True
     work_dir: str = ""
 

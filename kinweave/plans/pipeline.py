@@ -112,11 +112,12 @@ def match(spark: SparkSession, train_dir: str, test_dir: str, out_dir: str, cfg:
     norm = lambda d, n: staged(text.normalize(d, cfg.transliterate), cfg, n)
     n1, np_ = norm(s1, "s1"), norm(pool, "pool")
     pairs = label(candidates(n1, np_, cfg), truth)
-    sample = learn.sample(pairs, "s1", cfg.train_sample, cfg.seed)
-    oof, models = two_stages(sample, cfg, **params)
-    knobs = {"method": cfg.method, "thr": cfg.threshold, "alpha": cfg.alpha}
-    ids = s1.select(F.col("entity_id").alias("s1"))
-    report = {"oof": metrics.macro_f05(decide.apply_decision(oof, knobs), truth, ids).first().asDict()}
+    # Entities without a candidate count too, so the sample is one of entities, and the metric is over it.
+    ids = staged(learn.sample(s1.select(F.col("entity_id").alias("s1")), "s1", cfg.train_sample, cfg.seed), cfg, "sample")
+    oof, models = two_stages(pairs.join(ids, "s1", "left_semi"), cfg, **params)
+    true = truth.join(ids, "s1", "left_semi")
+    knobs = decide.tune(oof, true, ids, cfg.tune_sample) if cfg.method == "tune" else {"method": cfg.method, "thr": cfg.threshold, "alpha": cfg.alpha}
+    report = {"knobs": knobs, "oof": metrics.macro_f05(decide.apply_decision(oof, knobs), true, ids).first().asDict()}
     t1, tp = records.load_split(spark, test_dir, "test")
     cand = candidates(norm(t1, "t1"), norm(tp, "tp"), cfg)
     done = staged(score(cand, models), cfg, "scored-test")

@@ -42,7 +42,7 @@ def refit(
     """Fit one variant on labelled stage-2 ``pairs``, store it at ``path`` and return its report.
 
     ``extra`` attaches score columns by pair key, ``drop`` leaves columns out, ``weight``
-    is the power of 1 / n, ``threshold`` overrides the tuned one; ``held_out`` adds the
+    is the power of 1 / n, ``threshold`` overrides the tuned one (the tuned alpha stays); ``held_out`` adds the
     metric on S1s that the tuning did not see.
     """
     d = reduce(lambda a, kv: records.attach(a, kv[1], kv[0]), (extra or {}).items(), pairs)
@@ -56,7 +56,7 @@ def refit(
     own = ids.filter(learn.fold_of(F.col("s1"), 5, 9) != 0) if held_out else ids
     knobs = decide.tune(scored, truth, own)
     if threshold is not None:
-        knobs = {"method": "threshold", "thr": threshold, "alpha": 1.0}
+        knobs = {"method": "threshold", "thr": threshold, "alpha": knobs["alpha"]}
     report = {"knobs": knobs, "features": columns, "oof": metrics.macro_f05(decide.apply_decision(scored, knobs), truth, ids).first().asDict()}
     if held_out:
         rest = ids.filter(learn.fold_of(F.col("s1"), 5, 9) == 0)
@@ -85,7 +85,7 @@ def blend(spark: SparkSession, paths: list[str], pairs: DataFrame, s1: DataFrame
 def rethreshold(spark: SparkSession, path: str, pairs: DataFrame, s1: DataFrame, out_dir: str, threshold: float) -> DataFrame:
     """A stored variant with another threshold."""
     m = load(spark, path)
-    return decide_and_write(predict(m["models"], m["isotonic"], pairs), s1, {"method": "threshold", "thr": threshold, "alpha": 1.0}, out_dir)
+    return decide_and_write(predict(m["models"], m["isotonic"], pairs), s1, {"method": "threshold", "thr": threshold, "alpha": m["knobs"].get("alpha", 1.0)}, out_dir)
 
 
 def fold_study(df: DataFrame, variants: dict[str, list[str]], **params) -> list[tuple[str, float]]:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import validate
 from kinweave.plans import pipeline
@@ -112,5 +113,30 @@ def test_whole_plan(spark, tmp_path):
     hit = sum(len(got[k] & want[k]) for k in want)
     assert hit / sum(map(len, want.values())) > 0.7
     s1, pool = records.load_split(spark, str(tmp_path), "test")
+    ids = s1.select(F.col("entity_id").alias("s1"))
+    out = [str(tmp_path / "out" / n) for n in ("matching_results", "candidate_pairs")]
+    assert validate.validate(spark, *out, ids, pool.select(F.col("entity_id").alias("p"))).count() == 0
+    assert validate.main(["--matching", out[0], "--candidate", out[1], "--data-dir", str(tmp_path), "--check-ids"]) == 0
     read = lambda n, h: validate.read_lists(spark, str(tmp_path / f"out/{n}"), h, n)[0]
     assert report["countries"][0]["n_s1"] == 60
+
+
+def test_a_header_in_each_part(spark, tmp_path, required):
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for n, row in enumerate(("S1-1\tS2-1", "S1-2\t")):
+        write(parts / f"part-{n}.csv", "source1_entity_id\tmatched_entity_ids", row)
+    valid = spark.createDataFrame([("S2-1",)], "p string")
+    assert validate.validate(spark, str(parts), None, required, valid).count() == 0
+    write(parts / "part-2.csv", "a\tb")
+    assert [r["rule"] for r in validate.validate(spark, str(parts), None, required, valid).collect()] == ["matched: unexpected header"]
+
+
+def test_metric_is_over_the_sample(spark, tmp_path):
+    split(tmp_path, "train", 1)
+    split(tmp_path, "test", 2)
+    base = dict(folds=2, k_passes={"w": 3, "c": 3, "e1": 3}, train_sample=20)
+    fit = dict(maxIter=3, maxDepth=3, minInstancesPerNode=2)
+    report = pipeline.match(spark, str(tmp_path), str(tmp_path), str(tmp_path / "out"), Config(work_dir=str(tmp_path / "work"), method="tune", **base), **fit)
+    assert report["oof"]["overall"] > 0.6  # a third of the entities; over all of them it could not pass 0.4
+    assert "f05" in report["knobs"]

@@ -72,3 +72,20 @@ def test_studies(spark):
     model = learn.self_train(d, pairs(spark, 4), ["f", "noise"], maxIter=2, maxDepth=2)
     assert learn.importance(model, ["f", "noise"])[0][0] == "f"
     assert learn.auc(learn.leave_country_out(d.withColumn("country", (F.col("s1") % 2).cast("string")), ["f"], maxIter=2, maxDepth=2), "prob").first()[0] > 0.9
+
+
+def test_seeds_differ_and_share_folds(spark):
+    d = pairs(spark, 5)
+    fit = {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 2}
+    models, both = learn.ensemble(d, ["f", "noise"], (1, 2), **fit)
+    one = learn.out_of_fold(d, ["f", "noise"], seed=1, **fit).select("s1", "p", F.col("raw").alias("one"))
+    far = both.join(one, ["s1", "p"]).agg(F.max(F.abs(F.col("raw") - F.col("one")))).first()[0]
+    assert len(models) == 2 and far > 0
+
+
+def test_a_forced_threshold_keeps_the_tuned_alpha(spark, tmp_path, monkeypatch):
+    d = pairs(spark, 6)
+    monkeypatch.setattr(refit.decide, "tune", lambda *a, **k: {"method": "threshold", "thr": 0.4, "alpha": 0.3, "f05": 0.9})
+    report = refit.refit(spark, f"{tmp_path}/a", d, d.filter("label = 1").select("s1", "p"), d.select("s1").distinct(), threshold=0.6, maxIter=2, maxDepth=2, minInstancesPerNode=2)
+    assert report["knobs"] == {"method": "threshold", "thr": 0.6, "alpha": 0.3}
+    assert refit.load(spark, f"{tmp_path}/a")["knobs"]["alpha"] == 0.3
