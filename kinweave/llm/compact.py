@@ -31,7 +31,7 @@ SHINGLE, PASSAGE, SIMILAR, FUNCTIONS = 5, 50, 0.8, 1
 #: Shingles to each side of a window's least one that are compared.
 REACH = 64
 #: Groups with more different surroundings are folded into classes by Spark instead of within a task.
-HOT = 1024
+HOT = 2048
 #: Groups of up to so many different surroundings are compared pair by pair, many groups at a time.
 FEW = 48
 #: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
