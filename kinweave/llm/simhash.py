@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, connected_components, materialize, slices, text_docs, to_batch
+from .common import column_bytes, connected_components, free_names, materialize, slices, text_docs, to_batch
 from .kernels import union_labels
 
 
@@ -200,13 +200,14 @@ def keep_one(docs: DataFrame, k: int = 4, reach: int = 4) -> DataFrame:
     in doc_id and fingerprint one stays.
     """
     columns = docs.columns
-    schema = docs.select(*columns, F.lit(0).cast("long").alias("__fp")).schema
+    own, best_fp, best_id = free_names(columns, "own_fp", "best_fp", "best_id")
+    schema = docs.select(*columns, F.lit(0).cast("long").alias(own)).schema
 
     def run(batches):
         for batch in batches:
             for b in slices([batch]):
                 fps = np.array([fingerprint(t, k) for t in column_bytes(b, "text")], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, "__fp"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*columns, own])
 
     marked = materialize(fingerprints(docs, k), "simhash")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
@@ -214,7 +215,7 @@ def keep_one(docs: DataFrame, k: int = 4, reach: int = 4) -> DataFrame:
     roots = link_fingerprints(nodes.select("fp"), reach)
     comp = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = comp.groupBy("root").agg(F.min(F.struct("low.none", "low.doc_id", "fp")).alias("w"))
-    best = best.select(F.col("w.fp").alias("__wfp"), F.col("w.doc_id").alias("__wid"))
+    best = best.select(F.col("w.fp").alias(best_fp), F.col("w.doc_id").alias(best_id))
     rows = docs.mapInArrow(run, schema)
-    kept = rows.join(best, (F.col("__fp") == F.col("__wfp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__wid")), "left_semi")
-    return kept.dropDuplicates(["__fp", "doc_id"]).select(*columns)
+    kept = rows.join(best, (F.col(own) == F.col(best_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(best_id)), "left_semi")
+    return kept.dropDuplicates([own, "doc_id"]).select(*columns)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinweave.llm import compact, quality, secrets, simhash
@@ -92,3 +93,13 @@ def test_pipeline_stages(spark, tmp_path):
 @pytest.mark.parametrize("stage", [simhash.keep_one, compact.drop_repeats, secrets.redact_documents])
 def test_stages_take_empty_tables(spark, stage):
     assert stage(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one, compact.drop_repeats])
+def test_columns_named_like_our_own(spark, stage):
+    names = ["__fp", "own_fp", "best_fp", "best_id", "__doc", "__removed", "doc", "h1", "h2", "gone"]
+    d = awkward(spark).select("doc_id", "text", *[F.col("n_chars").alias(n) for n in names])
+    out = stage(d)
+    want = {r["n_chars"] for r in stage(awkward(spark).select("doc_id", "text", "fp")).select(F.substring("fp", 2, 9).cast("long").alias("n_chars")).collect()}
+    assert out.columns == d.columns
+    assert {r["gone"] for r in out.collect()} == want and all(len({r[n] for n in names}) == 1 for r in out.collect())
