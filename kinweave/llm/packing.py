@@ -23,37 +23,70 @@ class SumOfSquares:
 
     A piece goes to the level at which the sum of squared counts is least afterwards
     (the fullest such level on ties); level 0 opens a window. A window that is full
-    is closed. ``put`` returns the closed window's pieces or None.
+    is closed. At most ``most`` windows stay open: beyond that the emptiest one is
+    moved into the fullest, its last piece cut where that one is full, and what is
+    left of a cut piece is placed anew. ``put`` returns the windows that were closed.
     """
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, most: int = 32):
+        self.size, self.most, self.count = size, most, 0
         self.level = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list[list]] = [[] for _ in range(size)]
 
-    def put(self, piece: tuple):
-        n, size, level = len(piece[2]), self.size, self.level
+    def put(self, piece: tuple) -> list[list]:
+        closed: list[list] = []
+        self._place(piece, closed)
+        while self.count > self.most:
+            held = np.flatnonzero(self.level)
+            window = self._take(int(held[-1]))
+            for moved in self._take(int(np.flatnonzero(self.level)[0])):
+                window = self._join(window, moved, closed)
+            if window:
+                self._keep(window)
+        return closed
+
+    def _place(self, piece: tuple, closed: list):
+        window = self._join(self._take(self._choose(len(piece[2]))), piece, closed)
+        if window:
+            self._keep(window)
+
+    def _choose(self, n: int) -> int:
+        size, level = self.size, self.level
         cost = level[n:] - level[: size - n + 1]
         cost[0] = level[n]  # a new window leaves no level
-        cost[size - n] -= level[size]  # closed windows do not count
         usable = level[: size - n + 1] > 0
         usable[0] = True
         at = np.flatnonzero(usable)
         c = 2 * cost[at] + 2
         c[at == 0] -= 1
-        c[at == size - n] -= 1
-        h = int(at[len(at) - 1 - np.argmin(c[::-1])])
-        window = self.open[h].pop() if h else []
-        level[h] -= bool(h)
-        window.append(piece)
-        if h + n == size:
+        c[at == size - n] -= 1  # a full window enters none
+        return int(at[len(at) - 1 - np.argmin(c[::-1])])
+
+    def _take(self, h: int) -> list:
+        if not h:
+            return []
+        self.level[h] -= 1
+        self.count -= 1
+        return self.open[h].pop()
+
+    def _keep(self, window: list):
+        h = sum(len(p[2]) for p in window)
+        self.level[h] += 1
+        self.count += 1
+        self.open[h].append(window)
+
+    def _join(self, window: list, piece: tuple, closed: list) -> list:
+        """``window`` with ``piece``, or what is left of the piece if that closes the window."""
+        doc, start, ids, total = piece
+        room = self.size - sum(len(p[2]) for p in window)
+        window = [*window, (doc, start, ids[:room], total)]
+        if len(ids) < room:
             return window
-        level[h + n] += 1
-        self.open[h + n].append(window)
-        return None
+        closed.append(window)
+        return [(doc, start + room, ids[room:], total)] if len(ids) > room else []
 
     def rest(self) -> list[tuple]:
-        """The pieces of all windows still open, fullest first."""
+        """The pieces of the windows still open, ``most`` windows at most, fullest first."""
         return [p for h in range(self.size - 1, 0, -1) for w in self.open[h] for p in w]
 
 
@@ -70,7 +103,7 @@ def ranked(path: str, bpe):
 
 
 def _tail_windows(pieces: list[tuple], size: int):
-    """Join the last open windows' pieces, cut at the window size; the remainder is cut at powers of two."""
+    """The pieces of a task's last open windows, joined and cut at the window size, then at powers of two."""
     left = sum(len(p[2]) for p in pieces)
     window, room = [], 0
     for doc, start, ids, total in pieces:
@@ -89,13 +122,16 @@ def _tail_windows(pieces: list[tuple], size: int):
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, memo: int = 150_000) -> DataFrame:
     """One row per piece of every document's ids in sequences of at most ``size``.
 
-    A document is its ids by the tokenizer file and ``end_id``; null text is empty,
-    so it is the end id alone. Documents longer than a window give whole windows and
-    a remainder; remainders are packed online, in the order of the input, by each
-    task for itself, so nothing is shuffled and one source may hold most rows. What
-    is open at a task's end is joined and cut: no sequence needs padding, as the last
-    ones of a task are powers of two. ``sequence_id`` has the task's partition in its
-    high bits. A task that is run again on the same split packs alike.
+    A document is its ids by the tokenizer file and ``end_id``; null or empty text is
+    the end id alone. Documents longer than a window give whole windows and a
+    remainder; remainders are packed online, in the order of the input, by each task
+    for itself, so nothing is shuffled and one source may hold most rows. The level
+    array places every remainder; only the pieces of the last open windows, at most
+    32 a task, are joined and cut: no sequence needs padding, as a task's last ones
+    are powers of two. ``sequence_id`` has the task's partition in its high bits. A
+    task that is run again on the same split packs alike. Rows that repeat and rows
+    without doc_id are documents of their own; other columns, of any name, are not
+    read; an empty table gives no row.
     """
 
     def run(batches):
@@ -133,8 +169,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, mem
                 n, full = len(ids), len(ids) // size * size
                 for i in range(0, full, size):
                     emit([(doc, i, ids[i : i + size], n)])
-                if full < n and (done := packer.put((doc, full, ids[full:].copy(), n))):
-                    emit(done)
+                if full < n:
+                    for window in packer.put((doc, full, ids[full:].copy(), n)):
+                        emit(window)
             yield flush()
         for window in _tail_windows(packer.rest(), size):
             emit(window)

@@ -81,16 +81,44 @@ def test_packing(spark):
     assert packing.pack(empty(spark), BYTE).count() == 0
 
 
+def pieces_in(windows):
+    return [p for w in windows for p in w]
+
+
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(10)
     for n in (6, 6, 3):
         p.put((0, 0, np.zeros(n), n))
     assert p.level[6] == 1 and p.level[9] == 1  # two windows at 6 cost most, so one of them grows
-    closed = p.put((0, 0, np.zeros(4), 4))
-    assert closed is not None and sum(len(x[2]) for x in closed) == 10
+    (closed,) = p.put((0, 0, np.zeros(4), 4))
+    assert sum(len(x[2]) for x in closed) == 10
     rng = np.random.default_rng(0)
-    q = packing.SumOfSquares(64)
+    q = packing.SumOfSquares(64, most=10**6)
     for n in rng.integers(1, 64, 4000):
         q.put((0, 0, np.zeros(n), n))
     room = sum(64 - sum(len(x[2]) for x in w) for h in q.open for w in h)
     assert room < 64 * 4000**0.5  # the waste, in windows, grows as the square root of the pieces
+
+
+def test_open_windows_are_bounded_and_every_id_is_placed_once():
+    rng = np.random.default_rng(1)
+    for most in (1, 2, 32):
+        p, closed, want = packing.SumOfSquares(128, most), [], {}
+        for doc, n in enumerate(rng.integers(1, 128, 3000)):
+            want[doc] = np.arange(n)
+            closed += p.put((doc, 0, want[doc], n))
+            assert p.count == p.level.sum() <= most and p.level[128] == 0
+        assert all(sum(len(x[2]) for x in w) == 128 for w in closed)
+        got = defaultdict(list)
+        for doc, start, ids, _ in pieces_in(closed) + p.rest():
+            assert len(ids) and ids[0] == start
+            got[doc].append(ids)
+        assert all(np.array_equal(np.sort(np.concatenate(got[d])), want[d]) for d in want)
+
+
+def test_level_array_places_all_but_the_last_windows():
+    rng = np.random.default_rng(2)
+    p, sizes = packing.SumOfSquares(1024), np.minimum(1023, rng.lognormal(5, 1, 5000).astype(int) + 1)
+    closed = pieces_in(w for n in sizes for w in p.put((0, 0, np.zeros(n), n)))
+    assert len(p.rest()) <= 10 * p.most  # of 5,000 remainders
+    assert len(closed) + len(p.rest()) < 1.25 * len(sizes)  # few are cut
