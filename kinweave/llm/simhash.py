@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,35 +48,53 @@ def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return text_docs(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-class VantageTree:
-    """Splits fingerprints by their Hamming distance to vantage points.
+WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
-    A node holds a vantage point and a radius: inside are fingerprints at that
-    distance at most. Leaves are numbered shards. ``route`` sends each fingerprint to
-    its own leaf and to every leaf its ball reaches, as by the triangle inequality a
-    fingerprint within ``reach`` of x lies inside only if x is at most radius + reach
-    away, and outside only if x is over radius - reach away.
+def block_masks(reach: int, blocks: int) -> list[np.uint64]:
+    """Masks of which every pair at most ``reach`` bits apart agrees wholly on one at least.
+
+    The 64 bits are cut into ``blocks`` runs; a mask keeps all but ``reach`` of them.
     """
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    runs = [sum(1 << bit for bit in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [np.uint64(sum(c)) for c in combinations(runs, blocks - reach)]
+
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
+def _distance(pts: np.ndarray, v, mask) -> np.ndarray:
+    return np.bitwise_count((pts ^ v) & mask).astype(np.int64)
+
+
+class VantageTree:
+    """Splits fingerprints by their Hamming distance, over a mask's bits, to vantage points.
+
+    It serves the pairs that agree on the mask: over its bits they are at distance 0,
+    so by the triangle inequality both lie on the same side of every vantage point and
+    nothing is copied. Points that all agree on the mask and are still over ``most``
+    are split by distance over all bits: there a fingerprint within ``reach`` of x
+    lies inside only if x is at most radius + reach away, and outside only if x is
+    over radius - reach away. Leaves are numbered shards; ``route`` sends each
+    fingerprint to its own leaf and to all others that its ball reaches.
+    """
+
+    def __init__(self, sample: np.ndarray, most: float, mask, reach: int, seed: int = 1):
         self.nodes: list = []
-        self.leaves = 0
-        self._build(np.unique(sample), depth, rng)
+        self.leaves, self.most, self.mask, self.reach = 0, most, mask, reach
+        self._build(np.unique(sample), np.random.default_rng(seed))
 
-    def _build(self, pts, depth, rng) -> int:
+    def _build(self, pts, rng) -> int:
         at = len(self.nodes)
         self.nodes.append(None)
-        split = _vantage(pts, rng) if depth and len(pts) > 1 else None
+        split = _split(pts, self.mask, self.reach, rng, 1.25 if len(pts) >= 256 else 0) if len(pts) > self.most else None
         if split is None:
             self.nodes[at] = self.leaves
             self.leaves += 1
         else:
-            v, r, d = split
-            self.nodes[at] = (v, r, self._build(pts[d <= r], depth - 1, rng), self._build(pts[d > r], depth - 1, rng))
+            v, mask, r, slack, d = split
+            self.nodes[at] = (v, mask, r, slack, self._build(pts[d <= r + slack], rng), self._build(pts[d > r - slack], rng))
         return at
 
-    def route(self, pts: np.ndarray, reach: int):
+    def route(self, pts: np.ndarray):
         """(leaf, index into pts, at home) of all visits."""
         out = []
         stack = [(0, np.arange(len(pts)), np.ones(len(pts), dtype=bool))]
@@ -88,19 +106,19 @@ class VantageTree:
             if isinstance(node, int):
                 out.append((np.full(len(who), node), who, home))
                 continue
-            v, r, inside, outside = node
-            d = np.bitwise_count(pts[who] ^ v).astype(np.int64)
-            near, far = d <= r + reach, d > r - reach
+            v, mask, r, slack, inside, outside = node
+            d = _distance(pts[who], v, mask)
+            near, far = d <= r + slack, d > r - slack
             stack.append((inside, who[near], home[near] & (d[near] <= r)))
             stack.append((outside, who[far], home[far] & (d[far] > r)))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
 
 
-def _vantage(pts: np.ndarray, rng):
+def _vantage(pts: np.ndarray, mask, rng):
     """A vantage point and radius that split ``pts`` most evenly of a few tried, or None."""
     best = None
     for v in rng.choice(pts, size=min(4, len(pts)), replace=False):
-        d = np.bitwise_count(pts ^ v).astype(np.int64)
+        d = _distance(pts, v, mask)
         r = int(np.median(d))
         if r == d.max():
             r -= 1
@@ -110,69 +128,107 @@ def _vantage(pts: np.ndarray, rng):
     return best and best[1:]
 
 
-def close_stars(pts: np.ndarray, home: np.ndarray, reach: int, bucket: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (index, smallest index linked) that join all fingerprints of one shard within ``reach``.
+def _split(pts: np.ndarray, mask, reach: int, rng, copies: float):
+    """(vantage point, mask, radius, slack, distances): over the mask if that parts ``pts``, else over all bits.
+
+    A cut over all bits counts if both sides, with what reaches over it, hold at most
+    ``copies`` times the points and neither nearly all of them; None if there is none.
+    """
+    if (cut := _vantage(pts, mask, rng)) is not None:
+        v, r, d = cut
+        return v, mask, r, 0, d
+    if (cut := _vantage(pts, WHOLE, rng)) is not None:
+        v, r, d = cut
+        near, far = int((d <= r + reach).sum()), int((d > r - reach).sum())
+        if max(near, far) <= 0.9 * len(pts) and near + far <= copies * len(pts):
+            return v, WHOLE, r, reach, d
+    return None
+
+
+def close_stars(pts: np.ndarray, home: np.ndarray, reach: int, mask=WHOLE, bucket: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (index, smallest index linked) that join all fingerprints of one shard within ``reach`` that agree on ``mask``.
 
     A tree over the home points is searched by all points in blocks; pairs are
     folded into labels block by block, so memory is bounded and at most one edge for
-    each point comes out, whatever the group's size.
+    each point comes out, whatever the group's size. Where no cut helps, the points
+    are one tight group: a block whose members are linked already is compared with
+    points of other labels only. With the mask of all bits only equal points agree,
+    so it then cuts by whole distances alone.
     """
     rng = np.random.default_rng(2)
     labels = np.arange(len(pts))
+    narrow = mask if mask != WHOLE else np.uint64(0)
     stack = [(np.flatnonzero(home), np.arange(len(pts)))]
     while stack:
         mem, ask = stack.pop()
         if not len(mem) or not len(ask):
             continue
-        split = _vantage(pts[mem], rng) if len(mem) > bucket else None
+        split = _split(pts[mem], narrow, reach, rng, 1.8) if len(mem) > bucket else None
         if split is not None:
-            v, r, d = split
-            q = np.bitwise_count(pts[ask] ^ v)
-            stack.append((mem[d <= r], ask[q <= r + reach]))
-            stack.append((mem[d > r], ask[q.astype(np.int64) > r - reach]))
+            v, over, r, slack, d = split
+            q = _distance(pts[ask], v, over)
+            stack.append((mem[d <= r], ask[q <= r + slack]))
+            stack.append((mem[d > r], ask[q > r - slack]))
             continue
+        if len(mem) > bucket:  # a tight group: whatever lies near one of its points is linked through it
+            for v in rng.choice(mem, size=4, replace=False):
+                labels = _fold(pts, labels, np.array([v]), ask, reach)
+            mem = mem[np.argsort(labels[mem], kind="stable")]
         for m in range(0, len(mem), 1024):
+            block = mem[m : m + 1024]
             for i in range(0, len(ask), 4096):
-                a, b = np.nonzero(np.bitwise_count(pts[ask[i : i + 4096], None] ^ pts[None, mem[m : m + 1024]]) <= reach)
-                a, b = ask[i : i + 4096][a], mem[m : m + 1024][b]
-                off = labels[a] != labels[b]
-                if off.any():
-                    labels = union_labels(len(pts), a[off], b[off], labels)
+                some, of = ask[i : i + 4096], labels[block]
+                if (of == of[0]).all():
+                    some = some[labels[some] != of[0]]
+                labels = _fold(pts, labels, block, some, reach)
     at = np.flatnonzero(labels != np.arange(len(pts)))
     return at, labels[at]
 
 
-def link_fingerprints(fps: DataFrame, reach: int = 4, shard: int = 65_536, sample: int = 65_536) -> DataFrame:
+def _fold(pts: np.ndarray, labels: np.ndarray, mem: np.ndarray, ask: np.ndarray, reach: int) -> np.ndarray:
+    """``labels`` after joining all of ``ask`` with all of ``mem`` within ``reach``."""
+    a, b = np.nonzero(np.bitwise_count(pts[ask, None] ^ pts[None, mem]) <= reach)
+    a, b = ask[a], mem[b]
+    off = labels[a] != labels[b]
+    return union_labels(len(pts), a[off], b[off], labels) if off.any() else labels
+
+
+def link_fingerprints(fps: DataFrame, reach: int = 4, shard: int = 16_384, sample: int = 65_536, blocks: int | None = None) -> DataFrame:
     """(fp, root): components of distinct fingerprints at most ``reach`` bits apart.
 
-    ``fps`` holds distinct longs in ``fp``. The tree that cuts them into shards of
-    about ``shard`` is shaped by at most ``sample`` of them (by hash); that shapes the
-    shards only: every pair is found wherever the cuts lie. Shards get copies of the
-    fingerprints whose ball reaches over a cut.
+    ``fps`` holds distinct longs in ``fp``. The bits are cut into ``blocks`` runs
+    (reach + 1 if not given); for every choice of runs that a pair can agree on there
+    is one vantage tree, cut into shards of about ``shard``. With 5 runs a fingerprint
+    goes to 5 trees and, but for tight groups, to one shard of each, however large the
+    table is; shards stay small to some 10^8 fingerprints, beyond which 6 runs (15
+    trees) cut finer. The trees are shaped by at most ``sample`` fingerprints (by
+    hash); that shapes the shards only: every pair is found wherever the cuts lie.
     """
-    spark = fps.sparkSession
     n = fps.count()
     keep = max(1, n // sample)
     rows = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(keep)) == 0).limit(2 * sample).toPandas()["fp"].to_numpy(dtype=np.int64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    tree = VantageTree(rows.view(np.uint64), depth)
-    schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+    most = shard * len(rows) / max(1, n)
+    masks = block_masks(reach, blocks or reach + 1)
+    trees = [VantageTree(rows.view(np.uint64), most, m, reach) for m in masks]
+    schema = pa.schema([("tree", pa.int32()), ("shard", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
 
     def send(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            leaf, who, home = tree.route(fp.view(np.uint64), reach)
-            yield to_batch({"shard": leaf, "fp": fp[who], "home": home}, schema)
+            for t, tree in enumerate(trees):
+                leaf, who, home = tree.route(fp.view(np.uint64))
+                yield to_batch({"tree": np.full(len(leaf), t, np.int32), "shard": leaf, "fp": fp[who], "home": home}, schema)
 
     def search(table):
         fp = table.column("fp").to_numpy()
         order = np.argsort(fp)
         fp, home = fp[order], table.column("home").to_numpy(zero_copy_only=False)[order]
-        a, b = close_stars(fp.view(np.uint64), home, reach)
+        a, b = close_stars(fp.view(np.uint64), home, reach, masks[table.column("tree")[0].as_py()])
         return pa.table({"a": fp[a], "b": fp[b]})
 
-    sent = fps.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
-    edges = sent.groupBy("shard").applyInArrow(search, "a long, b long")
+    sent = fps.select("fp").mapInArrow(send, "tree int, shard long, fp long, home boolean")
+    parts = min(2 * sum(t.leaves for t in trees), 2000)
+    edges = sent.repartition(parts, "tree", "shard").groupBy("tree", "shard").applyInArrow(search, "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 

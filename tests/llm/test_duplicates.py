@@ -45,24 +45,50 @@ def test_simhash(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
-def test_tree_finds_all_pairs():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    pts = np.unique(np.concatenate([base, *[base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 300), dtype=np.uint64), axis=0) for k in (1, 3, 4, 5, 6)]]))
-    tree = simhash.VantageTree(pts, 3)
-    leaf, who, home = tree.route(pts, 4)
-    assert home.sum() == len(pts)
+def fingerprint_mix(rng, lone, cluster):
+    """Distinct fingerprints: unlike ones, chains of close ones, and a tight group around one."""
+    base = rng.integers(0, 2**64, lone, dtype=np.uint64)
+    flips = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, k), dtype=np.uint64), axis=1)
+    near = base[: lone // 4] ^ flips(lone // 4, 4)
+    return np.unique(np.concatenate([base, near, near ^ flips(len(near), 5), base[0] ^ flips(cluster, 6)]))
+
+
+@pytest.mark.parametrize("blocks", [5, 6])
+@pytest.mark.parametrize("most", [4, 300, 10**9])
+def test_trees_find_all_pairs(blocks, most):
+    pts = fingerprint_mix(np.random.default_rng(3), 1200, 900)
     a, b = [], []
-    for s in range(tree.leaves):
-        i, h = who[leaf == s], home[leaf == s]
-        x, y = simhash.close_stars(pts[i], h, 4, bucket=16)
-        a.append(i[x])
-        b.append(i[y])
+    for mask in simhash.block_masks(4, blocks):
+        tree = simhash.VantageTree(pts[::2], most, mask, 4)
+        leaf, who, home = tree.route(pts)
+        assert home.sum() == len(pts)
+        for s in range(tree.leaves):
+            i, h = who[leaf == s], home[leaf == s]
+            x, y = simhash.close_stars(pts[i], h, 4, mask, bucket=16)
+            a.append(i[x])
+            b.append(i[y])
     got = union_labels(len(pts), np.concatenate(a), np.concatenate(b))
     want = union_labels(len(pts), *np.nonzero(np.bitwise_count(pts[:, None] ^ pts[None]) <= 4))
     assert (got == want).all()
 
 
+def test_tight_group_is_joined_whole():
+    pts = fingerprint_mix(np.random.default_rng(4), 4, 4000)
+    a, b = simhash.close_stars(pts, np.ones(len(pts), bool), 4)
+    want = union_labels(len(pts), *np.nonzero(np.bitwise_count(pts[:, None] ^ pts[None]) <= 4))
+    assert (union_labels(len(pts), a, b) == want).all() and np.bincount(want).max() > 1000
+
+
+def test_shards_stay_small_and_copies_few():
+    rng = np.random.default_rng(5)
+    pts = rng.integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    for mask in simhash.block_masks(4, 5):
+        tree = simhash.VantageTree(pts[:65_536], 16_384 * 65_536 / len(pts), mask, 4)
+        leaf, who, home = tree.route(pts)
+        assert len(who) == len(pts) and home.all()  # one copy a tree
+        assert np.bincount(leaf).max() < 2 * 16_384
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]
