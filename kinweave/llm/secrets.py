@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -51,6 +52,15 @@ _OPERATOR = re.compile(r":=|=>|<-|(?<![=!<>+*/%|&^~-])=(?!=)|(?<!:):(?!:|//)")
 _VALUE = re.compile(r"[ \t]*(?:(" + _LITERAL + r")|([A-Za-z_][\w.]{0,127})(?![\w(./+=:@-])|([^\s\"'`,;(){}\[\]<>]+))", re.A)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'])|(?=[\"']))[ \t]*(?:(" + _LITERAL + r")|([A-Za-z_][\w.]{0,127})(?![\w(]))", re.A)
 _QUOTED = re.compile(_LITERAL)
+_OTHERWISE = re.compile(r"(?:[^\n;\"'`=:]|" + _LITERAL + r")*?(?:\bor\b|\|\||\?\?|\?:)[ \t]*(" + _LITERAL + ")")
+_HOLE = re.compile(r"\{([A-Za-z_][\w.]*)\}", re.A)
+_NAME = r"([A-Za-z_][\w.-]{0,127})"
+_CALL = re.compile(r"\(\s*[\"']" + _NAME + r"[\"']\s*,\s*(" + _LITERAL + ")", re.A)
+_ELEMENT = re.compile(r"<" + _NAME + r"(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</\1\s*>", re.A)
+_BLOCK = re.compile(r"^([ \t]*)(?:- )?[\"']?" + _NAME + r"[\"']?:[ \t]*[|>][+-]?[0-9]?[ \t]*\n((?:\1[ \t]+\S[^\n]*(?:\n|\Z))+)", re.A | re.M)
+_ITEMS = re.compile(r"^([ \t]*)[\"']?" + _NAME + r"[\"']?:[ \t]*\n((?:\1[ \t]*- [^\n]*(?:\n|\Z))+)", re.A | re.M)
+_LIST = re.compile(r"[\"']?\b" + _NAME + r"[\"']?\s*(?:=|:|:=|=>)\s*[\[({]\s*(" + _LITERAL + r"(?:\s*,\s*" + _LITERAL + r")*)\s*,?\s*[\])}]", re.A)
+_LINE = re.compile(r"[^\s][^\n]*")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: At most so many characters before an operator can belong to its name.
 _BACK = 200
@@ -108,7 +118,8 @@ def pairs(text: str):
 
     Quoted, typed, dotted and subscripted names; ``=``, ``:``, ``:=``, ``=>`` and
     ``<-``; quoted literals with escapes, bare configuration values, literals joined
-    by ``+`` or standing side by side, and names given a literal earlier in the text.
+    by ``+`` or standing side by side, names given a literal earlier in the text, such
+    names inside f-strings, and defaults (``x or "v"``, ``x ?? "v"``).
     """
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     busy = 0
@@ -126,6 +137,16 @@ def pairs(text: str):
         if v[1]:
             q = v[1].lstrip("bBrRuUfF")
             parts, value, end = [(v.end(1) - len(q) + 1, v.end(1) - 1)], q[1:-1], v.end()
+            if "{" in q and "f" in v[1][: len(v[1]) - len(q)].lower():  # what an f-string takes in
+                for hole in _HOLE.findall(q):
+                    parts += constants.get(hole, ("", []))[1]
+                value = _HOLE.sub(lambda m: constants.get(m[1], (m[0],))[0], value)
+        elif (d := _OTHERWISE.match(text, op.end())) and d[1]:  # x or "v": the value where x has none
+            parts, end = [_inside(text, *d.span(1))], d.end()
+            value = text[slice(*parts[0])]
+            yield name, value, parts, True
+            busy = end
+            continue
         elif v[2] and v[2] in constants:
             value, parts = constants[v[2]]
             parts, end = list(parts), v.end()
@@ -154,13 +175,51 @@ def pairs(text: str):
         yield name, value, parts, bool(v[1])
 
 
+def _inside(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """``lo`` to ``hi`` without white space at its ends and without a literal's prefix and quotes."""
+    while lo < hi and text[hi - 1].isspace():
+        hi -= 1
+    if m := _QUOTED.fullmatch(text, lo, hi):
+        lo, hi = m.end() - len(m[0].lstrip("bBrRuUfF")) + 1, hi - 1
+    return lo, hi
+
+
+def structured(text: str):
+    """As ``pairs``, where no operator stands between name and value.
+
+    Calls with a quoted name and a literal (``setenv("K", "v")``), XML elements, YAML
+    block scalars (their lines as one value) and YAML or bracketed lists under a name
+    (each item a value).
+    """
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            lo, hi = _inside(text, *m.span(2))
+            yield m[1], text[lo:hi], [(lo, hi)], True
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m[1], m[2], [m.span(2)], False
+    if ":" in text and "\n" in text:
+        for m in _BLOCK.finditer(text):
+            parts = [_inside(text, x.start(), x.end()) for x in _LINE.finditer(text, *m.span(3))]
+            yield m[2], "".join(text[a:b] for a, b in parts), parts, False
+        for m in _ITEMS.finditer(text):
+            for x in _LINE.finditer(text, *m.span(3)):
+                lo, hi = _inside(text, x.start() + 2, x.end())
+                yield m[2], text[lo:hi], [(lo, hi)], text[hi : hi + 1] in ("'", '"')
+    if "[" in text or "(" in text or "{" in text:
+        for m in _LIST.finditer(text):
+            for x in _QUOTED.finditer(text, *m.span(2)):
+                lo, hi = _inside(text, *x.span())
+                yield m[1], text[lo:hi], [(lo, hi)], True
+
+
 def find_pairs(text: str, least: float = 5.0) -> list[tuple[str, int, int]]:
     """Spans of literals whose name and value together score ``least`` or more.
 
     A name of weight under 2 never counts, and bare values need letters and digits.
     """
     found = set()
-    for name, value, parts, quoted in pairs(text):
+    for name, value, parts, quoted in chain(pairs(text), structured(text)):
         s = sensitivity(name)
         if s < 2:
             continue
@@ -221,6 +280,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document, in any number and order; null text is empty, with no span.
 
     base_sha256 covers the fixed patterns only; n_pair and spans also the lexer's.
+    Texts are read whole, whatever their length (a name counts by the 128 characters
+    next to its operator). Rows that repeat give rows that repeat; other columns, of
+    any name, are not read; an empty table gives no row.
     """
 
     def run(batches):
