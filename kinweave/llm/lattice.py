@@ -10,7 +10,9 @@ every byte may also be spelt by its byte piece, so no text has probability zero.
 What is learnt joins the lattice as one more arc over each whole word that training
 texts have: with N training tokens of V kinds it weighs count / (N + V), and the
 subword segmentations together V / (N + V). So frequent words have nearly their own
-share, and unseen ones that of their pieces.
+share, and unseen ones that of their pieces: in ``score`` the whole-word arc decides
+most of a word that training texts have, the segmentations all of one they have not.
+``lattice_score`` is the segmentations' part alone, with no arc learnt from the corpus.
 """
 
 from __future__ import annotations
@@ -176,12 +178,15 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, path: str, folds: int = 5, fold: int = 1, frequent: int = 1 << 18) -> DataFrame:
-    """Per document: held_out, token and known-token counts, N, base_score and score.
+    """Per document: held_out, token and known-token counts, N, base_score, score and lattice_score.
 
     Learns from documents whose crc32(doc_id) modulo ``folds`` is not ``fold``; null
     text is empty (one token, the end). Counts cover all training documents. At most
     ``frequent`` of the most frequent words are broadcast (16 bytes each); all others
     are looked up by a join on the word's hash, so no count is dropped or capped.
+    Words of any length are summed whole. Rows that repeat, in doc_id or text, count
+    and are scored each by itself (without doc_id: not held out); other columns, of
+    any name, are not read; an empty table gives no row.
     """
     from .quality import held_out
 
@@ -191,7 +196,7 @@ def score(docs: DataFrame, path: str, folds: int = 5, fold: int = 1, frequent: i
     n_all, n_words = n_all or 0, n_words or 0
     known, known_c = _frequent(counts, frequent)
     shared = docs.sparkSession.sparkContext.broadcast((known, known_c))
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("spelt", pa.list_(pa.float64()))]
+    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("lattice", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("spelt", pa.list_(pa.float64()))]
     schema = pa.schema(fields)
     escape, whole = (n_words / (n_all + n_words), 1 / (n_all + n_words)) if n_all else (1.0, 0.0)
 
@@ -217,13 +222,14 @@ def score(docs: DataFrame, path: str, folds: int = 5, fold: int = 1, frequent: i
                 first = np.full(len(known), -1)
                 where = np.flatnonzero(hit)[::-1]
                 first[at[where]] = where
-                cache[new] = both(known_c[new], voc.marginals(buf, s[first[new]], e[first[new]]))
+                cache[new] = voc.marginals(buf, s[first[new]], e[first[new]])
             lat[hit] = cache[at[hit]]
             off = np.flatnonzero(~hit)
             if len(off):
                 _, one, inv = np.unique(h[off], return_index=True, return_inverse=True)
                 lat[off] = voc.marginals(buf, s[off[one]], e[off[one]])[inv]
-            total = np.bincount(doc[hit], lat[hit], n) + (both(known_c[0], voc.end) if end_known else 0.0)
+            total = np.bincount(doc[hit], both(known_c[at[hit]], lat[hit]), n) + (both(known_c[0], voc.end) if end_known else 0.0)
+            alone = np.bincount(doc[hit], lat[hit], n) + (voc.end if end_known else 0.0)
             # Each document's words outside the broadcast ones, with their numbers.
             pair = np.lexsort((h[off], doc[off]))
             d, w, spelt = doc[off][pair], h[off][pair], lat[off][pair]
@@ -235,20 +241,21 @@ def score(docs: DataFrame, path: str, folds: int = 5, fold: int = 1, frequent: i
             times = np.diff(np.append(new, len(d))).astype(np.int32)
             cuts = pa.array(np.searchsorted(d[new], np.arange(n + 1)).astype(np.int32))
             cols = {
-                "key": key + np.arange(n), "doc_id": b.column(0), "held_out": b.column(2), "n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": n_known, "base": base, "score": total,
+                "key": key + np.arange(n), "doc_id": b.column(0), "held_out": b.column(2), "n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": n_known, "base": base, "score": total, "lattice": alone,
                 "rare": pa.ListArray.from_arrays(cuts, pa.array(w[new].view(np.int64))), "times": pa.ListArray.from_arrays(cuts, pa.array(times)), "spelt": pa.ListArray.from_arrays(cuts, pa.array(spelt[new])),
             }
             key += n
             yield to_batch(cols, schema)
 
-    sql = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, spelt array<double>"
+    sql = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, lattice double, rare array<long>, times array<int>, spelt array<double>"
     first = materialize(text_docs(docs, out).mapInArrow(run, sql), "lm-docs")
     rare = first.select("key", F.explode(F.arrays_zip("rare", "times", "spelt")).alias("x")).select("key", F.col("x.rare").alias("w"), F.col("x.times").alias("t"), F.col("x.spelt").alias("spelt"))
     c = F.coalesce("c", F.lit(0))
     lattice = F.when(c > 0, F.log10(c * F.lit(whole) + F.lit(escape) * F.pow(F.lit(10.0), F.col("spelt")))).otherwise(F.col("spelt") + F.lit(float(np.log10(escape))))
-    looked = rare.join(counts, "w", "left").groupBy("key").agg(F.sum(F.col("t") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen"), F.sum(F.col("t") * lattice).alias("also"))
+    looked = rare.join(counts, "w", "left").groupBy("key").agg(F.sum(F.col("t") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen"), F.sum(F.col("t") * lattice).alias("also"), F.sum(F.col("t") * F.col("spelt")).alias("pieces"))
     lead = float(np.log10(n_all + 0.5 * (n_words + 1)))
     return first.drop("rare", "times", "spelt").join(looked, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(lead)).alias("base_score"), (F.col("score") + F.coalesce("also", F.lit(0.0))).alias("score"),
+        (F.col("lattice") + F.coalesce("pieces", F.lit(0.0))).alias("lattice_score"),
     )
