@@ -174,10 +174,10 @@ def close_stars(pts: np.ndarray, home: np.ndarray, reach: int, mask=WHOLE, bucke
             for v in rng.choice(mem, size=4, replace=False):
                 labels = _fold(pts, labels, np.array([v]), ask, reach)
             mem = mem[np.argsort(labels[mem], kind="stable")]
-        for m in range(0, len(mem), 1024):
-            block = mem[m : m + 1024]
-            for i in range(0, len(ask), 4096):
-                some, of = ask[i : i + 4096], labels[block]
+        for m in range(0, len(mem), 512):
+            block = mem[m : m + 512]
+            for i in range(0, len(ask), 1024):
+                some, of = ask[i : i + 1024], labels[block]
                 if (of == of[0]).all():
                     some = some[labels[some] != of[0]]
                 labels = _fold(pts, labels, block, some, reach)
@@ -227,8 +227,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 4, shard: int = 16_384, sampl
         return pa.table({"a": fp[a], "b": fp[b]})
 
     sent = fps.select("fp").mapInArrow(send, "tree int, shard long, fp long, home boolean")
-    parts = min(2 * sum(t.leaves for t in trees), 2000)
-    edges = sent.repartition(parts, "tree", "shard").groupBy("tree", "shard").applyInArrow(search, "a long, b long")
+    edges = sent.groupBy("tree", "shard").applyInArrow(search, "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 
