@@ -122,15 +122,18 @@ def component_words(component: Column) -> Column:
     return split_words(F.coalesce(F.when(F.size(words) <= 3, lookup(tables.STATES, spaced(words))), spaced(words)))
 
 
-def normalize_address(df: DataFrame, address: str = "business_address", transliterate: bool = True) -> DataFrame:
-    """``df`` with the ten address columns."""
+def normalize_address(df: DataFrame, address: str = "business_address", transliterate: bool = True, long_code: str = tables.POSTCODE_6) -> DataFrame:
+    """``df`` with the ten address columns.
+
+    The postcode is the last match of ``long_code``, or else the last five digits that stand alone.
+    """
     keep = df.columns
     raw = F.regexp_replace(F.coalesce(F.col(address), F.lit("")), tables.NUMBER_SIGN, "no ")
     d = df.withColumn("_b", F.regexp_replace(latin(F.regexp_replace(raw, "[°º]", " "), transliterate), tables.ORDINAL_SUFFIX, "$1"))
     d = d.withColumn("landmark", spaced(tokens(F.array_join(F.regexp_extract_all("_b", F.lit(tables.LANDMARK), 1), " "))))
     parts = F.filter(F.transform(F.split(F.regexp_replace("_b", tables.LANDMARK, " "), ","), lambda c: F.trim(c)), lambda c: c != "")
     d = d.withColumn("_c", F.transform(parts, component_words)).withColumn("_t", F.flatten("_c"))
-    codes = F.regexp_extract_all("_b", F.lit(tables.POSTCODE_6), 0)
+    codes = F.regexp_extract_all("_b", F.lit(long_code), 0)
     codes = F.when(F.size(codes) > 0, codes).otherwise(F.regexp_extract_all("_b", F.lit(tables.POSTCODE_5), 0))
     d = d.withColumn("postcode", F.coalesce(F.substring_index(F.get(F.reverse(codes), F.lit(0)), "-", 1), F.lit("")))
     code = F.regexp_replace("postcode", "^0+", "")
