@@ -3,15 +3,15 @@
 Unit vectors at cosine c lie at squared distance 2 - 2c. After a fixed rotation the
 coordinates are split into blocks, each with a share of that squared distance in
 proportion to its coordinates: a pair within the whole budget is within its share in
-some block at least. Each block is range-joined by itself over a grid, and each
+some block at least. Distinct vectors are packed into sides of some thousands, once, and
+every two sides meet as a tile that is read from the packed table, so no vector goes
+through a shuffle for the join. Within a tile each block is range-joined and each
 candidate is checked exactly in double precision. The join is whole: no pair at or
-over the threshold is lost, whatever the grid.
+over the threshold is lost.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, to_batch
 from .kernels import union_labels
 
-#: Coordinates of a block, most of them used for the grid, most home vectors of one task.
-BLOCK, AXES, PART = 8, 4, 32_768
+#: Coordinates of a block; vectors of a side, at least and at most.
+BLOCK, LEAST, PART = 32, 1024, 16_384
 #: Half the angle of a hot ball (degrees), and what share of the sample makes it hot.
 BALL, HOT = 10.0, 0.01
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -43,30 +43,6 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def visits(u: np.ndarray, budget: float, axes: int):
-    """(index, block, cell, at home) of every grid cell that a vector's ball reaches, block by block."""
-    n, d = u.shape
-    rot = u @ rotation(d)
-    out = []
-    for k, (a, b, share) in enumerate(blocks(d, budget)):
-        r = np.sqrt(share) * (1 + 1e-6)
-        x = rot[:, a : min(b, a + axes)]
-        own = np.floor(x / (2 * r)).astype(np.int64)
-        lo, hi = np.floor((x - r) / (2 * r)).astype(np.int64), np.floor((x + r) / (2 * r)).astype(np.int64)
-        for pick in product((0, 1), repeat=x.shape[1]):
-            use = np.ones(n, dtype=bool)
-            cell, at_home = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-            for j, side in enumerate(pick):
-                c = hi[:, j] if side else lo[:, j]
-                if side:
-                    use &= hi[:, j] != lo[:, j]
-                cell = cell << 9 | (c + 256)
-                at_home &= c == own[:, j]
-            i = np.flatnonzero(use)
-            out.append((i, np.full(len(i), k), cell[i], at_home[i]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
-
-
 def hot_leaders(sample: np.ndarray) -> np.ndarray:
     """Unit vectors around which over one in a hundred of the sample lies within the ball's angle."""
     if not len(sample):
@@ -84,45 +60,68 @@ def hot_leaders(sample: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, sample.shape[1])
 
 
-def cell_links(u, raw, norm, copies, ball, nid, home, block: int, budget: float, least: float):
-    """Within one cell: copies linked to each vector found in this block first, and star edges.
-
-    Vectors come sorted by nid; a pair is looked at from its lesser nid only and counts
-    for both, as the other direction is met in the other one's home cell.
-    """
-    n, d = u.shape
-    parts = blocks(d, budget)
-    a, b, share = parts[block]
-    rot = u @ rotation(d)
-    f = rot[:, a:b].astype(np.float32)
-    sq, one = np.einsum("ij,ij->i", f, f)[:, None], np.ones((n, 1), dtype=np.float32)
-    left, right = np.hstack([-2 * f, sq, one]), np.hstack([f, one, sq])  # their product is the squared distance
-    short = u.astype(np.float32)
-    homes = np.flatnonzero(home)
-    links, labels = np.zeros(n, dtype=np.int64), np.arange(n)
-    for j in range(0, len(homes), 4096):
-        h = homes[j : j + 4096]
-        far = np.ascontiguousarray(right[h].T)
-        for i in range(0, int(h[-1]), 512):
-            q, x = np.nonzero(left[i : i + 512] @ far <= share * 1.001 + 1e-6)
-            q, x = q + i, h[x]
-            ok = (q < x) & ((ball[q] != ball[x]) | (ball[q] < 0))
+class Side:
+    """The vectors of one side of a tile with what the search needs of them."""
+
+    def __init__(self, raw: np.ndarray, copies: np.ndarray, ball: np.ndarray, budget: float):
+        self.raw, self.copies, self.ball = raw, copies, ball
+        self.norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        u = raw / self.norm[:, None]
+        self.rot, self.short = u @ rotation(u.shape[1]), u.astype(np.float32)
+        self.left, self.right = [], []  # their products are the squared distances within a block
+        one = np.ones((len(u), 1), dtype=np.float32)
+        for a, b, _ in blocks(u.shape[1], budget):
+            f = self.rot[:, a:b].astype(np.float32)
+            sq = np.einsum("ij,ij->i", f, f)[:, None]
+            self.left.append(np.hstack([-2 * f, sq, one]))
+            self.right.append(np.ascontiguousarray(np.hstack([f, one, sq]).T))
+
+
+def near_places(left: np.ndarray, right: np.ndarray, most: float, above: bool):
+    """(row, column) of the products up to ``most``, some at a time; with ``above`` only columns after the row's number."""
+    for i in range(0, len(left), 256):
+        for j in range(i // 2048 * 2048 if above else 0, right.shape[1], 2048):
+            near = left[i : i + 256] @ right[:, j : j + 2048] <= most
+            flat = near.ravel()
+            if flat.size % 8 == 0:  # eight at a time, as hardly any is near
+                at = np.flatnonzero(flat.view(np.uint64))
+                at = (at[:, None] * 8 + np.arange(8)).ravel()
+                at = at[flat[at]]
+            else:
+                at = np.flatnonzero(flat)
+            if len(at):
+                q, x = at // near.shape[1] + i, at % near.shape[1] + j
+                if above:
+                    q, x = q[q < x], x[q < x]
+                yield q, x
+
+
+def tile_links(one: Side, two: Side, budget: float, least: float):
+    """Copies linked to each vector of both sides (of one, if they are the same), and labels that join linked ones."""
+    same = one is two
+    n, m = len(one.raw), 0 if same else len(two.raw)
+    parts = blocks(one.raw.shape[1], budget)
+    links, labels = np.zeros(n + m, dtype=np.int64), np.arange(n + m)
+    for block, (_, _, share) in enumerate(parts):
+        for q, x in near_places(one.left[block], two.right[block], share * 1.001 + 1e-5, same):
+            ok = (one.ball[q] != two.ball[x]) | (one.ball[q] < 0)
             q, x = q[ok], x[ok]
             for k in range(0, len(q), 1 << 16):
                 p, y = q[k : k + (1 << 16)], x[k : k + (1 << 16)]
-                ok = np.einsum("ij,ij->i", short[p], short[y]) >= least - 1e-3
+                ok = np.einsum("ij,ij->i", one.short[p], two.short[y]) >= least - 1e-3
                 p, y = p[ok], y[ok]
-                diff = (rot[p] - rot[y]) ** 2
+                diff = (one.rot[p] - two.rot[y]) ** 2
                 inside = np.stack([diff[:, s:e].sum(axis=1) <= t * (1 + 1e-9) for s, e, t in parts])
-                ok = inside[block] & (inside[:block].any(axis=0) == 0)
+                ok = inside[block] & (inside[:block].any(axis=0) == 0)  # counted in the first block that finds it
                 p, y = p[ok], y[ok]
-                ok = np.einsum("ij,ij->i", raw[p], raw[y]) / (norm[p] * norm[y]) >= least
+                ok = np.einsum("ij,ij->i", one.raw[p], two.raw[y]) / (one.norm[p] * two.norm[y]) >= least
                 p, y = p[ok], y[ok]
-                np.add.at(links, p, copies[y])
-                np.add.at(links, y, copies[p])
-                off = labels[p] != labels[y]
+                at = y if same else y + n
+                np.add.at(links, p, two.copies[y])
+                np.add.at(links, at, one.copies[p])
+                off = labels[p] != labels[at]
                 if off.any():
-                    labels = union_labels(n, p[off], y[off], labels)
+                    labels = union_labels(n + m, p[off], at[off], labels)
     return links, labels
 
 
@@ -143,13 +142,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = 4096)
     good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
     rows = rows.select("vec_id", F.when(good, F.xxhash64("v")).alias("nid"), F.when(good, F.col("v")).alias("v"))
     nodes = rows.filter("nid is not null").groupBy("nid").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
-    nodes = materialize(nodes.withColumn("d", F.size("v")), "embed-nodes")
-    total = nodes.count()
-    axes = int(np.clip(np.ceil(np.log(max(1, total / 20_000)) / np.log(2.5)), 0, AXES))
-    leaders: dict[int, np.ndarray] = {}
-    if least <= np.cos(np.radians(2 * BALL)):
-        got = nodes.filter(F.pmod("nid", F.lit(max(1, total // sample))) == 0).limit(2 * sample).select("d", "v").toPandas()
-        leaders = {int(d): hot_leaders(unit(np.stack(g["v"]))) for d, g in got.groupby("d")}
+    nodes = nodes.withColumn("d", F.size("v"))
+    short = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # floats are doubles once read, and half as wide
+    width = np.float32 if short else np.float64
+    many = vectors.count()
+    side = int(np.clip(many // 24, LEAST, PART))
+    packing = pa.schema([("d", pa.int32()), ("n", pa.int32()), ("head", pa.int64()), ("nid", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("low", pa.list_(pa.int64())), ("v", pa.binary())])
 
     def arrays(b):
         """The batch's vectors by dimension: (rows, matrix)."""
@@ -160,6 +158,47 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = 4096)
             at = np.flatnonzero(d == k)
             yield int(k), at, flat[offs[at][:, None] + np.arange(k)]
 
+    def pack(batches):
+        held: dict[int, list] = {}
+
+        def flush(d):
+            nid, copies, low, v = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
+            for o in range(0, len(nid), side):
+                at = slice(o, o + side) if len(nid) - o > 1.25 * side else slice(o, None)  # no tiny side for what is left
+                yield to_batch({"d": [d], "n": [len(nid[at])], "head": [nid[o]], "nid": [nid[at]], "copies": [copies[at]], "low": [low[at]], "v": [v[at].tobytes()]}, packing)
+                if at.stop is None:
+                    break
+
+        for b in batches:
+            nid, copies, low = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for d, at, v in arrays(b):
+                held.setdefault(d, []).append((nid[at], copies[at], low[at], v.astype(width)))
+                if sum(len(x[0]) for x in held[d]) >= 4 * side:
+                    yield from flush(d)
+        for d in list(held):
+            yield from flush(d)
+
+    # Few partitions, so that sides are full; small row groups, so that a task reads some sides only.
+    made = nodes.select("nid", "copies", "low", "d", "v").coalesce(max(8, -(-many // side)))
+    packed = materialize(made.mapInArrow(pack, "d int, n int, head long, nid array<long>, copies array<long>, low array<long>, v binary"), "embed-sides", {"parquet.block.row.count.limit": "1"})
+    total = packed.agg(F.sum("n")).first()[0] or 0
+
+    def matrix(d, v):
+        return np.frombuffer(v, dtype=width).astype(np.float64).reshape(-1, d)
+
+    leaders: dict[int, np.ndarray] = {}
+    if least <= np.cos(np.radians(2 * BALL)):
+        step = max(1, total // sample)
+
+        def some(batches):
+            for b in batches:
+                for d, nid, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    v = matrix(d, v)[np.array(nid) % step == 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), d, dtype=np.int32)), pa.array(list(v), pa.list_(pa.float64()))], names=["d", "v"])
+
+        got = packed.select("d", "nid", "v").mapInArrow(some, "d int, v array<double>").limit(2 * sample).toPandas()
+        leaders = {int(d): hot_leaders(unit(np.stack(g["v"]))) for d, g in got.groupby("d")}
+
     def balls(u, d):
         out = np.full(len(u), -1)
         if len(lead := leaders.get(d, ())):
@@ -169,67 +208,45 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = 4096)
             out[near] = best[near]
         return out
 
-    marked = pa.schema([("nid", pa.int64()), ("d", pa.int32()), ("ball", pa.int32())])
+    marked = pa.schema([("nid", pa.int64()), ("copies", pa.int64()), ("low", pa.int64()), ("d", pa.int32()), ("ball", pa.int32())])
 
     def mark(batches):
         for b in batches:
-            nid = b.column(0).to_numpy()
-            for d, at, v in arrays(b):
-                yield to_batch({"nid": nid[at], "d": np.full(len(at), d), "ball": balls(unit(v), d)}, marked)
-
-    ball = materialize(nodes.select("nid", "d", "v").mapInArrow(mark, "nid long, d int, ball int"), "embed-balls")
-    counted = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("n", pa.int64())])
-
-    def count(batches):
-        for b in batches:
-            for d, _, v in arrays(b):
-                _, k, cell, home = visits(unit(v), budget, axes)
-                key, n = np.unique(np.stack([k[home], cell[home]]), axis=1, return_counts=True)
-                yield to_batch({"d": np.full(len(n), d), "block": key[0], "cell": key[1], "n": n}, counted)
-
-    # Cells with more home vectors than one task takes are split; the list has at most total / PART of each block.
-    big = nodes.select("d", "v").mapInArrow(count, "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n")).filter(F.col("n") > PART)
-    split = {(r["d"], r["block"], r["cell"]): -(-r["n"] // PART) for r in big.collect()}
-    sent = pa.schema([("d", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("part", pa.int32()), ("home", pa.bool_()), ("nid", pa.int64()), ("copies", pa.int64()), ("ball", pa.int32()), ("v", pa.list_(pa.float64()))])
-    short = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
-    if short:  # floats are doubles once read, and half as wide on the way
-        sent = sent.set(8, pa.field("v", pa.list_(pa.float32())))
-
-    def send(batches):
-        for whole in batches:
-            for o in range(0, whole.num_rows, 2000):
-                b = whole.slice(o, 2000)
-                nid, copies = b.column(0).to_numpy(), b.column(2).to_numpy()
-                for d, at, v in arrays(b):
-                    u = unit(v)
-                    i, k, cell, home = visits(u, budget, axes)
-                    part = np.zeros(len(i), dtype=np.int64)
-                    if split:
-                        n = np.array([split.get((d, *x), 1) for x in zip(k.tolist(), cell.tolist(), strict=True)])
-                        part = np.where(home, (nid[at][i] >> 7) % n, 0)
-                        again = np.repeat(np.arange(len(i)), n)
-                        nth = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-                        own = home[again] & (nth == part[again])
-                        i, k, cell, home, part = i[again], k[again], cell[again], own, nth
-                    flat = v[i].astype(np.float32 if short else np.float64)
-                    vec = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, d, dtype=np.int32), pa.array(flat.ravel()))
-                    yield to_batch({"d": np.full(len(i), d), "block": k, "cell": cell, "part": part, "home": home, "nid": nid[at][i], "copies": copies[at][i], "ball": balls(u, d)[i], "v": vec}, sent)
-
-    sql = f"d int, block int, cell long, part int, home boolean, nid long, copies long, ball int, v array<{'float' if short else 'double'}>"
-    placed = nodes.select("nid", "v", "copies", "d").mapInArrow(send, sql)
-
-    def search(table):
-        table = table.sort_by("nid")
-        d, block = table.column("d")[0].as_py(), table.column("block")[0].as_py()
-        raw = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, d)
-        cols = {c: table.column(c).to_numpy() for c in ("nid", "copies", "ball", "home")}
-        norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-        links, labels = cell_links(raw / norm[:, None], raw, norm, cols["copies"], cols["ball"], cols["nid"], cols["home"], block, budget, least)
-        at = np.flatnonzero((links > 0) | (labels != np.arange(len(labels))))
-        return pa.table({"nid": cols["nid"][at], "links": links[at], "root": cols["nid"][labels[at]]})
-
-    found = materialize(placed.groupBy("d", "block", "cell", "part").applyInArrow(search, "nid long, links long, root long"), "embed-links")
-    held = nodes.join(ball.select("nid", "ball"), "nid").filter("ball >= 0")
+            for d, nid, copies, low, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                yield to_batch({"nid": nid, "copies": copies, "low": low, "d": np.full(len(nid), d), "ball": balls(unit(matrix(d, v)), d)}, marked)
+
+    nodes = materialize(packed.select("d", "nid", "copies", "low", "v").mapInArrow(mark, "nid long, copies long, low long, d int, ball int"), "embed-nodes")
+    parts = ("d", "head", "nid", "copies", "v")
+    one, two = (packed.select(*[F.col(c).alias(c + x) for c in parts]) for x in "12")
+    # Every two sides of a dimension meet once; a product of the tables reads them where they lie.
+    tiles = one.hint("shuffle_replicate_nl").join(two, (F.col("d1") == F.col("d2")) & (F.col("head1") <= F.col("head2"))).select("d1", "head1", "nid1", "copies1", "v1", "head2", "nid2", "copies2", "v2")
+    linked = pa.schema([("nid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def search(batches):
+        last = (None, None, None)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                b = {f: batch.column(k)[r] for k, f in enumerate(batch.schema.names)}
+                d = b["d1"].as_py()
+
+                def load(x, b=b, d=d):
+                    raw, copies = matrix(d, b["v" + x].as_buffer()), b["copies" + x].values.to_numpy()
+                    return b["nid" + x].values.to_numpy(), Side(raw, copies, balls(unit(raw), d), budget)
+
+                if last[0] != (d, b["head1"].as_py()):
+                    last = ((d, b["head1"].as_py()), *load("1"))
+                _, nid, first = last
+                if b["head1"].as_py() == b["head2"].as_py():
+                    links, labels = tile_links(first, first, budget, least)
+                else:
+                    more, second = load("2")
+                    links, labels = tile_links(first, second, budget, least)
+                    nid = np.concatenate((nid, more))
+                at = np.flatnonzero((links > 0) | (labels != np.arange(len(labels))))
+                yield to_batch({"nid": nid[at], "links": links[at], "root": nid[labels[at]]}, linked)
+
+    found = materialize(tiles.mapInArrow(search, "nid long, links long, root long"), "embed-links")
+    held = nodes.filter("ball >= 0")
     of_ball = held.groupBy("d", "ball").agg(F.sum("copies").alias("size"), F.min("nid").alias("head"))  # 64 of a dimension at most
     in_ball = held.join(F.broadcast(of_ball), ["d", "ball"])
     edges = found.filter("nid <> root").select(F.col("nid").alias("a"), F.col("root").alias("b")).unionByName(in_ball.filter("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b")))

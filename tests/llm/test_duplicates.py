@@ -135,6 +135,16 @@ def test_embeddings_empty_and_null_ids(spark):
     assert sorted((str(x["vec_id"]), x["n_links"], x["kept"]) for x in r) == [("2", 1, True), ("2", 1, True), ("None", 0, False)]
 
 
+def test_embeddings_are_not_sent_many_times(spark):
+    """The join reads its vectors where they lie; through shuffles goes each but once or so, whatever the number of tiles."""
+    x = np.random.default_rng(3).standard_normal((8000, 64)).astype(np.float32)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    before = executors(True).apply(0).totalShuffleWrite()
+    assert embed_dedup.near_duplicates(d).filter("kept").count() == len(x)
+    assert executors(True).apply(0).totalShuffleWrite() - before < 3 * x.nbytes
+
+
 def covered(texts, size):
     where = defaultdict(list)
     for i, t in enumerate(texts):
