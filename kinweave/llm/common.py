@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether the shuffle files of a query go when it ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: log2 of the bits of a Bloom table (16 MB).
 TABLE = 27
 
@@ -40,7 +42,12 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None)
     """Write ``df`` to the shared folder (with ``options`` of the writer) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kinweave/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for this table alone goes as soon as it is written
+    try:
+        df.select("*").write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,8 @@ HOT = 2048
 FEW = 48
 #: Groups of more classes are dealt over blocks of about so many, all pairs of which are compared.
 GROUP = 2048
+#: Counted shingles that a task holds before it sends them.
+SEEN = 1 << 20
 #: Surroundings that are held at a time.
 PLACES = 8192
 _POS = 24
@@ -259,43 +261,37 @@ def cut_around(h: np.ndarray, before: np.ndarray, s: np.ndarray, e: np.ndarray,
     return out, offs
 
 
-def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar: float):
+def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar: float, at: np.ndarray | None = None):
     """(pair, start, end, start, end) of pairs of surroundings (a[i], b[i]) that match, as ``match_passages`` has it; many at a time.
 
     ``flat`` holds all surroundings' shingles as 32-bit words, places (under 512) count from their starts.
+    ``at`` bounds groups of surroundings within which the pairs lie. Each group has a table of where
+    its shingles stand in each of its surroundings, so a pair is looked up and not sorted.
     """
     n = offs[1:] - offs[:-1]
+    at = np.array([0, len(n)]) if at is None else np.asarray(at)
+    group = np.repeat(np.arange(len(at) - 1), np.diff(at))  # of an item
+    item = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(flat)) - offs[item]
+    kinds, code = np.unique(group[item].astype(np.uint64) << np.uint64(32) | flat.astype(np.uint64), return_inverse=True)
+    first = np.searchsorted(kinds >> np.uint64(32), np.arange(len(at)).astype(np.uint64))
+    wide = np.diff(first)  # different shingles of a group
+    begin = np.concatenate(([0], np.cumsum(wide * np.diff(at))))
+    row = begin[group] + (np.arange(len(n)) - at[group]) * wide[group] - first[group]  # an item's row, less the group's first code
+    table = np.full(begin[-1], -1, dtype=np.int16)
+    table[row[item] + code] = place
+    twice = np.zeros(len(n), dtype=bool)
+    twice[item[table[row[item] + code] != place]] = True
     out = [np.zeros((0, 5), dtype=np.int64)]
-    per = max(1, 1 << 13)
+    per = 1 << 13
     for lo in range(0, len(a), per):
         p, q = a[lo : lo + per], b[lo : lo + per]
-        size = np.stack([n[p], n[q]], axis=1).ravel()
-        item = np.stack([p, q], axis=1).ravel()
-        ends = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-        which = np.repeat(np.arange(len(item)), size)
-        # One number holds pair, shingle, side and place, so that a plain sort brings equal shingles of a pair together.
-        key = (which >> 1).astype(np.uint64) << np.uint64(42) | flat[place + np.repeat(offs[item], size)].astype(np.uint64) << np.uint64(10) | (((which & 1) << 9) | place).astype(np.uint64)
-        key.sort()
-        twin = np.flatnonzero(key[1:] >> np.uint64(10) == key[:-1] >> np.uint64(10))
-        left, right = key[twin], key[twin + 1]
-        side = np.uint64(1 << 9)
-        odd = np.zeros(len(p), dtype=bool)  # a shingle twice on one side: matched one by one
-        odd[(left[left & side == right & side] >> np.uint64(42)).astype(np.int64)] = True
-        cross = left & side != right & side
-        spot = np.uint64((1 << 9) - 1)
-        both = left[cross] >> np.uint64(42) << np.uint64(18) | (left[cross] & spot) << np.uint64(9) | right[cross] & spot
-        both.sort()
-        both = both.astype(np.int64)
-        pair, i, x = both >> 18, both >> 9 & 511, both & 511
-        inner = pair[1:] == pair[:-1]
-        odd[pair[1:][inner & (x[1:] <= x[:-1])]] = True
-        found = [(k, *m) for k in np.flatnonzero(odd).tolist() if (m := match_passages(flat[offs[p[k]] : offs[p[k] + 1]], int(centres[p[k]]), flat[offs[q[k]] : offs[q[k] + 1]], int(centres[q[k]]), least, similar))]
-        go = (np.bincount(pair, minlength=len(p)) >= similar * least) & ~odd
-        keep = go[pair]
-        pair, i, x = pair[keep], i[keep], x[keep]
-        if len(pair):
-            found += _runs_in_order(pair, i, x, centres[p], least, similar)
+        ends = np.concatenate(([0], np.cumsum(n[p])))
+        i = np.arange(ends[-1]) - np.repeat(ends[:-1], n[p])
+        x = table[code[i + np.repeat(offs[p], n[p])] + np.repeat(row[q], n[p])]
+        hit = np.flatnonzero(x >= 0)
+        pair = np.searchsorted(ends, hit, "right") - 1
+        found = _match_places(flat, offs, centres, p, q, twice[p] | twice[q], pair, i[hit], x[hit].astype(np.int64), least, similar)
         if found:
             got = np.array(found, dtype=np.int64)
             got[:, 0] += lo
@@ -303,6 +299,42 @@ def match_many(flat: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: np.nd
     return np.concatenate(out)
 
 
+def match_one(code: np.ndarray, offs: np.ndarray, centres: np.ndarray, a: int, b: np.ndarray, twice: np.ndarray, table: np.ndarray, least: int, similar: float) -> list:
+    """``match_many`` of one of a group's surroundings with others.
+
+    ``table`` holds -1 for each code and does so again afterwards; ``twice`` says which surroundings hold a shingle twice.
+    """
+    n = offs[b + 1] - offs[b]
+    mine = code[offs[a] : offs[a + 1]]
+    table[mine] = np.arange(len(mine))
+    ends = np.concatenate(([0], np.cumsum(n)))
+    x = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+    i = table[code[x + np.repeat(offs[b], n)]]
+    table[mine] = -1
+    hit = np.flatnonzero(i >= 0)
+    pair = np.searchsorted(ends, hit, "right") - 1
+    return _match_places(code, offs, centres, np.full(len(b), a), b, twice[b] | twice[a], pair, i[hit], x[hit], least, similar)
+
+
+def _match_places(flat, offs, centres, p, q, odd, pair, i, x, least: int, similar: float) -> list:
+    """(pair, start, end, start, end) of matching pairs (p[k], q[k]) with the same shingles at places i and x.
+
+    Sorted by pair and either place. Pairs that are ``odd`` or have shingles in another order are matched one by one.
+    """
+    enough = np.bincount(pair, minlength=len(p)) >= similar * least
+    some = (enough & ~odd)[pair]
+    pair, i, x = pair[some], i[some], x[some]
+    inner = pair[1:] == pair[:-1]
+    odd = odd.copy()
+    odd[pair[1:][inner & ((x[1:] <= x[:-1]) | (i[1:] <= i[:-1]))]] = True
+    found = [(k, *m) for k in np.flatnonzero(odd).tolist() if (m := match_passages(flat[offs[p[k]] : offs[p[k] + 1]], int(centres[p[k]]), flat[offs[q[k]] : offs[q[k] + 1]], int(centres[q[k]]), least, similar))]
+    keep = ~odd[pair]
+    pair, i, x = pair[keep], i[keep], x[keep]
+    if len(pair):
+        found += _runs_in_order(pair, i, x, centres[p], least, similar)
+    return found
+
+
 def _runs_in_order(pair: np.ndarray, i: np.ndarray, x: np.ndarray, c: np.ndarray, least: int, similar: float) -> list:
     """``_in_order`` for the shared places of many pairs, sorted by pair and place."""
     new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (np.diff(i) > 1) | (np.diff(x) > 1)))
@@ -427,6 +459,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
             matched(i, k, a, b, m)
 
     partner = np.zeros(len(members), dtype=np.int64)
+    table = np.full(len(flat), -1, dtype=np.int64)
     if not cross:
         for i, m in enumerate(members):
             if len(m) > 1:
@@ -495,7 +528,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
             now, todo, theirs = can[todo[adds[:step]]], todo[adds[step:]], theirs[adds[step:]]
             step *= 4
             plainly = now[text[reps[now]] != text[a]]
-            for k, *m in match_many(code, offs, centres, np.full(len(plainly), a), reps[plainly], least, similar).tolist():
+            for k, *m in match_one(code, offs, centres, a, reps[plainly], ~once, table, least, similar):
                 matched(i, int(plainly[k]), a, reps[plainly[k]], m)
             for k in now[text[reps[now]] == text[a]].tolist():  # another text of either class
                 compare(i, k, members[i][-1], reps[k]) if text[members[i][-1]] != text[reps[k]] else compare(i, k, a, members[k][-1])
@@ -615,6 +648,12 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
         return mix(h ^ mix(np.repeat(key.view(np.uint64), np.diff(offs))))
 
     def emit(batches):
+        held, size = [], 0
+
+        def merged():
+            u, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return u, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
+
         for batch in batches:
             for _, i, key, _, _, h, offs in surroundings(batch):
                 u = of_group(key, h, offs)
@@ -622,8 +661,17 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
                 by = np.lexsort((of, u))
                 u, of = u[by], of[by]
                 once = np.concatenate(([True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])))
-                u, n = np.unique(u[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
+                held.append(np.unique(u[once], return_counts=True))
+                size += len(held[-1][0])
+                if size > SEEN:  # what slices have in common goes on once
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > SEEN // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["key", "n"])
+                        held, size = [], 0
+        if held:
+            u, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     table = bloom_table(joined.mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
     kept = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
@@ -778,12 +826,14 @@ def find_passages(texts: DataFrame, least_words: int = PASSAGE, similar: float =
             a, b = (np.concatenate([p[k] + o for p, o in zip(both, at, strict=False)]) for k in (0, 1))
             differ = (h1[a] != h1[b]) | (h2[a] != h2[b])
             a, b = a[differ], b[differ]
-            m = match_many(flat, offs, c - s, a, b, least, similar)
+            m = match_many(flat, offs, c - s, a, b, least, similar, at)
             a, b = a[m[:, 0]], b[m[:, 0]]  # rows of a group ascend by text: b is the later one
             who, low = np.concatenate((a, b)), np.concatenate((b, a))
             start, end = np.concatenate((m[:, 1], m[:, 3])) + s[who], np.concatenate((m[:, 2], m[:, 4])) + s[who] + SHINGLE - 1
             later = np.repeat([False, True], [len(a), len(b)])
-            by = np.unique(np.stack([h1[who], h2[who], start, end, later]), axis=1)
+            by = np.stack([h1[who], h2[who], start, end, later])
+            by = by[:, np.lexsort(by[::-1])]
+            by = by[:, np.concatenate((np.ones(min(1, by.shape[1]), dtype=bool), (by[:, 1:] != by[:, :-1]).any(axis=0)))]
             one = lambda h1, h2, s, e, later: {"s": s, "e": e, "low1": h1 if not later else -(1 << 63), "low2": h2 + 1 if not later else 0, "high1": (1 << 63) - 1, "high2": 0}
             return [(None, None, *r[:2], [one(*r)]) for r in zip(*by.tolist(), strict=True)]
 

@@ -220,3 +220,38 @@ def test_many_pairs_match_as_one_by_one():
     for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         assert got.get(k) == compact.match_passages(small[i], at[i], small[j], at[j], 30, 0.7)
     assert len(got) > 100
+
+
+def test_pairs_of_many_groups_are_looked_up_within_their_group():
+    """Pairs of several groups at a time, and one of a group with the others, match as pair by pair; some hold a shingle twice or in another order."""
+    np, rng = compact.np, compact.np.random.default_rng(4)
+    items, centres, at = [], [], [0]
+    for size in (2, 9, 1, 30):
+        base = rng.integers(0, 300, 90).astype(np.uint32)
+        base[45] = 1 << 31
+        for k in range(size):
+            c = base.copy()
+            change = rng.integers(0, 90, k % 12)
+            c[change[change != 45]] = rng.integers(0, 300, int((change != 45).sum()))
+            if k % 3:
+                c = np.where(np.arange(90) == 45, c, c + np.arange(90, dtype=np.uint32) * 1000)  # no shingle twice
+            if k % 7 == 6:
+                c[[10, 60]] = c[[60, 10]]
+            lo = int(rng.integers(0, 20))
+            items.append(c[lo:])
+            centres.append(45 - lo)
+        at.append(len(items))
+    offs = np.concatenate(([0], np.cumsum([len(c) for c in items])))
+    flat, centres = np.concatenate(items), np.array(centres)
+    pairs = [(i, k) for lo, hi in zip(at, at[1:]) for i in range(lo, hi) for k in range(i + 1, hi)]
+    a, b = np.array(pairs).T
+    want = [compact.match_passages(items[i], int(centres[i]), items[k], int(centres[k]), 40, 0.8) for i, k in pairs]
+    assert 20 < sum(w is not None for w in want) < len(want) - 20
+    got = {r[0]: tuple(r[1:]) for r in compact.match_many(flat, offs, centres, a, b, 40, 0.8, np.array(at)).tolist()}
+    assert [got.get(n) for n in range(len(pairs))] == want
+    codes, code = np.unique(flat, return_inverse=True)
+    twice = np.array([len(np.unique(c)) < len(c) for c in items])
+    others, table = np.arange(at[3] + 1, at[4]), np.full(len(codes), -1)
+    got = {r[0]: tuple(r[1:]) for r in compact.match_one(code, offs, centres, at[3], others, twice, table, 40, 0.8)}
+    assert (table == -1).all()
+    assert [got.get(n) for n in range(len(others))] == [w for (i, _), w in zip(pairs, want) if i == at[3]]
