@@ -27,6 +27,8 @@ from .kernels import join_texts, mix, prefix, span_hash, spans_from_points
 GRAM, RANK = 64, 36
 #: Compressed bytes of text that are worked on at a time, so that the arrays stay in the processor's caches.
 CACHED = 1 << 17
+#: Pairs of suffixes that are compared at a time.
+PAIRS = 1 << 16
 #: Grams that are anchors more often than this are chosen last.
 OFTEN = 256
 #: Anchors with more different surroundings are settled string by string, by hash, outside the indexes.
@@ -87,24 +89,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(7):  # nine bits a symbol
         key = key << np.uint64(9) | lead[i : i + n]
-    order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    order = np.argsort(key).astype(np.int32)  # n is far below 2**31
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    del lead, key
+    group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, dtype=np.int32)
     rank[order] = group
     k = 7
-    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
+    del new
     while len(tied):
         who = order[tied]
         nxt = who + k
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
+        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], np.int32(-1))
         g = group[tied]
-        by = np.argsort(g * (n + 1) + second)  # n is far below 2**31
+        by = np.argsort(g.astype(np.int64) * (n + 1) + second)
         who, g, second = who[by], g[by], second[by]
         order[tied] = who
         start = np.concatenate(([True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])))
-        group[tied] = np.maximum.accumulate(np.where(start, tied, 0))
+        group[tied] = np.maximum.accumulate(np.where(start, tied, np.int32(0)))
         rank[who] = group[tied]
         alone = start & np.append(start[1:], True)
         tied = tied[~alone]
@@ -131,19 +135,27 @@ class RunLengthIndex:
         self.runs = np.stack([bwt[first].astype(np.int64), np.diff(np.append(first, n))])
         self.n = n
         above = first[first > 0]  # the suffix before a run's head, measured against it
-        self.head_at, self.head_match = self._sample(order[above], order[above - 1])
-        # The suffix after a run's last one: the same boundary seen from its other side.
-        self.last_at, self.last_match = self._sample(order[above - 1], order[above])
-
-    def _sample(self, at: np.ndarray, other: np.ndarray):
-        match = self._common(at, other)
+        heads, lasts = order[above], order[above - 1]
+        del order, bwt, head, first, above
+        # The suffix after a run's last one is the same boundary seen from its other side, with the same match.
+        match = self._common(heads, lasts)
+        self.head_at, self.head_match = self._sorted(heads, match)
+        self.last_at, self.last_match = self._sorted(lasts, match)
+
+    def _sorted(self, at: np.ndarray, match: np.ndarray):
         by = np.argsort(at)
         return at[by], match[by]
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of suffix pairs, by blocks that double while they agree."""
-        n, text = self.n, self.text.astype(np.uint64)
-        pre = prefix(text)
+        """Length of the longest common prefix of suffix pairs, some at a time."""
+        pre, out = prefix(self.text.astype(np.uint64)), np.zeros(len(a), dtype=np.int32)
+        for lo in range(0, len(a), PAIRS):
+            out[lo : lo + PAIRS] = self._gallop(pre, a[lo : lo + PAIRS], b[lo : lo + PAIRS])
+        return out
+
+    def _gallop(self, pre: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_common`` by blocks that double while the suffixes agree."""
+        n = self.n
         out = np.zeros(len(a), dtype=np.int64)
         room = n - np.maximum(a, b)
         step = np.full(len(a), 64, dtype=np.int64)
@@ -169,8 +181,8 @@ class RunLengthIndex:
 
     def matching_statistics(self) -> np.ndarray:
         """For each position, the longest string starting there that starts elsewhere in the text too."""
-        best = np.zeros(self.n, dtype=np.int64)
-        pos = np.arange(self.n)
+        best = np.zeros(self.n, dtype=np.int32)
+        pos = np.arange(self.n, dtype=np.int32)
         for at, match in ((self.head_at, self.head_match), (self.last_at, self.last_match)):
             if len(at):
                 i = np.searchsorted(at, pos, "right") - 1
@@ -187,7 +199,8 @@ def repeated_positions(pieces: list[bytes], length: int) -> list[tuple[np.ndarra
     best = RunLengthIndex(text).matching_statistics()
     room = np.repeat(offs[1:] - 1, sizes + 1) - np.arange(len(text))
     hit = np.flatnonzero((np.minimum(best, room)) >= length)
-    step = np.zeros(len(text) + 1, dtype=np.int64)
+    del best, room
+    step = np.zeros(len(text) + 1, dtype=np.int32)
     np.add.at(step, hit, 1)
     np.add.at(step, hit + length, -1)
     s, e = spans_from_points(np.cumsum(step[:-1]) > 0)

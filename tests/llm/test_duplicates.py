@@ -303,3 +303,18 @@ def test_folds_do_not_depend_on_batches():
         assert sorted(r["s"] for r in got if r["key"] is not None) == sorted(g[0][1] for g in groups.values())
         several = [g for g in groups.values() if g[0][0] != g[-1][0]]
         assert sorted((r["s"], r["later"]) for r in got if r["key"] is None) == sorted((i, t != g[0][0]) for g in several for t, i in g)
+
+
+def test_index_of_a_shard_takes_little_memory():
+    """Two tasks of an executor index a shard each; what one holds at a time stays under 100 bytes a byte of text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    part = rng.integers(97, 123, 200_000).astype(np.uint8).tobytes()
+    pieces = [part, rng.integers(97, 123, 100_000).astype(np.uint8).tobytes(), part[50_000:150_000]]
+    tracemalloc.start()
+    got = suffix.repeated_positions(pieces, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(s.tolist(), e.tolist()) for s, e in got] == [([50_000], [150_000]), ([], []), ([0], [100_000])]
+    assert peak < 100 * sum(map(len, pieces))
