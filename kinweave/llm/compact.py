@@ -14,6 +14,7 @@ windows as wide as the shared run every function meets every pair, so one is eno
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -471,6 +472,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
     start = np.concatenate(([0], np.cumsum(sizes)))
     at = np.concatenate(own)
     cls, what, place = np.repeat(np.arange(len(reps)), sizes), code[at], at - np.repeat(offs[reps], sizes)
+    cls, out = cls.astype(np.int32), (place - centres[reps[cls]] + reach).astype(np.int32)  # places from the centre outward
     posts = np.argsort(what, kind="stable")
     begin = np.searchsorted(what[posts], np.arange(len(flat) + 1))
     ordered = what[posts] * len(at) + posts
@@ -490,7 +492,7 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
         # To add to it a passage must end at a shared shingle as far out as its first open place to that side.
         open_ = np.flatnonzero(inside[i] & classes.open(i, classes.first[i] - 1)) - reach
         right, left = min(open_[open_ >= 0], default=1 << 30), max(open_[open_ <= 0], default=-(1 << 30))
-        rel = place[start[i] : start[i + 1]] - centres[a]
+        rel = out[start[i] : start[i + 1]] - reach
         need = (rel >= right) | (rel <= left)
         useful = unmatched[:i].copy()
         if not (need.any() or useful.any()):
@@ -498,23 +500,21 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
             continue
         # All (place here, place in an earlier class) with the same shingle.
         size = np.searchsorted(ordered, mine * len(at) + start[i]) - begin[mine]
-        here = np.repeat(np.arange(len(mine)), size)
-        there = posts[np.arange(len(here)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)]
-        useful[cls[there[need[here]]]] = True
+        here = np.repeat(np.arange(len(mine), dtype=np.int32), size)
+        there = posts[np.arange(len(here)) + np.repeat(begin[mine] - np.cumsum(size) + size, size)]
+        near = cls[there]
+        useful[near[need[here]]] = True
         if cross:
             useful &= side[:i] != side[i]
-        use = useful[cls[there]]
-        here, there = here[use], there[use]
-        count = np.bincount(cls[there], minlength=i)
+        count = np.bincount(near, minlength=i)
         can = np.flatnonzero((count >= np.where(plain[:i] | plain[i], similar * least, 1)) & useful)
-        row = np.full(i, -1)
+        row = np.full(i, -1, dtype=np.int32)
         row[can] = np.arange(len(can))
-        use = row[cls[there]] >= 0
-        here, there = here[use], there[use]
-        tight = np.where(plain[can] & plain[i], similar, 0.0)
-        lo, hi, fits = _bounds(row[cls[there]], place[start[i] + here] - centres[a] + reach, tight, reach, least)
-        down, up, fits_too = _bounds(row[cls[there]], place[there] - centres[reps[cls[there]]] + reach, tight, reach, least)
-        todo = np.flatnonzero(fits & fits_too)
+        row = row[near]
+        use = np.flatnonzero(row >= 0)
+        here, there, row = here[use], there[use], row[use]
+        lo, hi, down, up, fits = _reachable(row, out[start[i] + here], out[there], plain[can] & plain[i], reach, least, similar)
+        todo = np.flatnonzero(fits)
         todo = todo[np.argsort(-count[can[todo]], kind="stable")]
         theirs = np.zeros((len(todo), 2 * reach + 2), dtype=np.int32)
         np.cumsum(classes.open(can[todo], classes.first[i]), axis=1, out=theirs[:, 1:])
@@ -534,14 +534,14 @@ def link_group(ids, contexts, centres, sides, least: int, similar: float, reach:
                 compare(i, k, members[i][-1], reps[k]) if text[members[i][-1]] != text[reps[k]] else compare(i, k, a, members[k][-1])
             unmatched[now] &= not classes.own or (inside[now] & (classes.high[now] < 0)).any(axis=1)
         unmatched[i] = not classes.own or bool((inside[i] & (classes.high[i] < 0)).any())
-    out = []
+    found = []
     for i, m in enumerate(members):
         known = classes.high[i] >= 0
         if known.any():
             low, high = classes.low[i], classes.high[i]
             cut = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
-            out.append((m, [(int(s - reach), int(e - reach), names[low[s]], names[high[s]]) for s, e in zip(cut, cut[1:], strict=False) if known[s]]))
-    return out
+            found.append((m, [(int(s - reach), int(e - reach), names[low[s]], names[high[s]]) for s, e in zip(cut, cut[1:], strict=False) if known[s]]))
+    return found
 
 
 def _bounds(row: np.ndarray, at: np.ndarray, similar: np.ndarray, c: int, least: int):
@@ -560,6 +560,43 @@ def _bounds(row: np.ndarray, at: np.ndarray, similar: np.ndarray, c: int, least:
     return start, end, starts.any(axis=1) & ends.any(axis=1) & (end - start >= least)
 
 
+def _reachable(row: np.ndarray, p: np.ndarray, q: np.ndarray, once: np.ndarray, c: int, least: int, similar: float):
+    """(start, end, start, end, usable) per row of what near-duplicate passages around c can take in of two surroundings.
+
+    Places ``p`` of one (ascending within a row) and ``q`` of the other hold the same shingles. Where each shingle
+    is there ``once`` and in the same order in both, what a stretch shares and its two widths
+    are sums over its steps, so a start is possible if it is with the best of all ends, and an
+    end if it is with the best of all starts. Elsewhere each side has its own bounds (``_bounds``).
+    """
+    n = len(once)
+    if not n:
+        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=bool),)
+    by = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")  # short words sort by radix
+    row, p, q = row[by], p[by], q[by]
+    first = np.searchsorted(row, np.arange(n))
+    plain = once.copy()
+    plain[row[1:][(row[1:] == row[:-1]) & ((p[1:] <= p[:-1]) | (q[1:] <= q[:-1]))]] = False
+    worth = (1 + similar) * np.arange(len(row)) - similar * (p + q)
+    starts, ends = p <= c, p >= c
+    least_start = np.minimum.reduceat(np.where(starts, worth, np.inf), first)
+    best_end = np.maximum.reduceat(np.where(ends, worth, -np.inf), first)
+    starts &= worth <= best_end[row] + (1 - similar) + 1e-6
+    ends &= worth >= least_start[row] - (1 - similar) - 1e-6
+    low = lambda at: np.minimum.reduceat(np.where(starts, at, 2 * c + 1), first)
+    high = lambda at: np.maximum.reduceat(np.where(ends, at, -1), first) + 1
+    lo, hi, down, up = low(p), high(p), low(q), high(q)
+    fits = (hi - lo >= least) & (up - down >= least)
+    if len(odd := np.flatnonzero(~plain)):
+        to = np.full(n, -1)
+        to[odd] = np.arange(len(odd))
+        at = np.flatnonzero(to[row] >= 0)
+        tight = np.where(once[odd], similar, 0.0)
+        lo[odd], hi[odd], some = _bounds(to[row[at]], p[at], tight, c, least)
+        down[odd], up[odd], too = _bounds(to[row[at]], q[at], tight, c, least)
+        fits[odd] = some & too
+    return lo, hi, down, up, fits
+
+
 def fold_equal(batches, schema):
     """Of rows sorted by (key, x, h1, h2): one row of each (key, x), and a mark for each row of those with several texts.
 
@@ -623,11 +660,19 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h1", "h2").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "passage-texts")
 
 
+def once_each(pairs: np.ndarray) -> np.ndarray:
+    """The different columns of a (2, n) array, in order."""
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    return pairs[:, np.concatenate((np.ones(min(1, pairs.shape[1]), dtype=bool), (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))]
+
+
 def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) -> DataFrame:
     """(key, x, h1, h2, c, s, e): usable rows of ``member`` with their class ``x`` (see ``project``).
 
-    Which shingles are shared is counted over each whole group; a bit table of fixed size
-    carries it, in which a chance hit makes two classes of one but loses nothing.
+    Which shingles are shared is counted over all members' surroundings at once: a shingle goes
+    once for each text and not for each group that it stands near, so the count grows with the
+    texts. That another group shares a shingle, like a chance hit in the bit table of fixed size
+    that carries it, makes two classes of one but loses nothing.
     """
     places = member.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("p"))
     joined = texts.join(places, ["h1", "h2"]).select("h1", "h2", "z", "p")
@@ -644,9 +689,6 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
                 around, offs = cut_around(h, before, first[i] + s, first[i] + e, first[i] + c)
                 yield b, i, key, c, s, around, offs
 
-    def of_group(key, h, offs):
-        return mix(h ^ mix(np.repeat(key.view(np.uint64), np.diff(offs))))
-
     def emit(batches):
         held, size = [], 0
 
@@ -655,13 +697,11 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
             return u, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
         for batch in batches:
-            for _, i, key, _, _, h, offs in surroundings(batch):
-                u = of_group(key, h, offs)
-                of = np.repeat(i, np.diff(offs))  # a text counts once
-                by = np.lexsort((of, u))
-                u, of = u[by], of[by]
-                once = np.concatenate(([True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])))
-                held.append(np.unique(u[once], return_counts=True))
+            for _, parts in itertools.groupby(surroundings(batch), key=lambda part: id(part[0])):
+                seen = [np.zeros((2, 0), dtype=np.uint64)]
+                for _, i, _, _, _, h, offs in parts:  # a text counts once
+                    seen.append(once_each(np.stack([h, np.repeat(i, np.diff(offs)).astype(np.uint64)])))
+                held.append(np.unique(once_each(np.concatenate(seen, axis=1))[0], return_counts=True))
                 size += len(held[-1][0])
                 if size > SEEN:  # what slices have in common goes on once
                     held = [merged()]
@@ -679,7 +719,7 @@ def _classes(texts: DataFrame, member: DataFrame, least: int, similar: float) ->
     def keep(batches):
         for batch in batches:
             for b, i, key, c, s, h, offs in surroundings(batch):
-                usable, x, first, last = project(h, c - s, offs, in_bloom(table.value, of_group(key, h, offs)), least, similar)
+                usable, x, first, last = project(h, c - s, offs, in_bloom(table.value, h), least, similar)
                 at = np.flatnonzero(usable)
                 if len(at):
                     row = i[at]

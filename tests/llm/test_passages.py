@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from kinweave.llm import compact
 
 from .helpers import prose
@@ -255,3 +257,54 @@ def test_pairs_of_many_groups_are_looked_up_within_their_group():
     got = {r[0]: tuple(r[1:]) for r in compact.match_one(code, offs, centres, at[3], others, twice, table, 40, 0.8)}
     assert (table == -1).all()
     assert [got.get(n) for n in range(len(others))] == [w for (i, _), w in zip(pairs, want) if i == at[3]]
+
+
+def test_pairs_that_can_add_nothing_are_not_compared(monkeypatch):
+    rng = random.Random(8)
+    base = [rng.randrange(1 << 32) for _ in range(129)]
+    contexts = []
+    for _ in range(150):  # copies of one text, each changed in two places but for the centre
+        a = list(base)
+        for at in (rng.randrange(0, 50), rng.randrange(75, 120)):
+            a[at : at + 9] = [rng.randrange(1 << 32) for _ in range(9)]
+        contexts.append(np.array(a, dtype=np.uint32))
+    ids, centres, sides = list(range(150)), [64] * 150, [False] * 150
+    compared, one = [], compact.match_one
+
+    def counted(code, offs, at, a, b, *rest):
+        compared.append(len(b))
+        return one(code, offs, at, a, b, *rest)
+
+    monkeypatch.setattr(compact, "match_one", counted)
+    got = marks(linked(ids, contexts, centres, sides, 46, 0.8), contexts)
+    assert got == all_pairs(ids, contexts, centres, 46, 0.8)
+    assert sum(compared) < 1000  # 150 * 149 / 2 pairs
+
+
+def test_reachable_bounds_hold_every_match():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = rng.permutation(1 << 20)[:129].astype(np.uint32)
+        b = a.copy()
+        for at in rng.integers(0, 120, 4):
+            if not at <= 64 < at + 9:
+                b[at : at + 9] = rng.integers(1 << 21, 1 << 30, 9)
+        p = np.flatnonzero(a == b)
+        lo, hi, down, up, fits = compact._reachable(np.zeros(len(p), dtype=np.int64), p, p, np.ones(1, dtype=bool), 64, 46, 0.8)
+        m = compact.match_passages(a, 64, b, 64, 46, 0.8)
+        assert not m or fits[0] and lo[0] <= m[0] and hi[0] >= m[1] and down[0] <= m[2] and up[0] >= m[3]
+        assert not m or (lo[0], hi[0], down[0], up[0]) == m or min(m[1] - m[0], m[3] - m[2]) < 60
+
+
+def test_a_shingle_is_counted_once_for_each_text(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(140)]
+    texts = [" ".join(words), " ".join(words[:139] + ["other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = compact.distinct_texts(docs)
+    member = rows.selectExpr("h1", "h2", "explode(sequence(50, 90, 4)) as c").selectExpr("cast(c as long) as key", "h1", "h2", "c", "c - 40 as s", "c + 40 as e")
+    sent, table = [], compact.bloom_table
+    monkeypatch.setattr(compact, "bloom_table", lambda counted: (sent.append([tuple(r) for r in counted.collect()]), table(counted))[1])
+    kept = compact._classes(rows, member, 46, 0.8)
+    assert len(sent[0]) == 120 and {n for _, n in sent[0]} == {2}  # shingles 10 to 129, in eleven groups each text
+    assert kept.count() == 22
