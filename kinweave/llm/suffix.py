@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_table, column_bytes, in_bloom, materialize, slices, text_docs, text_key, to_batch
-from .kernels import join_texts, mix, prefix, span_hash, spans_from_points
+from .kernels import join_texts, mix, prefix, shingle_hashes, span_hash, spans_from_points, words
 
 #: Bytes of a gram; bits of the hash by which grams are compared in a window.
 GRAM, RANK = 64, 36
+#: Least words of a passage; words of a gram within one.
+PASSAGE, SHINGLE = 50, 8
 #: Compressed bytes of text that are worked on at a time, so that the arrays stay in the processor's caches.
 CACHED = 1 << 17
 #: Pairs of suffixes that are compared at a time.
@@ -46,15 +48,15 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM, often=None):
-    """(anchor, start, end): in each window of ``length`` bytes of one text the first least-hashed gram, and what the windows that choose it span.
+    """(anchor, start, end, moved): in each window of ``length`` bytes of one text the first least-hashed gram, and what the windows that choose it span.
 
-    Grams that ``often`` (hashes -> bool) holds come after all others. The choice depends on a
+    Grams that ``often`` (hashes -> bool) holds come after all others; ``moved`` is where a window looked past one. The choice depends on a
     window's bytes alone, so equal windows have equal anchors.
     """
     n = len(buf) - gram + 1
     w = length - gram + 1
     if n < w:
-        return (np.zeros(0, np.int64),) * 3
+        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, dtype=bool))
     at = np.arange(n)
     h = span_hash(pre, at, at + gram)
     bits = np.uint64(max(64 - RANK, n.bit_length()))  # more where a slice has more bytes than usual
@@ -66,6 +68,7 @@ def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gra
     begin = np.flatnonzero(whole)
     place = lambda key, at: (window_minima(key, w)[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     low = place(key, begin)
+    moved = np.zeros(len(low), dtype=bool)
     if often is not None and len(low):
         unique, back = np.unique(low, return_inverse=True)
         doubt = np.flatnonzero(often(h[unique])[back])
@@ -77,8 +80,39 @@ def anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, length: int, gra
             again = key[look]
             again[often(h[look])] |= np.uint64(1) << np.uint64(63)
             low[doubt] = place(again, np.searchsorted(look, begin[doubt]))
+            moved[doubt] = True
     head = np.flatnonzero(np.diff(low, prepend=-1))  # the windows that choose an anchor lie side by side
-    return low[head], begin[head], begin[np.append(head[1:], len(low)) - 1] + length
+    return low[head], begin[head], begin[np.append(head[1:], len(low)) - 1] + length, np.logical_or.reduceat(moved, head) if len(head) else moved
+
+
+def word_anchors(buf: np.ndarray, pre: np.ndarray, offs: np.ndarray, least: int, gram: int = SHINGLE, spans: bool = True):
+    """(hash, text, start, end, x1, x2): ``anchors`` by words, of every ``least`` words in a row of one text.
+
+    Starts and ends count words; x1 and x2 are hashes of the words that an anchor's windows span
+    and of where it lies among them (zero without ``spans``). White space between words does not count.
+    """
+    s, e, doc = words(buf, offs)
+    own = span_hash(pre, s, e)
+    h, at = shingle_hashes(own, doc, gram)
+    w = least - gram + 1
+    if len(h) < w:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
+    bits = np.uint64(max(64 - RANK, len(h).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    low = window_minima((h >> bits) << bits | np.arange(len(h), dtype=np.uint64), w)
+    begin = np.flatnonzero(doc[at[: len(low)]] == doc[at[w - 1 :]])
+    low = (low[begin] & mask).astype(np.int64)
+    head = np.flatnonzero(np.diff(low, prepend=-1))
+    centre, a, b = at[low[head]], at[begin[head]], at[begin[np.append(head[1:], len(low)) - 1]] + least
+    x1, x2 = (run_hash(own, k, a, b) if spans else np.zeros(len(a), np.uint64) for k in (1, 2))
+    x1 = mix(x1 + (centre - a).astype(np.uint64))
+    base = np.searchsorted(doc, np.arange(len(offs)))[doc[centre]]
+    return mix(h[low[head]] ^ np.uint64(0x5BF03635F0B7A54D)), doc[centre], a - base, b - base, x1, x2
+
+
+def run_hash(own: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [a, b) of word hashes, by ``kind``."""
+    return span_hash(prefix(mix(own + np.uint64(kind))), a, b)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -246,6 +280,23 @@ def fold_same(batches):
         last = key[:, -1]
 
 
+def fold_slice(cols: dict) -> dict:
+    """Of a slice's surroundings (a, x1, x2, ...) one of each kind, and, with ``mark``, every one of kinds that are there twice."""
+    order = np.lexsort((cols["x2"], cols["x1"], cols["a"]))
+    new = np.concatenate(([True], (np.diff(np.stack([cols[c].view(np.int64) for c in ("a", "x1", "x2")])[:, order], axis=1) != 0).any(axis=0)))[: len(order)]
+    sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+    heads, many = order[new], order[np.repeat(sizes > 1, sizes)]
+    at = np.concatenate((heads, many))
+    return {c: v.view(np.int64)[at] for c, v in cols.items()} | {"mark": np.repeat([False, True], [len(heads), len(many)])}
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """``fold_same`` of all surroundings of one kind; marks are dealt evenly, they need no company."""
+    spread = F.when(F.col("mark"), F.xxhash64("h1", "s")).otherwise(F.lit(0).cast("long"))
+    found = found.repartition(F.col("a"), F.col("x1"), F.col("x2"), spread).sortWithinPartitions("mark", "a", "x1", "x2", "h1", "h2", "s")
+    return found.mapInArrow(fold_same, "a long, h1 long, h2 long, s long, e long")
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(h1, h2, n, z): every distinct text once, compressed, with its number of documents."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("z", pa.binary())])
@@ -259,7 +310,24 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h1", "h2").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("n")), "texts")
 
 
-def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
+def anchor_counts(texts: DataFrame, length: int, least: int = PASSAGE) -> DataFrame:
+    """(key, n): how often a gram is an anchor, of bytes or of words, where that is more than once."""
+
+    def count(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", CACHED):
+            buf, offs = join_texts([unzip.decompress(z) for z in b.column(0).to_pylist()])
+            pre = prefix(buf)
+            at = anchors(buf, pre, offs, length)[0]
+            keys = np.concatenate((span_hash(pre, at, at + GRAM), word_anchors(buf, pre, offs, least, spans=False)[0]))
+            a, n = np.unique(keys.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n)], names=["key", "n"])
+
+    counted = texts.select("z").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return materialize(counted.filter("n > 1"), "anchor-counts")
+
+
+def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20, counted: DataFrame | None = None) -> DataFrame:
     """(h1, h2, s, e): stretches of distinct texts covered by strings that also occur at another place.
 
     ``texts`` as from ``distinct_texts``. An anchor's surroundings are the bytes of the
@@ -271,23 +339,17 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
     """
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("mark", pa.bool_())])
 
-    def count(batches):
-        unzip = zstandard.ZstdDecompressor()
-        for b in slices(batches, "z", CACHED):
-            buf, offs = join_texts([unzip.decompress(z) for z in b.column(0).to_pylist()])
-            pre = prefix(buf)
-            at, _, _ = anchors(buf, pre, offs, length)
-            a, n = np.unique(span_hash(pre, at, at + GRAM).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n)], names=["key", "n"])
-
-    counted = texts.select("z").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    often = bloom_table(counted.filter(F.col("n") > OFTEN))
+    counted = anchor_counts(texts, length) if counted is None else counted
+    often, twice = bloom_table(counted.filter(F.col("n") > OFTEN)), bloom_table(counted)
 
     def around(b, unzip):
         """(h1, h2, anchor, hashes of the surroundings, start, end) of a slice's anchors."""
         buf, offs = join_texts([unzip.decompress(z) for z in b.column(2).to_pylist()])
         pre = prefix(buf)
-        at, s, e = anchors(buf, pre, offs, length, often=lambda h: in_bloom(often.value, h))
+        at, s, e, moved = anchors(buf, pre, offs, length, often=lambda h: in_bloom(often.value, h))
+        # A string that is there twice has its anchor twice; only anchors chosen past a common gram were not counted.
+        some = np.flatnonzero(moved | in_bloom(twice.value, span_hash(pre, at, at + GRAM)))
+        at, s, e = at[some], s[some], e[some]
         d = np.searchsorted(offs, at, "right") - 1
         x = span_hash(pre, s, e)
         cut = np.stack([at - s, e - at]).astype(np.uint64)  # where the anchor lies counts too
@@ -300,18 +362,10 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
             parts = [around(x, unzip) for x in slices([b], "z", CACHED)]
             h1, h2, a, x1, x2, s, e = (np.concatenate(v) for v in zip(*parts, strict=True))
             # Equal surroundings within the slice are known repeats: they are marked here, and one goes on.
-            order = np.lexsort((x2, x1, a))
-            new = np.concatenate(([True], (np.diff(np.stack([a, x1, x2])[:, order], axis=1) != 0).any(axis=0)))[: len(order)]
-            sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
-            heads, many = order[new], order[np.repeat(sizes > 1, sizes)]
-            at, mark = np.concatenate((heads, many)), np.repeat([False, True], [len(heads), len(many)])
-            cols = {"h1": h1, "h2": h2, "a": a.view(np.int64), "x1": x1.view(np.int64), "x2": x2.view(np.int64), "s": s, "e": e}
-            yield to_batch({c: v[at] for c, v in cols.items()} | {"mark": mark}, schema)
+            yield to_batch(fold_slice({"h1": h1, "h2": h2, "a": a, "x1": x1, "x2": x2, "s": s, "e": e}), schema)
 
     found = texts.select("h1", "h2", "z").mapInArrow(sample, "h1 long, h2 long, a long, x1 long, x2 long, s long, e long, mark boolean")
-    spread = F.when(F.col("mark"), F.xxhash64("h1", "s")).otherwise(F.lit(0).cast("long"))  # marks need no company
-    found = found.repartition(F.col("a"), F.col("x1"), F.col("x2"), spread).sortWithinPartitions("mark", "a", "x1", "x2", "h1", "h2", "s")
-    found = materialize(found.mapInArrow(fold_same, "a long, h1 long, h2 long, s long, e long"), "anchors")
+    found = materialize(folded(found), "anchors")
     same = found.filter("a is null").filter(F.col("e") - F.col("s") >= length).select("h1", "h2", "s", "e")
     reps = found.filter("a is not null")
     several = reps.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -357,8 +411,7 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
     pieces = texts.select("h1", "h2", "z").join(places, ["h1", "h2"]).mapInArrow(cut, "k long, h1 long, h2 long, s long, text binary, a long, x1 long, x2 long")
     pieces = materialize(pieces, "repeat-pieces")
     strung = pieces.filter("k < 0").select("h1", "h2", "a", "x1", "x2", "s", (F.col("s") + length).alias("e"), F.lit(False).alias("mark"))
-    strung = strung.repartition(F.col("a"), F.col("x1"), F.col("x2")).sortWithinPartitions("a", "x1", "x2", "h1", "h2", "s")
-    strung = strung.mapInArrow(fold_same, "a long, h1 long, h2 long, s long, e long").filter("a is null").select("h1", "h2", "s", "e")
+    strung = folded(strung).filter("a is null").select("h1", "h2", "s", "e")
     out_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def search(table):
@@ -375,16 +428,64 @@ def mark_repeats(texts: DataFrame, length: int = 400, shard_bytes: int = 2 << 20
     return materialize(same.unionByName(indexed).unionByName(strung), "repeats")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def mark_passages(texts: DataFrame, least: int, counted: DataFrame) -> DataFrame:
+    """(h1, h2, s, e): words of distinct texts in runs of ``least`` words that also stand at another place.
+
+    Anchors that are there twice (``counted``) bring equal runs together; what surrounds them
+    is a repeat as it is where it is equal, and otherwise each run is matched by its hashes.
+    """
+    twice = bloom_table(counted)
+    schema = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "a", "x1", "x2", "s", "e")] + [("mark", pa.bool_())])
+    types = "h1 long, h2 long, a long, x1 long, x2 long, s long, e long, mark boolean"
+
+    def sample(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", 1 << 20):
+            parts = []
+            for x in slices([b], "z", CACHED):
+                buf, offs = join_texts([unzip.decompress(z) for z in x.column(2).to_pylist()])
+                a, d, s, e, x1, x2 = word_anchors(buf, prefix(buf), offs, least)
+                some = np.flatnonzero(in_bloom(twice.value, a))
+                parts.append([x.column(0).to_numpy()[d[some]], x.column(1).to_numpy()[d[some]], *(v[some] for v in (a, x1, x2, s, e))])
+            yield to_batch(fold_slice(dict(zip(schema.names, (np.concatenate(v) for v in zip(*parts, strict=True)), strict=False))), schema)
+
+    found = materialize(folded(texts.select("h1", "h2", "z").mapInArrow(sample, types)), "word-anchors")
+    same = found.filter("a is null").select("h1", "h2", "s", "e")
+    reps = found.filter("a is not null")
+    several = reps.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    places = reps.join(several, "a").groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e")).alias("p"))
+
+    def runs(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in slices(batches, "z", 1 << 18):
+            buf, offs = join_texts([unzip.decompress(z) for z in b.column(2).to_pylist()])
+            begin, end, doc = words(buf, offs)
+            own, first = span_hash(prefix(buf), begin, end), np.searchsorted(doc, np.arange(len(offs)))
+            span = [(d, x["s"], x["e"] - least + 1) for d, p in enumerate(b.column(3).to_pylist()) for x in p]
+            at = np.concatenate([np.arange(s, e) + first[d] for d, s, e in span])  # a run has one anchor, so it is there once
+            d = doc[at]
+            cols = {"h1": b.column(0).to_numpy()[d], "h2": b.column(1).to_numpy()[d], "s": at - first[d], "e": at - first[d] + least}
+            cols |= {c: run_hash(own, k, at, at + least) for k, c in enumerate(("a", "x1", "x2"))}
+            yield to_batch(fold_slice(cols), schema)
+
+    strung = texts.select("h1", "h2", "z").join(places, ["h1", "h2"]).select("h1", "h2", "z", "p").mapInArrow(runs, types)
+    return same.unionByName(folded(strung).filter("a is null").select("h1", "h2", "s", "e"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, least: int = PASSAGE) -> DataFrame:
     """Per document what is left without bytes covered by a ``length``-byte string that also starts elsewhere.
 
+    n_repeat_words counts the words in runs of ``least`` words that also stand elsewhere, whatever
+    their bytes: passages that are too short to be removed show there alone.
     Null text is empty; matches never cross documents; rows that repeat, with equal ids
     or not, are each a document, so all their text goes if it is long enough.
     """
     base = text_docs(docs)
     texts = distinct_texts(base)
-    marks = mark_repeats(texts, length).groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e")).alias("p"))
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    counted = anchor_counts(texts, length, least)
+    marks = mark_repeats(texts, length, counted=counted).withColumn("words", F.lit(False)).unionByName(mark_passages(texts, least, counted).withColumn("words", F.lit(True)))
+    marks = marks.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e", "words")).alias("p"))
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeat_words", pa.int64())])
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -392,12 +493,13 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             rows = []
             for h1, h2, z, n, p in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 text = unzip.decompress(z)
-                spans = merge_spans([(0, len(text))] if n > 1 and len(text) >= length else [(x["s"], x["e"]) for x in p or []])
+                spans = merge_spans([(0, len(text))] if n > 1 and len(text) >= length else [(x["s"], x["e"]) for x in p or [] if not x["words"]])
                 kept = drop_spans(text, spans)
-                rows.append((h1, h2, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+                again = size if n > 1 and (size := len(text.split())) >= least else sum(e - s for s, e in merge_spans([(x["s"], x["e"]) for x in p or [] if x["words"]]))
+                rows.append((h1, h2, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), again))
             yield to_batch(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
-    done = texts.select("h1", "h2", "z", "n").join(marks, ["h1", "h2"], "left").mapInArrow(cut, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = texts.select("h1", "h2", "z", "n").join(marks, ["h1", "h2"], "left").mapInArrow(cut, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long")
     return base.select("doc_id", *text_key()).join(done, ["h1", "h2"]).drop("h1", "h2")
 
 

@@ -318,3 +318,19 @@ def test_index_of_a_shard_takes_little_memory():
     tracemalloc.stop()
     assert [(s.tolist(), e.tolist()) for s, e in got] == [([50_000], [150_000]), ([], []), ([0], [100_000])]
     assert peak < 100 * sum(map(len, pieces))
+
+
+def test_passages_of_fifty_words_show_though_they_are_too_short_to_go(spark):
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choices("abcdefghijk", k=rng.randint(1, 7))) for _ in range(n)]
+    passage, common = some(55), some(9)
+    texts = [some(200) + passage + some(100), some(30) + passage, [*passage[:49], "x"] + some(80), some(60), passage[3:] + some(5) + passage[:52], some(49), common]
+    texts += [some(rng.randint(0, 90)) + common + some(rng.randint(0, 90)) for _ in range(20)] + [texts[3]]
+    rows = [(i, rng.choice(" \n\t").join(t)) for i, t in enumerate(texts)] + [(99, None)]
+    runs = Counter(tuple(t[i : i + 50]) for t in texts for i in range(len(t) - 49))
+    want = {i: len({k for j in range(len(t) - 49) if runs[tuple(t[j : j + 50])] > 1 for k in range(j, j + 50)}) for i, t in enumerate(texts)} | {99: 0}
+    assert want[0] == want[1] == 55 and want[2] == 0 and want[4] == 104 and want[3] == 60
+    for length in (400, 120):
+        got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length).collect()}
+        assert {i: r.n_repeat_words for i, r in got.items()} == want
+    assert {r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()} == {0}
